@@ -92,3 +92,66 @@ def host_directory(spark: SparkSession, sf_dir: str, segment: str = "BUILDING")
         F.col("c_custkey").cast("string").alias("client_ip"),
         F.col("c_name").alias("hostname"),
     )
+
+
+# --- measurement tables derived from the TPC-H-like tables -------------------
+
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records from ``lineitem``: query = returnflag, api = linestatus,
+    scale_pct = linenumber, elapsed_sec = extendedprice."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.lit("lineitem").alias("benchmark_id"),
+        F.col("l_linenumber").alias("scale_pct"),
+        F.col("l_returnflag").alias("query"),
+        F.col("l_linestatus").alias("api"),
+        F.col("l_orderkey").alias("run"),
+        F.col("l_extendedprice").alias("elapsed_sec"),
+    )
+
+
+def keyed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records with a unique run key, from ``orders``."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.year("o_orderdate").cast("string").alias("benchmark_id"),
+        F.month("o_orderdate").alias("scale_pct"),
+        F.col("o_orderstatus").alias("query"),
+        F.col("o_orderpriority").alias("api"),
+        F.col("o_orderkey").alias("run"),
+        F.col("o_totalprice").alias("elapsed_sec"),
+    )
+
+
+def payload_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records grouped into small benchmarks: one benchmark per (order, supplier)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"),
+                    F.col("l_suppkey").cast("string")).alias("benchmark_id"),
+        F.lit(100).alias("scale_pct"),
+        F.col("l_returnflag").alias("query"),
+        F.col("l_linestatus").alias("api"),
+        F.col("l_partkey").alias("run"),
+        F.col("l_extendedprice").alias("elapsed_sec"),
+    )
+
+
+def stage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage records from ``lineitem`` (one stage per line item)."""
+    li = table(spark, sf_dir, "lineitem")
+    fl = lambda c: F.floor(c).cast("bigint")
+    return li.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"),
+                    F.col("l_suppkey").cast("string")).alias("stage_id"),
+        F.col("l_linenumber").alias("scale_pct"),
+        F.col("l_returnflag").alias("query"),
+        F.col("l_linestatus").alias("api"),
+        F.col("l_shipdate").alias("submitted"),
+        fl(F.col("l_quantity")).alias("num_tasks"),
+        fl(F.col("l_extendedprice") * 100).alias("shuffle_read_bytes"),
+        fl(F.col("l_extendedprice") * F.col("l_discount") * 100).alias("shuffle_write_bytes"),
+        fl(F.col("l_tax") * 1000).alias("disk_bytes_spilled"),
+        fl(F.col("l_quantity") * 10).alias("executor_deserialize_time"),
+        fl(F.col("l_extendedprice") * 1000000).alias("executor_cpu_time"),
+    )

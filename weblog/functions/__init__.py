@@ -10,7 +10,7 @@ from weblog.functions.logline import (
     ALLOWED_METHODS,
     COMBINED_LINE,
     LOG_TS_FORMAT,
-    line_fields,
+    split_line,
 )
 
 __all__ = [
@@ -20,7 +20,7 @@ __all__ = [
     "col_of",
     "epoch_seconds",
     "is_error",
-    "line_fields",
+    "split_line",
     "percent",
     "ratio",
 ]

@@ -1,10 +1,4 @@
-"""Apache Combined Log line pattern and the expressions that split a line.
-
-A line is matched once for the flag and once for all seven fields: the
-replacement joins the groups with a separator that cannot occur in a matched
-line, then ``split`` yields the fields. This avoids evaluating the pattern once
-per group (seven ``regexp_extract`` calls) on every line.
-"""
+"""Apache Combined Log line pattern and the expressions that split a line."""
 from __future__ import annotations
 
 from pyspark.sql import Column
@@ -36,30 +30,31 @@ ALLOWED_METHODS = (
 FIELD_NAMES = ("client_ip", "remote_ident", "remote_user", "ts_raw", "request",
                "status_str", "bytes_str")
 
-# Group separator for the one-match split. A field may in principle contain it;
-# such a line splits into more than seven parts and falls back to per-group
-# extraction, so the result is the same either way.
-_SEP = "\u0001"
+# The line is matched once: the replacement joins the seven groups with a
+# newline, then ``split`` yields the fields. Lines read by the text source never
+# contain a newline, and no group can produce one from such a line, so for them
+# "seven parts" is exactly "matched". A value that does contain a newline (from
+# another source) takes the exact per-group path instead.
+_SEP = "\n"
 _JOINED = _SEP.join(f"${i}" for i in range(1, 8))
 
 
-def line_fields(value: Column) -> tuple[Column, dict[str, Column]]:
-    """Return ``(matched, fields)`` for a raw line column.
-
-    ``fields`` maps the seven group names to string columns; a field is ``''``
-    when the line does not match, as ``regexp_extract`` would give.
-    """
-    matched = value.rlike(COMBINED_LINE)
+def split_line(value: Column) -> tuple[Column, Column]:
+    """``(parts, plain)``: the joined-and-split groups, and whether the value is
+    newline-free (so that ``parts`` alone decides the match)."""
     parts = F.split(F.regexp_replace(value, COMBINED_LINE, _JOINED), _SEP)
-    one_match = matched & (F.size(parts) == 7)
-    fields = {}
-    for i, name in enumerate(FIELD_NAMES):
-        fields[name] = (
-            F.when(one_match, parts.getItem(i))
-            .when(matched, F.regexp_extract(value, COMBINED_LINE, i + 1))
-            .otherwise(F.lit(""))
-        )
-    return matched, fields
+    plain = F.instr(value, _SEP) == 0
+    return parts, plain
+
+
+def matched_from(value: Column, parts: Column, plain: Column) -> Column:
+    return F.when(plain, F.size(parts) == 7).otherwise(value.rlike(COMBINED_LINE))
+
+
+def field_from(value: Column, parts: Column, plain: Column, i: int) -> Column:
+    """Group ``i`` (0-based) of the line, ``''`` when the line does not match."""
+    return (F.when(plain, F.when(F.size(parts) == 7, parts.getItem(i)).otherwise(F.lit("")))
+            .otherwise(F.regexp_extract(value, COMBINED_LINE, i + 1)))
 
 
 def request_parts(request: Column) -> dict[str, Column]:
