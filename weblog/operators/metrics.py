@@ -143,12 +143,17 @@ def read_payloads(spark: SparkSession, root: str, file_name: str, schema: Struct
             .json(root))
 
 
+def _norm_path(p: str) -> str:
+    from urllib.parse import urlparse
+    u = urlparse(p)
+    return (u.path if u.scheme in ("", "file") else f"{u.scheme}://{u.netloc}{u.path}").rstrip("/")
+
+
 def write_merged(merged: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a merged table to ``path``, refusing to overwrite one of its own inputs."""
-    inputs = merged.inputFiles()
-    target = path.rstrip("/")
-    for f in inputs:
-        if f.replace("file:", "", 1).startswith(target.replace("file:", "", 1) + "/"):
+    target = _norm_path(path)
+    for f in merged.inputFiles():
+        if _norm_path(f).startswith(target + "/"):
             raise ValueError(f"refusing to overwrite {path}: the merged table reads from it")
     merged.write.mode(mode).parquet(path)
 

@@ -49,8 +49,9 @@ def bucket_summary(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
                .agg(F.min(e).alias("_first"), F.max(e).alias("_last"),
                     F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy(key).orderBy("_bucket")
-    prev_last = F.lag("_last").over(w)
+    prev_last = F.col("_prev_last")
     return (summary
+            .withColumn("_prev_last", F.lag("_last").over(w))
             .withColumn("_prev_last_ts", F.lag("_last_ts").over(w))
             .withColumn("_is_start",
                         F.when(prev_last.isNull() | ((F.col("_first") - prev_last) > F.lit(timeout)), 1)

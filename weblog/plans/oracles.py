@@ -255,7 +255,7 @@ incoming AS (
   SELECT 'rerun-' || benchmark_id, scale_pct, query, api, run, elapsed_sec FROM runs WHERE query = 'F'),
 allv AS (SELECT *, 0 AS v FROM runs UNION ALL SELECT *, 1 AS v FROM incoming),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY benchmark_id, scale_pct, query, api, run
-                                       ORDER BY v DESC) AS rn FROM allv)
+                                       ORDER BY v DESC, elapsed_sec DESC) AS rn FROM allv)
 SELECT benchmark_id, scale_pct, query, api, run, round(elapsed_sec, 6) AS elapsed_sec
 FROM ranked WHERE rn = 1""",
     "metric_flatten": f"WITH {PAYLOAD_RUNS} SELECT * FROM pruns",
@@ -264,7 +264,12 @@ SELECT benchmark_id, scale_pct, query, api, count(*) AS num_runs,
        round(avg(elapsed_sec), 6) AS avg_elapsed_sec,
        round(stddev_pop(elapsed_sec), 6) AS std_elapsed_sec
 FROM pruns GROUP BY benchmark_id, scale_pct, query, api""",
-    "metric_payload_roundtrip": f"WITH {PAYLOAD_RUNS} SELECT * FROM pruns",
+    "metric_payload_roundtrip": f"""WITH {PAYLOAD_RUNS},
+allv AS (SELECT *, 0.0 AS v FROM (SELECT benchmark_id, scale_pct, query, api, run, 0.0 AS elapsed_sec FROM pruns)
+         UNION ALL SELECT *, 1.0 AS v FROM pruns),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY benchmark_id, scale_pct, query, api, run
+                                       ORDER BY v DESC, elapsed_sec DESC) AS rn FROM allv)
+SELECT benchmark_id, scale_pct, query, api, run, elapsed_sec FROM ranked WHERE rn = 1""",
     "metric_delta_totals": f"""WITH {STAGES},
 snap AS (SELECT stage_id FROM stages WHERE submitted < TIMESTAMP '1998-01-01 00:00:00'),
 new AS (SELECT * FROM stages s WHERE NOT EXISTS (SELECT 1 FROM snap WHERE snap.stage_id = s.stage_id))
