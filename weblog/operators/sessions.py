@@ -38,16 +38,9 @@ def _epoch(ts: str) -> Column:
     return F.unix_timestamp(F.col(ts))
 
 
-def bucket_summary(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
-                   timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
-    """Per (key, bucket): first/last epoch second and timestamp, request count,
-    ``is_start`` (bucket opens a session), ``session_id`` (1-based per key)."""
-    w_width = _width(timeout)
-    e = _epoch(ts)
-    summary = (logs.where(F.col(ts).isNotNull())
-               .groupBy(key, F.floor(e / F.lit(w_width)).alias("_bucket"))
-               .agg(F.min(e).alias("_first"), F.max(e).alias("_last"),
-                    F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("_n")))
+def _flag_buckets(summary: DataFrame, key: str, timeout: int) -> DataFrame:
+    """Add ``_prev_last_ts``, ``_is_start`` and ``session_id`` to a bucket summary
+    ``(key, _bucket, _first, _last, _last_ts, _n)``; one window spec, one sort."""
     w = Window.partitionBy(key).orderBy("_bucket")
     prev_last = F.col("_prev_last")
     return (summary
@@ -61,6 +54,19 @@ def bucket_summary(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
                                                               Window.currentRow))))
 
 
+def bucket_summary(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
+                   timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
+    """Per (key, bucket): first/last epoch second and timestamp, request count,
+    ``_is_start`` (bucket opens a session), ``session_id`` (1-based per key)."""
+    w_width = _width(timeout)
+    e = _epoch(ts)
+    summary = (logs.where(F.col(ts).isNotNull())
+               .groupBy(key, F.floor(e / F.lit(w_width)).alias("_bucket"))
+               .agg(F.min(e).alias("_first"), F.max(e).alias("_last"),
+                    F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("_n")))
+    return _flag_buckets(summary, key, timeout)
+
+
 def sessions(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
              timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     """One row per session: ``(client_ip, session_id, request_count, duration_secs)``.
@@ -98,14 +104,17 @@ def session_rows(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
     keep null session columns.
     """
     w_width = _width(timeout)
-    e = _epoch(ts)
-    rows = logs.withColumn("_sec", e)
-    buckets = (bucket_summary(logs, key, ts, timeout)
-               .select(key, "_bucket", "_prev_last_ts", "session_id"))
+    rows = logs.withColumn("_sec", _epoch(ts))
     seconds = (rows.where(F.col(ts).isNotNull())
                .groupBy(key, "_sec")
-               .agg(F.max(ts).alias("_sec_last_ts"))
+               .agg(F.max(ts).alias("_sec_last_ts"), F.count(F.lit(1)).alias("_n"))
                .withColumn("_bucket", F.floor(F.col("_sec") / F.lit(w_width))))
+    # The bucket summary is an aggregate of the (smaller) per-second summary.
+    buckets = _flag_buckets(
+        seconds.groupBy(key, "_bucket").agg(
+            F.min("_sec").alias("_first"), F.max("_sec").alias("_last"),
+            F.max("_sec_last_ts").alias("_last_ts"), F.sum("_n").alias("_n")),
+        key, timeout).select(key, "_bucket", "_prev_last_ts", "session_id")
     w_sec = Window.partitionBy(key, "_bucket").orderBy("_sec")
     seconds = (seconds
                .withColumn("_prev_sec_ts", F.lag("_sec_last_ts").over(w_sec))
