@@ -3,17 +3,18 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Setup (untimed): the ``events`` table is rendered as Combined Log lines.
-Timed per family (median of ``BENCH_RUNS`` runs after one warm-up):
+Timed (median of ``BENCH_RUNS`` runs after one warm-up each):
 
 * log_parsing: read lines, parse, clean, write the Parquet table (with the
   parse-quality counts observed in the same job);
-* error_pattern_analysis, temporal_aggregation, perhost_traffic_profiling,
-  perhost_traffic_profiling_naive, sessionization: every result of the family
-  written to the ``noop`` sink (a full execution; ``count()`` would let
-  Catalyst prune the aggregates away).
-
-Prints one JSON line: {"metric", "value" (sum of family medians), "unit",
-"queries" {family: sec}, "sf", "rows"}.
+* ``<family>/<api>`` for the five query families (error_pattern_analysis,
+  temporal_aggregation, perhost_traffic_profiling,
+  perhost_traffic_profiling_naive, sessionization) in the DataFrame and SQL
+  APIs: every result of the family written to the ``noop`` sink (a full
+  execution; ``count()`` would let Catalyst prune the aggregates away).
+
+Prints one JSON line: {"metric", "value" (sum of all medians), "unit",
+"queries" {name: sec}, "sf", "rows"}.
 """
 from __future__ import annotations
 
@@ -28,8 +29,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from weblog import fixtures as fx  # noqa: E402
-from weblog.operators import errors, temporal, traffic  # noqa: E402
-from weblog.operators import sessions as sess  # noqa: E402
+from weblog.operators import families as fam  # noqa: E402
 from weblog.operators.clean import clean_logs  # noqa: E402
 from weblog.operators.parse import parse_lines  # noqa: E402
 from weblog.operators.quality import observed  # noqa: E402
@@ -71,18 +71,13 @@ def main() -> None:
     def logs():
         return read_logs(spark, table)
 
-    families = {
-        "log_parsing": log_parsing,
-        "error_pattern_analysis": lambda: _noop(errors.top_paths(logs()),
-                                                errors.status_rates(logs())),
-        "temporal_aggregation": lambda: _noop(temporal.hourly_profile(logs()),
-                                              temporal.daily_counts(logs())),
-        "perhost_traffic_profiling": lambda: _noop(traffic.host_profile(logs())),
-        "perhost_traffic_profiling_naive": lambda: _noop(
-            traffic.requests(logs()), traffic.total_bytes(logs()), traffic.avg_bytes(logs()),
-            traffic.error_rate(logs()), traffic.distinct_paths(logs())),
-        "sessionization": lambda: _noop(*(lambda s: (s, sess.per_host(s)))(sess.sessions(logs()))),
-    }
+    def family(name: str, api: str):
+        return lambda: _noop(*fam.build(spark, logs(), name, api).values())
+
+    families = {"log_parsing": log_parsing}
+    for name in fam.FAMILIES:
+        for api in fam.APIS:
+            families[f"{name}/{api}"] = family(name, api)
     results: dict[str, float] = {}
     for name, fn in families.items():
         fn()  # warm-up

@@ -98,6 +98,46 @@ GROUP BY client_ip
 """
 
 
+HOST_REQUESTS = """
+SELECT client_ip, count(*) AS total_requests FROM {logs}
+GROUP BY client_ip ORDER BY total_requests DESC, client_ip
+"""
+
+HOST_BYTES = """
+SELECT client_ip, sum(response_bytes) AS total_bytes FROM {logs}
+GROUP BY client_ip ORDER BY total_bytes DESC NULLS LAST, client_ip
+"""
+
+HOST_AVG_BYTES = """
+SELECT client_ip, avg(response_bytes) AS average_bytes FROM {logs}
+GROUP BY client_ip ORDER BY average_bytes DESC NULLS LAST, client_ip
+"""
+
+HOST_ERROR_RATE = """
+SELECT client_ip,
+       try_divide(CAST(count_if(status_code >= 400 AND status_code < 600) AS DOUBLE),
+                  CAST(count(*) AS DOUBLE)) * 100.0 AS error_rate
+FROM {logs}
+GROUP BY client_ip ORDER BY error_rate DESC NULLS LAST, client_ip
+"""
+
+HOST_DISTINCT_PATHS = """
+SELECT client_ip, count(DISTINCT request_path) AS distinct_endpoints FROM {logs}
+GROUP BY client_ip ORDER BY distinct_endpoints DESC, client_ip
+"""
+
+
+def host_metrics_naive(spark: SparkSession, logs: DataFrame) -> dict[str, DataFrame]:
+    """The five per-host metrics as five separate queries (five scans)."""
+    return {
+        "requests_per_host": spark.sql(HOST_REQUESTS, logs=logs),
+        "bytes_per_host": spark.sql(HOST_BYTES, logs=logs),
+        "average_bytes_per_host": spark.sql(HOST_AVG_BYTES, logs=logs),
+        "error_rate_per_host": spark.sql(HOST_ERROR_RATE, logs=logs),
+        "distinct_endpoints_per_host": spark.sql(HOST_DISTINCT_PATHS, logs=logs),
+    }
+
+
 def error_top_paths(spark: SparkSession, logs: DataFrame) -> DataFrame:
     return spark.sql(ERROR_TOP_PATHS, logs=logs)
 
