@@ -49,6 +49,8 @@ def projection_sql(engine: str = "spark", events: str = "events",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table; pins the session zone to UTC (dates and hours are UTC)."""
+    ensure_utc(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -351,7 +351,8 @@ def metric_payload_roundtrip(spark, sf):
 
 def metric_delta_totals(spark, sf):
     stages = fx.stage_records(spark, sf)
-    snapshot = stages.where(F.col("submitted") < F.lit("1998-01-01").cast("timestamp"))
+    cutoff = F.lit("1998-01-01 00:00:00").cast(stages.schema["submitted"].dataType)
+    snapshot = stages.where(F.col("submitted") < cutoff)
     return rounded(metrics.delta_totals(stages, snapshot, keys=["query", "api"]))
 
 
