@@ -35,6 +35,7 @@ from weblog.operators.parse import parse_lines  # noqa: E402
 from weblog.operators.quality import observed  # noqa: E402
 from weblog.session import build, scratch_dir  # noqa: E402
 from weblog.sources.logs import read_logs, write_logs  # noqa: E402
+from weblog.sources.eventlog import read_event_log, stage_records  # noqa: E402
 from weblog.sources.text import read_lines  # noqa: E402
 
 
@@ -47,9 +48,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
+    event_dir = tempfile.mkdtemp(prefix="weblog-bench-events-")
     spark = build(app_name="weblog-bench", master=f"local[{cpus}]",
                   shuffle_partitions=max(cpus, 1),
-                  conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                  conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
+                        "spark.eventLog.enabled": "true",
+                        "spark.eventLog.dir": event_dir,
+                        "spark.eventLog.compress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weblog-bench-"))
@@ -83,13 +88,16 @@ def main() -> None:
     for name, fn in families.items():
         fn()  # warm-up
         times = []
-        for _ in range(runs):
+        for i in range(runs):
+            spark.sparkContext.setJobGroup(f"{name}|{i}", name)
             t0 = time.perf_counter()
             fn()
             times.append(time.perf_counter() - t0)
+            spark.sparkContext.setJobGroup("other", "other")
         results[name] = round(statistics.median(times), 4)
 
     rows = spark.read.parquet(table).count()
+    spark.stop()
     sf_match = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "weblog_families_total",
@@ -99,8 +107,31 @@ def main() -> None:
         "sf": float(sf_match.group(1)) if sf_match else sf_dir,
         "rows": rows,
         "cpus": cpus,
+        "stage_metrics": _stage_metrics(event_dir, cpus),
     }))
+
+
+def _stage_metrics(event_dir: str, cpus: int) -> dict:
+    """Per timed entry, the mean over its runs of: completed stages, tasks,
+    shuffle read / write MiB, spill MiB, executor CPU seconds (from the event log)."""
+    from pyspark.sql import functions as F
+    spark = build(app_name="weblog-bench-metrics", master=f"local[{cpus}]", shuffle_partitions=cpus)
+    spark.sparkContext.setLogLevel("ERROR")
+    st = stage_records(read_event_log(spark, event_dir)).where(F.col("job_group").contains("|"))
+    mib = 1024.0 * 1024.0
+    per_run = st.groupBy("job_group").agg(
+        F.count(F.lit(1)).alias("stages"), F.sum("num_tasks").alias("tasks"),
+        (F.sum("shuffle_read_bytes") / mib).alias("shuffle_read_mib"),
+        (F.sum("shuffle_write_bytes") / mib).alias("shuffle_write_mib"),
+        (F.sum("disk_bytes_spilled") / mib).alias("spill_mib"),
+        (F.sum("executor_cpu_time") / 1e9).alias("cpu_sec"))
+    per_entry = (per_run.withColumn("entry", F.split("job_group", "[|]")[0])
+                 .groupBy("entry").agg(*[F.round(F.avg(c), 3).alias(c) for c in
+                                         ["stages", "tasks", "shuffle_read_mib", "shuffle_write_mib",
+                                          "spill_mib", "cpu_sec"]]))
+    out = {r["entry"]: {k: r[k] for k in r.asDict() if k != "entry"} for r in per_entry.collect()}
     spark.stop()
+    return out
 
 
 if __name__ == "__main__":
