@@ -62,7 +62,8 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _event(name: str) -> Column:
-    return F.col("value").startswith('{"Event":"' + name + '"')
+    # Spark writes the event type first; a prefix match avoids parsing other events.
+    return F.col("value").rlike(r'^\{\s*"Event"\s*:\s*"' + name + '"')
 
 
 def _accumulated(accs: Column, names: tuple[str, ...]) -> Column:
