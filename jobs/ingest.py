@@ -43,6 +43,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--mode", choices=["overwrite", "ignore", "errorifexists"], default="overwrite",
                    help="'ignore' skips an existing output (idempotent rerun)")
     p.add_argument("--master", default=None, help="for local runs; spark-submit sets it otherwise")
+    p.add_argument("--profile", choices=["default", "cluster"], default="cluster",
+                   help="session settings; 'cluster' sizes shuffles and splits for large inputs")
     return p.parse_args(argv)
 
 
@@ -77,7 +79,7 @@ def run(spark, args: argparse.Namespace) -> dict:
 
 def main(argv=None) -> int:
     args = parse_args(argv)
-    spark = build(app_name="weblog-ingest", master=args.master)
+    spark = build(app_name="weblog-ingest", master=args.master, profile=args.profile)
     try:
         print(json.dumps(run(spark, args)))
     finally:

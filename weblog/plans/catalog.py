@@ -19,7 +19,7 @@ from weblog.operators.clean import clean_logs
 from weblog.operators.parse import parse_lines
 from weblog.operators.quality import parse_quality
 from weblog.plans import sql as sqlapi
-from weblog.session import scratch_dir
+from weblog.session import default_parallelism, scratch_dir
 from weblog.sources.logs import read_logs, verify_written, write_logs
 from weblog.sources.text import read_lines, sample_lines
 
@@ -62,7 +62,7 @@ def log_clean_strict(spark, sf):
 def log_parse_gzip(spark, sf):
     path = scratch_dir(spark, "raw-gzip")
     fx.raw_lines(spark, sf).write.mode("overwrite").option("compression", "gzip").text(path)
-    lines = read_lines(spark, path, repartition=spark.sparkContext.defaultParallelism)
+    lines = read_lines(spark, path, repartition=default_parallelism(spark))
     return clean_logs(parse_lines(lines))
 
 
