@@ -118,9 +118,9 @@ def to_payloads(runs: DataFrame, summary: DataFrame, run_fields: Sequence[str],
     """
     gk = ["benchmark_id", "scale_pct"]
     run_struct = F.struct(*[F.col(c) for c in run_fields])
+    # collect_list skips nulls, so each array keeps only its own query's runs.
     arrays = runs.groupBy(*gk).agg(*[
-        F.filter(F.collect_list(F.when(F.col("query") == q, run_struct)), lambda x: x.isNotNull())
-        .alias(q) for q in queries])
+        F.collect_list(F.when(F.col("query") == q, run_struct)).alias(q) for q in queries])
     by_api = (summary.groupBy(*gk, "query")
               .agg(F.map_from_entries(F.collect_list(
                   F.struct("api", F.struct(*[F.col(c) for c in stats_fields])))).alias("by_api")))
