@@ -7,6 +7,8 @@ Timed (median of ``BENCH_RUNS`` runs after one warm-up each):
 
 * log_parsing: read lines, parse, clean, write the Parquet table (with the
   parse-quality counts observed in the same job);
+* ``sessionization_hot_client/DataFrame``: sessionization of the same log
+  with a third of all requests on one client (the skew case);
 * ``<family>/<api>`` for the five query families (error_pattern_analysis,
   temporal_aggregation, perhost_traffic_profiling,
   perhost_traffic_profiling_naive, sessionization) in the DataFrame and SQL
@@ -47,7 +49,7 @@ def _noop(*dfs) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     event_dir = tempfile.mkdtemp(prefix="weblog-bench-events-")
     spark = build(app_name="weblog-bench", master=f"local[{cpus}]",
                   shuffle_partitions=max(cpus, 1),
@@ -84,6 +86,13 @@ def main() -> None:
     for name in fam.FAMILIES:
         for api in fam.APIS:
             families[f"{name}/{api}"] = family(name, api)
+
+    # Skew case: the same log with every third user mapped to one client
+    # (a third of all requests on one key).
+    hot_table = scratch_dir(spark, "bench-logs-hot")
+    write_logs(fx.access_logs(spark, sf_dir, hot_client=True), hot_table, partitions=cpus)
+    families["sessionization_hot_client/DataFrame"] = lambda: _noop(
+        *fam.build(spark, read_logs(spark, hot_table), "sessionization").values())
     results: dict[str, float] = {}
     for name, fn in families.items():
         fn()  # warm-up

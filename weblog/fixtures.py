@@ -16,7 +16,7 @@ from weblog.session import ensure_utc
 # ``{method}`` is the method expression, so the strict-method variant can
 # introduce a verb outside the allow-list.
 _PROJECTION = """
-SELECT CAST(user_id AS {STR}) AS client_ip,
+SELECT {client} AS client_ip,
        date_trunc('second', ts) AS log_ts,
        {method} AS http_method,
        concat('/', event_type, '/', regexp_extract(props, '([0-9]+)', 1)) AS request_path,
@@ -37,11 +37,20 @@ _METHOD_STRICT = (
 )
 
 
+# Hot-client variant: every third user shares one client address, so one
+# client holds about a third of all requests (the skew case).
+_CLIENT = "CAST(user_id AS {STR})"
+_CLIENT_HOT = "CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS {STR}) END"
+
+
 def projection_sql(engine: str = "spark", events: str = "events",
-                   strict_methods: bool = False, with_event_id: bool = False) -> str:
+                   strict_methods: bool = False, with_event_id: bool = False,
+                   hot_client: bool = False) -> str:
     """The projection as SQL text for ``engine`` in {"spark", "duckdb"}."""
+    string = "STRING" if engine == "spark" else "VARCHAR"
     return _PROJECTION.format(
-        STR="STRING" if engine == "spark" else "VARCHAR",
+        client=(_CLIENT_HOT if hot_client else _CLIENT).format(STR=string),
+        STR=string,
         method=_METHOD_STRICT if strict_methods else _METHOD,
         extra=", event_id" if with_event_id else "",
         events=events,
@@ -55,12 +64,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def access_logs(spark: SparkSession, sf_dir: str, strict_methods: bool = False,
-                with_event_id: bool = False) -> DataFrame:
+                with_event_id: bool = False, hot_client: bool = False) -> DataFrame:
     """The ``events`` table in access-log shape (canonical columns, UTC)."""
     ensure_utc(spark)
     ev = table(spark, sf_dir, "events")
     return spark.sql(
-        projection_sql("spark", "{events}", strict_methods, with_event_id), events=ev)
+        projection_sql("spark", "{events}", strict_methods, with_event_id, hot_client), events=ev)
 
 
 def raw_lines(spark: SparkSession, sf_dir: str, malformed: bool = False,

@@ -221,6 +221,18 @@ def _sessions(timeout: int) -> Query:
     return q
 
 
+def sessions_hot_client(spark, sf):
+    return sess.sessions(fx.access_logs(spark, sf, hot_client=True))
+
+
+def sessions_per_host_hot_client(spark, sf):
+    return rounded(sess.per_host(sess.sessions(fx.access_logs(spark, sf, hot_client=True))))
+
+
+def host_profile_hot_client(spark, sf):
+    return rounded(traffic.host_profile(fx.access_logs(spark, sf, hot_client=True)))
+
+
 def sessions_per_host(spark, sf):
     return rounded(sess.per_host(sess.sessions(_logs(spark, sf))))
 
@@ -403,6 +415,9 @@ QUERIES: dict[str, Query] = {
     "sessions_short_gap": _sessions(SHORT_TIMEOUT),
     "sessions_long_gap": _sessions(LONG_TIMEOUT),
     "sessions_per_host": sessions_per_host,
+    "sessions_hot_client": sessions_hot_client,
+    "sessions_per_host_hot_client": sessions_per_host_hot_client,
+    "host_profile_hot_client": host_profile_hot_client,
     "sessions_per_host_long": sessions_per_host_long,
     "sessions_nested_flat": sessions_nested_flat,
     "sessions_window_fn": sessions_window_fn,

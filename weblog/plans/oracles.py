@@ -13,6 +13,7 @@ from weblog.plans.catalog import LONG_TIMEOUT, SHORT_TIMEOUT
 LOGS = f"logs AS ({projection_sql('duckdb')})"
 LOGS_ID = f"logs AS ({projection_sql('duckdb', with_event_id=True)})"
 LOGS_STRICT = f"logs AS ({projection_sql('duckdb', strict_methods=True)})"
+LOGS_HOT = f"logs AS ({projection_sql('duckdb', hot_client=True)})"
 
 ERR = "status_code >= 400 AND status_code < 600"
 ERR_RATE = (f"round(CAST(sum(CASE WHEN {ERR} THEN 1 ELSE 0 END) AS DOUBLE) "
@@ -75,8 +76,8 @@ per_host AS (
 )"""
 
 
-def _with_sessions(timeout: int, select: str) -> str:
-    return f"WITH {LOGS},{_session_rows(timeout)}\n{select}"
+def _with_sessions(timeout: int, select: str, logs: str = LOGS) -> str:
+    return f"WITH {logs},{_session_rows(timeout)}\n{select}"
 
 
 def _top(table_sql: str, metric: str, keys: str, n: int = 10) -> str:
@@ -211,6 +212,10 @@ FROM prof LEFT JOIN dir ON prof.client_ip = dir.client_ip""",
     "sessions_long_gap": _with_sessions(
         LONG_TIMEOUT, "SELECT client_ip, session_id, request_count, duration_secs FROM sess"),
     "sessions_per_host": _with_sessions(1800, "SELECT * FROM per_host"),
+    "sessions_hot_client": _with_sessions(
+        1800, "SELECT client_ip, session_id, request_count, duration_secs FROM sess", LOGS_HOT),
+    "sessions_per_host_hot_client": _with_sessions(1800, "SELECT * FROM per_host", LOGS_HOT),
+    "host_profile_hot_client": f"WITH {LOGS_HOT} {HOST_PROFILE}",
     "sessions_per_host_long": _with_sessions(LONG_TIMEOUT, "SELECT * FROM per_host"),
     "sessions_nested_flat": _with_sessions(
         LONG_TIMEOUT, "SELECT client_ip, session_id, request_count, duration_secs FROM sess"),
