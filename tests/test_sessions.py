@@ -104,3 +104,12 @@ def test_no_exchange_on_raw_rows_by_client_alone(spark):
     first, second = sorted(ex, key=len, reverse=True)
     assert first.count("#") == 2          # (client, bucket): raw rows, after partial aggregation
     assert second.startswith("hashpartitioning(client_ip")  # the bucket summary only
+
+
+def test_session_bounds_and_nested(spark):
+    s = S.sessions(session_df(spark), with_bounds=True)
+    rows = {(r.client_ip, r.session_id): r for r in s.collect()}
+    a2 = rows[("a", 2)]
+    assert ((a2.session_start - T0).seconds, (a2.session_end - T0).seconds) == (3601, 5400)
+    nested = {r.client_ip: r.sessions for r in S.nested_sessions(s).collect()}
+    assert nested["a"][1].session_end == a2.session_end

@@ -68,16 +68,20 @@ def bucket_summary(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
 
 
 def sessions(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
-             timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
-    """One row per session: ``(client_ip, session_id, request_count, duration_secs)``.
+             timeout: int = DEFAULT_TIMEOUT, with_bounds: bool = False) -> DataFrame:
+    """One row per session: ``(client_ip, session_id, request_count, duration_secs)``,
+    plus ``session_start`` / ``session_end`` (first / last request time) with
+    ``with_bounds``.
 
     ``duration_secs`` is last minus first request, in whole seconds; a
     one-request session lasts 0 s.
     """
-    return (bucket_summary(logs, key, ts, timeout)
-            .groupBy(key, "session_id")
-            .agg(F.sum("_n").alias("request_count"),
-                 (F.max("_last") - F.min("_first")).alias("duration_secs")))
+    aggs = [F.sum("_n").alias("request_count"),
+            (F.max("_last") - F.min("_first")).alias("duration_secs")]
+    if with_bounds:
+        aggs += [F.timestamp_seconds(F.min("_first")).alias("session_start"),
+                 F.timestamp_seconds(F.max("_last")).alias("session_end")]
+    return bucket_summary(logs, key, ts, timeout).groupBy(key, "session_id").agg(*aggs)
 
 
 def per_host(session_table: DataFrame, key: str = "client_ip") -> DataFrame:
@@ -160,12 +164,15 @@ def assign_session_ids(logs: DataFrame, key: str = "client_ip", ts: str = "log_t
 
 def nested_sessions(session_table: DataFrame, key: str = "client_ip") -> DataFrame:
     """Per key, the array of its sessions ordered by id:
-    ``(client_ip, sessions: array<struct<session_id, request_count, duration_secs>>)``.
+    ``(client_ip, sessions: array<struct<session_id, request_count, duration_secs
+    [, session_start, session_end]>>)``.
 
     A key has at most ``time span / timeout`` sessions, so the array is bounded
     by time, not by how many requests the key sent.
     """
-    s = F.struct("session_id", "request_count", "duration_secs")
+    fields = ["session_id", "request_count", "duration_secs"]
+    fields += [c for c in ("session_start", "session_end") if c in session_table.columns]
+    s = F.struct(*fields)
     return session_table.groupBy(key).agg(F.sort_array(F.collect_list(s)).alias("sessions"))
 
 
