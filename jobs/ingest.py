@@ -34,6 +34,8 @@ def parse_args(argv=None) -> argparse.Namespace:
                    help="round-robin the rows into n write tasks (0: keep the plan's layout)")
     p.add_argument("--partition-by-log-date", action="store_true",
                    help="lay the table out as log_date=YYYY-MM-DD directories")
+    p.add_argument("--rebalance-by-date", action="store_true",
+                   help="with --partition-by-log-date: shuffle rows by date first (unordered input)")
     p.add_argument("--strict-http-method", action="store_true",
                    help="drop requests whose method is not a standard HTTP verb")
     p.add_argument("--sample-percent", type=float, default=100.0)
@@ -64,7 +66,8 @@ def run(spark, args: argparse.Namespace) -> dict:
     parsed, obs = observed(parse_lines(lines), strict_http_method=args.strict_http_method)
     cleaned = clean_logs(parsed, strict_http_method=args.strict_http_method)
     write_logs(cleaned, args.output_parquet_path, partitions=args.output_partitions or None,
-               by_date=args.partition_by_log_date, mode=args.mode)
+               by_date=args.partition_by_log_date, mode=args.mode,
+               rebalance=args.rebalance_by_date)
     m = obs.get  # filled in by the write job
     raw = m["raw_lines"]
     return {

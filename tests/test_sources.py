@@ -13,10 +13,13 @@ def test_write_by_date_and_prune(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(log_date" in plan_text(one_day)
 
 
-def test_by_date_write_is_rebalanced_not_hashed(spark):
-    # The plan of a by-date write rebalances on the date (AQE may split a hot date).
+def test_by_date_write_rebalance_option(spark, tmp_path):
+    out = str(tmp_path / "t")
+    write_logs(cleaned(spark), out, by_date=True, rebalance=True)
+    assert read_logs(spark, out).count() == 4
+    # The rebalance hint plans a RebalancePartitions node (AQE may split a hot date).
     df = cleaned(spark).hint("rebalance", "log_date")
-    assert "RebalancePartitions" in plan_text(df, "extended") or "REBALANCE" in plan_text(df, "extended")
+    assert "RebalancePartitions" in plan_text(df, "extended")
 
 
 def test_partitions_and_verify(spark, tmp_path):

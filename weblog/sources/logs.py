@@ -40,19 +40,23 @@ def register_logs(spark: SparkSession, path: str, view: str) -> DataFrame:
 
 def write_logs(df: DataFrame, path: str, partitions: int | None = None,
                by_date: bool = False, mode: str = "overwrite",
-               compression: str = "snappy") -> None:
+               compression: str = "snappy", rebalance: bool = False) -> None:
     """Write the access-log table as Parquet.
 
-    ``partitions`` round-robins the rows into ``n`` files per write task set.
-    ``by_date`` lays the table out as ``log_date=YYYY-MM-DD`` directories; rows
-    are then rebalanced on ``log_date`` by AQE, which splits a hot date over
-    several tasks instead of sending it to one. ``mode="ignore"`` makes the
-    write idempotent (skip when the path exists); ``"overwrite"`` forces it.
+    ``partitions`` round-robins the rows into ``n`` write tasks (a full
+    shuffle; use it to fix the file count). ``by_date`` lays the table out as
+    ``log_date=YYYY-MM-DD`` directories. By default the scan tasks write their
+    dates directly, with no shuffle: logs are appended in time order, so a
+    split holds one or two dates and yields one or two split-sized files.
+    For unordered input pass ``rebalance=True``: rows are then rebalanced on
+    ``log_date`` by AQE, which splits a hot date over several tasks instead of
+    sending it to one. ``mode="ignore"`` makes the write idempotent (skip when
+    the path exists); ``"overwrite"`` forces it.
     """
     out = df.select(*ACCESS_LOG_COLUMNS) if set(ACCESS_LOG_COLUMNS) <= set(df.columns) else df
     if partitions:
         out = out.repartition(partitions)
-    elif by_date:
+    elif by_date and rebalance:
         out = out.hint("rebalance", "log_date")
     w = out.write.mode(mode).option("compression", compression)
     if by_date:
