@@ -50,27 +50,36 @@ def union_scales(frames: Mapping[int, DataFrame], scale_col: str = "scale_pct")
     return out
 
 
+def latest(records: DataFrame, key: Sequence[str] = RUN_KEY, version: str = "version") -> DataFrame:
+    """One row per key: the row with the largest ``version`` (ties broken by the
+    remaining columns, so the result is deterministic).
+
+    A ``max(struct(version, row))`` aggregate: partial aggregation collapses
+    duplicate keys before the shuffle, so a key repeated many times costs one
+    row per map task, not one task holding the whole group.
+    """
+    key = list(key)
+    rest = [c for c in records.columns if c not in key and c != version]
+    best = F.max(F.struct(F.col(version), *[F.col(c) for c in rest])).alias("_best")
+    return (records.groupBy(*key).agg(best)
+            .select(*key, F.col(f"_best.{version}").alias(version),
+                    *[F.col(f"_best.{c}").alias(c) for c in rest]))
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str] = RUN_KEY,
            version: str | None = None) -> DataFrame:
     """Merge ``incoming`` into ``existing``: one row per key, the last write wins.
 
     "Last" is the larger ``version`` when a version column is named, else
-    ``incoming`` beats ``existing``. Ties within one side are broken by the
-    remaining columns, so the result is deterministic. Implemented as a
-    ``max(struct(version, row))`` aggregate: partial aggregation collapses
-    duplicate keys before the shuffle, so a key repeated many times costs one
-    row per map task, not one task for the whole group. Applying the same
-    upsert twice changes nothing.
+    ``incoming`` beats ``existing`` (see ``latest``). Applying the same upsert
+    twice changes nothing.
     """
-    key = list(key)
     rank = "_upsert_rank"
     left = existing.withColumn(rank, F.col(version) if version else F.lit(0))
     right = incoming.withColumn(rank, F.col(version) if version else F.lit(1))
     both = left.unionByName(right, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in key and c != rank]
-    best = F.max(F.struct(F.col(rank), *[F.col(c) for c in rest])).alias("_best")
-    return (both.groupBy(*key).agg(best)
-            .select(*key, *[F.col(f"_best.{c}").alias(c) for c in rest]))
+    out = latest(both, key, rank)
+    return out.select(*[c for c in both.columns if c != rank])
 
 
 def payload_schema(run_fields: StructType, stats_fields: StructType,
@@ -84,28 +93,30 @@ def payload_schema(run_fields: StructType, stats_fields: StructType,
     return StructType(fields)
 
 
-def flatten_runs(payloads: DataFrame, queries: Sequence[str] = QUERY_FAMILIES) -> DataFrame:
-    """Payload documents -> run records ``benchmark_id, scale_pct, query, <run fields>``.
+def flatten_runs(payloads: DataFrame, queries: Sequence[str] = QUERY_FAMILIES,
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """Payload documents -> run records ``benchmark_id, scale_pct, query, <run fields>``
+    (plus the top-level ``carry`` columns, e.g. ``generated_at_utc``).
 
     Families absent from the payload schema are skipped; a null array gives no rows.
     """
     present = [q for q in queries if q in payloads.columns]
     if not present:
         raise ValueError("payload has none of the query families")
+    head = ["benchmark_id", "scale_pct", *carry]
     per_query = F.array(*[F.struct(F.lit(q).alias("query"), F.col(q).alias("runs"))
                           for q in present])
-    return (payloads.select("benchmark_id", "scale_pct", F.inline(per_query))
-            .select("benchmark_id", "scale_pct", "query", F.explode("runs").alias("r"))
-            .select("benchmark_id", "scale_pct", "query", "r.*"))
+    return (payloads.select(*head, F.inline(per_query))
+            .select(*head, "query", F.explode("runs").alias("r"))
+            .select(*head, "query", "r.*"))
 
 
-def flatten_summary(payloads: DataFrame) -> DataFrame:
+def flatten_summary(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Payload documents -> summary records ``benchmark_id, scale_pct, query, api, <stats>``."""
-    return (payloads.select("benchmark_id", "scale_pct",
-                            F.explode("summary").alias("query", "by_api"))
-            .select("benchmark_id", "scale_pct", "query",
-                    F.explode("by_api").alias("api", "stats"))
-            .select("benchmark_id", "scale_pct", "query", "api", "stats.*"))
+    head = ["benchmark_id", "scale_pct", *carry]
+    return (payloads.select(*head, F.explode("summary").alias("query", "by_api"))
+            .select(*head, "query", F.explode("by_api").alias("api", "stats"))
+            .select(*head, "query", "api", "stats.*"))
 
 
 def to_payloads(runs: DataFrame, summary: DataFrame, run_fields: Sequence[str],
