@@ -25,3 +25,14 @@ def test_family_from_parquet_path(spark, tmp_path):
 def test_unknown_family(spark):
     with pytest.raises(ValueError):
         families.build(spark, cleaned(spark), "nope")
+
+
+@pytest.mark.parametrize("family", families.FAMILIES)
+def test_reports(spark, family):
+    from jobs.report import reports
+    d = spark.createDataFrame([("10.0.0.1", "alpha")], "client_ip string, hostname string")
+    for title, df in reports(spark, cleaned(spark), family, n=2, directory=d):
+        rows = df.collect()
+        assert 0 < len(rows) <= 2, title
+        if "hostname" in df.columns:
+            assert {r.hostname for r in rows} <= {"alpha", "10.0.0.2", "10.0.0.4"}
