@@ -54,3 +54,22 @@ def test_rendered_lines_parse_back(spark, records):
 def test_sessions_match_loop(spark, events, timeout):
     assert _sessions(S.sessions(session_df(spark, events), timeout=timeout)) == \
         _brute_force(events, timeout)
+
+
+_req_chars = st.sampled_from(list("GET/ab \t  \u0085\r\"x1.") )
+
+
+@SETTINGS
+@given(st.lists(st.text(alphabet=_req_chars, max_size=14), min_size=1, max_size=40))
+def test_request_split_equals_separate_patterns(spark, requests):
+    from pyspark.sql import functions as F
+    from weblog.functions.logline import request_parts, split_request
+    df = spark.createDataFrame([(r,) for r in requests], "request string")
+    fast = request_parts(F.col("request"), split_request(F.col("request")),
+                         F.instr("request", "\n") == 0)
+    slow = request_parts(F.col("request"))
+    rows = df.select(*[fast[k].alias("f_" + k) for k in fast],
+                     *[slow[k].alias("s_" + k) for k in slow]).collect()
+    for r in rows:
+        for k in fast:
+            assert r["f_" + k] == r["s_" + k], (k, r)

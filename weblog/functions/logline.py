@@ -57,13 +57,36 @@ def field_from(value: Column, parts: Column, plain: Column, i: int) -> Column:
             .otherwise(F.regexp_extract(value, COMBINED_LINE, i + 1)))
 
 
-def request_parts(request: Column) -> dict[str, Column]:
-    """Method, path and version of a request line (``''`` when absent)."""
-    return {
+# Method, path and version in one match: the path pattern with its outer parts
+# captured too. Whenever it matches, its first and last groups are exactly what
+# REQUEST_METHOD and REQUEST_VERSION extract on their own.
+_REQUEST_3 = r"^(\S+)\s+(.+)\s+(\S+)$"
+
+
+def split_request(request: Column) -> Column:
+    """The three-token split of a request (an array of 3 when it matches)."""
+    return F.split(F.regexp_replace(request, _REQUEST_3, "$1\n$2\n$3"), _SEP)
+
+
+def request_parts(request: Column, parts: Column | None = None,
+                  plain: Column | None = None) -> dict[str, Column]:
+    """Method, path and version of a request line (``''`` when absent).
+
+    Given ``parts = split_request(request)`` and ``plain`` (the line has no
+    newline, so neither has the request), the common three-token request is
+    read from ``parts``; other requests (two tokens, or values with newlines)
+    use the per-part patterns.
+    """
+    exact = {
         "http_method": F.regexp_extract(request, REQUEST_METHOD, 1),
         "request_path": F.regexp_extract(request, REQUEST_PATH, 1),
         "http_version": F.regexp_extract(request, REQUEST_VERSION, 1),
     }
+    if parts is None:
+        return exact
+    three = plain & (F.size(parts) == 3)
+    return {name: F.when(three, parts.getItem(i)).otherwise(col)
+            for i, (name, col) in enumerate(exact.items())}
 
 
 def parse_log_ts(ts_raw: Column) -> Column:

@@ -11,6 +11,7 @@ from weblog.functions.logline import (
     parse_log_ts,
     request_parts,
     split_line,
+    split_request,
 )
 
 PARSED_FIELDS = ["raw_line", "line_matched", "client_ip", "remote_ident", "remote_user",
@@ -38,9 +39,10 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     s1 = lines.select(F.col(value).alias("raw_line"), parts.alias("_parts"),
                       plain.alias("_plain"))
     raw, p, pl = F.col("raw_line"), F.col("_parts"), F.col("_plain")
-    s2 = s1.select("raw_line", matched_from(raw, p, pl).alias("line_matched"),
+    s2 = s1.select("raw_line", "_plain", matched_from(raw, p, pl).alias("line_matched"),
                    *[field_from(raw, p, pl, i).alias(n) for i, n in enumerate(FIELD_NAMES)])
-    req = request_parts(F.col("request"))
+    s2 = s2.withColumn("_req_parts", split_request(F.col("request")))
+    req = request_parts(F.col("request"), F.col("_req_parts"), F.col("_plain"))
     s3 = s2.select(
         "raw_line", "line_matched", "client_ip", "remote_ident", "remote_user", "ts_raw",
         parse_log_ts(F.col("ts_raw")).alias("log_ts"),
