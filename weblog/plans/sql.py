@@ -17,12 +17,16 @@ GROUP BY request_path
 ORDER BY count DESC, request_path
 """
 
+# The denominator is a window sum over the per-status counts (a few hundred
+# rows at most), so the table is scanned once; a scalar subquery would
+# compute the per-status aggregate a second time.
 ERROR_STATUS_RATES = """
 WITH per_status AS (
-  SELECT status_code, count(*) AS count FROM {logs} GROUP BY status_code
+  SELECT status_code, count(*) AS count,
+         try_divide(CAST(count(*) AS DOUBLE), CAST(sum(count(*)) OVER () AS DOUBLE)) AS frequency
+  FROM {logs} GROUP BY status_code
 )
-SELECT status_code, count,
-       try_divide(CAST(count AS DOUBLE), CAST((SELECT sum(count) FROM per_status) AS DOUBLE)) AS frequency
+SELECT status_code, count, frequency
 FROM per_status
 WHERE status_code >= 400 AND status_code < 600
 ORDER BY frequency DESC, status_code
