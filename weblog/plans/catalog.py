@@ -70,6 +70,11 @@ def parse_quality_key(spark, sf):
     return rounded(parse_quality(parse_lines(fx.raw_lines(spark, sf, malformed=True))))
 
 
+def parse_quality_strict(spark, sf):
+    raw = fx.raw_lines(spark, sf, malformed=True, strict_methods=True)
+    return rounded(parse_quality(parse_lines(raw), strict_http_method=True))
+
+
 def sample_lines_key(spark, sf):
     return clean_logs(parse_lines(sample_lines(fx.raw_lines(spark, sf), 10.0, seed=42)))
 
@@ -245,6 +250,10 @@ def sessions_nested_flat(spark, sf):
     return sess.flatten_sessions(sess.nested_sessions(sess.sessions(_logs(spark, sf), timeout=LONG_TIMEOUT)))
 
 
+def sessions_window_fn_default(spark, sf):
+    return sess.sessions_by_window(_logs(spark, sf))
+
+
 def sessions_window_fn(spark, sf):
     return sess.sessions_by_window(_logs(spark, sf), timeout=LONG_TIMEOUT)
 
@@ -375,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "log_clean": log_clean,
     "log_clean_strict": log_clean_strict,
     "parse_quality": parse_quality_key,
+    "parse_quality_strict": parse_quality_strict,
     "sample_lines": sample_lines_key,
     "read_epoch_seconds": read_epoch_seconds,
     "write_roundtrip": write_roundtrip,
@@ -421,6 +431,7 @@ QUERIES: dict[str, Query] = {
     "sessions_per_host_long": sessions_per_host_long,
     "sessions_nested_flat": sessions_nested_flat,
     "sessions_window_fn": sessions_window_fn,
+    "sessions_window_fn_default": sessions_window_fn_default,
     "top_hosts_sessions": _top_session_hosts("session_count"),
     "top_hosts_session_duration": _top_session_hosts("avg_duration_secs"),
     "top_hosts_session_requests": _top_session_hosts("avg_requests_per_session"),

@@ -145,6 +145,14 @@ SELECT count(*) AS raw_lines,
        count(*) FILTER (WHERE event_id % 100 <> 0) AS cleaned_lines,
        round(CAST(count(*) FILTER (WHERE event_id % 100 <> 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS match_rate,
        round(CAST(count(*) FILTER (WHERE event_id % 100 <> 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS parse_rate
+FROM events""",
+    "parse_quality_strict": """
+SELECT count(*) AS raw_lines,
+       count(*) FILTER (WHERE event_id % 100 <> 0) AS matched_lines,
+       count(*) FILTER (WHERE event_id % 100 <> 0 AND user_id % 10 <> 7) AS cleaned_lines,
+       round(CAST(count(*) FILTER (WHERE event_id % 100 <> 0) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS match_rate,
+       round(CAST(count(*) FILTER (WHERE event_id % 100 <> 0 AND user_id % 10 <> 7) AS DOUBLE)
+             / CAST(count(*) AS DOUBLE), 6) AS parse_rate
 FROM events""",
     "read_epoch_seconds": f"WITH {LOGS} SELECT client_ip, {EPOCH} AS log_ts, status_code FROM logs",
     "write_roundtrip": CLEANED,
@@ -222,6 +230,10 @@ FROM prof LEFT JOIN dir ON prof.client_ip = dir.client_ip""",
     "sessions_window_fn": _with_sessions(LONG_TIMEOUT, f"""
 SELECT client_ip, first_ts AS session_start,
        last_ts + INTERVAL {LONG_TIMEOUT} SECOND AS session_end, request_count, duration_secs
+FROM sess"""),
+    "sessions_window_fn_default": _with_sessions(1800, """
+SELECT client_ip, first_ts AS session_start,
+       last_ts + INTERVAL 1800 SECOND AS session_end, request_count, duration_secs
 FROM sess"""),
     "top_hosts_sessions": _with_sessions(LONG_TIMEOUT, _top("SELECT * FROM per_host", "session_count", "client_ip")),
     "top_hosts_session_duration": _with_sessions(
