@@ -292,6 +292,26 @@ def api_parity(spark, sf):
     return out
 
 
+# The SQL surface on its own (each checked against the same oracle as its
+# DataFrame twin).
+
+def _sql_key(fn) -> Query:
+    def q(spark, sf):
+        return rounded(fn(spark, _logs(spark, sf)))
+    return q
+
+
+def sql_sessions_per_host(spark, sf):
+    logs = _logs(spark, sf)
+    return rounded(sqlapi.sessions_per_host(spark, sqlapi.sessions(spark, logs)))
+
+
+def _sql_naive(name: str) -> Query:
+    def q(spark, sf):
+        return rounded(sqlapi.host_metrics_naive(spark, _logs(spark, sf))[name])
+    return q
+
+
 # --- measurement tables -------------------------------------------------------
 
 def metric_summary(spark, sf):
@@ -438,6 +458,18 @@ QUERIES: dict[str, Query] = {
     "top_sessions": top_sessions,
     # SQL surface
     "api_parity": api_parity,
+    "sql_error_top_paths": _sql_key(sqlapi.error_top_paths),
+    "sql_error_status_rates": _sql_key(sqlapi.error_status_rates),
+    "sql_host_profile": _sql_key(sqlapi.host_profile),
+    "sql_hourly_profile": _sql_key(sqlapi.hourly_profile),
+    "sql_daily_counts": _sql_key(sqlapi.daily_counts),
+    "sql_sessions": _sql_key(sqlapi.sessions),
+    "sql_sessions_per_host": sql_sessions_per_host,
+    "sql_host_requests": _sql_naive("requests_per_host"),
+    "sql_host_bytes": _sql_naive("bytes_per_host"),
+    "sql_host_avg_bytes": _sql_naive("average_bytes_per_host"),
+    "sql_host_error_rate": _sql_naive("error_rate_per_host"),
+    "sql_host_distinct_paths": _sql_naive("distinct_endpoints_per_host"),
     # measurement tables
     "metric_summary": metric_summary,
     "metric_summary_sample": metric_summary_sample,

@@ -299,3 +299,9 @@ SELECT query, api, count(*) AS num_stages,
        round(sum(executor_cpu_time) / 1000000000.0, 6) AS executor_cpu_time_sec
 FROM new GROUP BY query, api""",
 }
+
+# The SQL surface's keys share the oracles of their DataFrame twins.
+for _k in ("error_top_paths", "error_status_rates", "host_profile", "hourly_profile",
+           "daily_counts", "sessions", "sessions_per_host", "host_requests", "host_bytes",
+           "host_avg_bytes", "host_error_rate", "host_distinct_paths"):
+    ORACLES[f"sql_{_k}"] = ORACLES[_k]
