@@ -112,7 +112,10 @@ def session_rows(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
     seconds = (rows.where(F.col(ts).isNotNull())
                .groupBy(key, "_sec")
                .agg(F.max(ts).alias("_sec_last_ts"), F.count(F.lit(1)).alias("_n"))
-               .withColumn("_bucket", F.floor(F.col("_sec") / F.lit(w_width))))
+               # never null (null timestamps are filtered above); a non-null key keeps
+               # both uses of this summary identical, so its exchange is reused
+               .withColumn("_bucket", F.coalesce(F.floor(F.col("_sec") / F.lit(w_width)),
+                                                 F.lit(0).cast("long"))))
     # The bucket summary is an aggregate of the (smaller) per-second summary.
     buckets = _flag_buckets(
         seconds.groupBy(key, "_bucket").agg(
