@@ -36,3 +36,15 @@ def test_reports(spark, family):
         assert 0 < len(rows) <= 2, title
         if "hostname" in df.columns:
             assert {r.hostname for r in rows} <= {"alpha", "10.0.0.2", "10.0.0.4"}
+
+
+@pytest.mark.parametrize("api", families.APIS)
+def test_empty_log_gives_empty_results(spark, api):
+    from weblog.operators import sessions as S
+    logs = cleaned(spark).where("false")
+    for fam in families.FAMILIES:
+        for name, df in families.build(spark, logs, fam, api).items():
+            assert df.count() == 0, (fam, name)
+    assert S.session_rows(logs).count() == 0
+    assert S.assign_session_ids(logs).count() == 0
+    assert S.sessions_by_window(logs).count() == 0
