@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame  # noqa: E402
 from weblog.operators import families as fam  # noqa: E402
 from weblog.operators import hosts  # noqa: E402
 from weblog.operators.ranking import top_n  # noqa: E402
-from weblog.session import build  # noqa: E402
+from weblog.session import build, scratch_dir  # noqa: E402
 from weblog.sources.logs import read_logs  # noqa: E402
 
 # (result name, metric, key columns) per family: the rankings each family reports.
@@ -48,8 +48,21 @@ RANKINGS = {
 
 def reports(spark, logs: DataFrame, family: str, api: str = "DataFrame", n: int = 10,
             directory: DataFrame | None = None, timeout: int = 1800) -> list[tuple[str, DataFrame]]:
-    """The family's rankings as ``(title, top-n DataFrame)`` pairs (lazy)."""
+    """The family's rankings as ``(title, top-n DataFrame)`` pairs.
+
+    A result ranked more than once is computed once (checkpointed to the
+    session's ``spark.checkpoint.dir``); the rankings themselves are lazy.
+    """
     results = fam.build(spark, logs, family, api, timeout)
+    uses: dict[str, int] = {}
+    for name, _, _ in RANKINGS[family]:
+        uses[name] = uses.get(name, 0) + 1
+    for name, n_uses in uses.items():
+        if n_uses > 1:
+            # Ranked several times: materialise the (aggregated) result once in the
+            # shared checkpoint folder instead of recomputing it per ranking.
+            scratch_dir(spark, "report")  # makes sure a checkpoint folder is set
+            results[name] = results[name].checkpoint(eager=True)
     out = []
     for name, metric, keys in RANKINGS[family]:
         top = top_n(results[name], metric, keys, n)
