@@ -53,3 +53,13 @@ def test_streaming_ingest_exactly_once(spark, tmp_path):
     q = start_ingest(spark, str(src), str(out), str(ckpt))  # resume: only the new file
     q.awaitTermination(120)
     assert spark.read.parquet(str(out)).count() == 7
+
+
+def test_ingest_job_with_output_partitions_counts_exactly(spark, tmp_path):
+    from jobs import ingest
+    src = tmp_path / "a.log"
+    _write_log(src, F_LINES)
+    out = tmp_path / "t"
+    res = ingest.run(spark, ingest.parse_args(["--raw-log-path", str(src), "--output-parquet-path",
+                                               str(out), "--output-partitions", "3"]))
+    assert (res["raw_lines"], res["matched_lines"], res["cleaned_lines"], res["read_back"]) == (12, 8, 4, 4)
