@@ -33,6 +33,12 @@ def parse_quality(parsed: DataFrame, strict_http_method: bool = False) -> DataFr
 def observed(parsed: DataFrame, strict_http_method: bool = False,
              name: str = "parse_quality") -> tuple[DataFrame, Observation]:
     """Attach the same counts as an ``Observation`` so that a later write
-    collects them in the same job (no extra pass over the data)."""
+    collects them in the same job (no extra pass over the data).
+
+    The counts are exact when the observed frame is evaluated in the stage that
+    writes (no shuffle between it and the sink): Spark applies each result
+    task's update once. Behind a shuffle, a re-run map stage may count twice;
+    use ``parse_quality`` there.
+    """
     obs = Observation(name)
     return parsed.observe(obs, *_counts(strict_http_method)), obs
