@@ -89,13 +89,54 @@ def stage_records(events: DataFrame, group_property: str = "spark.jobGroup.id")
         *[_accumulated(F.col("s")["Accumulables"], names).alias(out)
           for out, names in STAGE_METRICS.items()],
     )
+    # A stage belongs to the first job that listed it (later jobs reuse it).
+    return stages.join(_stage_owner(events, group_property), "stage_id", "left")
+
+
+_TASK_END = StructType([
+    StructField("Stage ID", LongType()),
+    StructField("Stage Attempt ID", LongType()),
+    StructField("Task End Reason", StructType([StructField("Reason", StringType())])),
+    StructField("Task Info", StructType([StructField("Task ID", LongType())])),
+    StructField("Task Metrics", StructType([
+        StructField("Executor Run Time", LongType()),
+        StructField("Shuffle Read Metrics", StructType([
+            StructField("Total Records Read", LongType()),
+            StructField("Remote Bytes Read", LongType()),
+            StructField("Local Bytes Read", LongType()),
+        ])),
+        StructField("Input Metrics", StructType([StructField("Records Read", LongType())])),
+    ])),
+])
+
+
+def task_records(events: DataFrame, group_property: str = "spark.jobGroup.id") -> DataFrame:
+    """One row per finished task: stage_id, attempt, task_id, job_group, succeeded,
+    run_time_ms, shuffle_records_read, shuffle_bytes_read, input_records."""
+    t = (events.where(_event("SparkListenerTaskEnd"))
+         .select(F.from_json("value", _TASK_END).alias("t")))
+    m = F.col("t")["Task Metrics"]
+    srm = m["Shuffle Read Metrics"]
+    tasks = t.select(
+        F.col("t")["Stage ID"].alias("stage_id"),
+        F.col("t")["Stage Attempt ID"].alias("attempt"),
+        F.col("t")["Task Info"]["Task ID"].alias("task_id"),
+        (F.col("t")["Task End Reason"]["Reason"] == "Success").alias("succeeded"),
+        m["Executor Run Time"].alias("run_time_ms"),
+        srm["Total Records Read"].alias("shuffle_records_read"),
+        (srm["Remote Bytes Read"] + srm["Local Bytes Read"]).alias("shuffle_bytes_read"),
+        m["Input Metrics"]["Records Read"].alias("input_records"),
+    )
+    return tasks.join(_stage_owner(events, group_property), "stage_id", "left")
+
+
+def _stage_owner(events: DataFrame, group_property: str) -> DataFrame:
+    """stage_id -> job_group of the first job that listed the stage."""
     jobs = (events.where(_event("SparkListenerJobStart"))
             .select(F.from_json("value", _JOB_START).alias("j"))
             .select(F.col("j")["Job ID"].alias("job_id"),
                     F.col("j")["Properties"][group_property].alias("job_group"),
                     F.explode(F.col("j")["Stage IDs"]).alias("stage_id")))
-    # A stage belongs to the first job that listed it (later jobs reuse it).
-    owner = (jobs.groupBy("stage_id")
-             .agg(F.min(F.struct("job_id", "job_group")).alias("o"))
-             .select("stage_id", F.col("o.job_group").alias("job_group")))
-    return stages.join(owner, "stage_id", "left")
+    return (jobs.groupBy("stage_id")
+            .agg(F.min(F.struct("job_id", "job_group")).alias("o"))
+            .select("stage_id", F.col("o.job_group").alias("job_group")))
