@@ -52,8 +52,11 @@ def main(argv) -> int:
     logs = read_logs(spark, path)
     total = logs.count()
     hot = logs.where(F.col("client_ip") == "hot").count()
-    plans = {"bucketed (weblog.operators.sessions)": lambda: S.sessions(logs),
-             "textbook (window over every row of a client)": lambda: textbook_sessions(logs)}
+    from weblog.operators import traffic
+    plans = {"sessions, bucketed (weblog.operators.sessions)": lambda: S.sessions(logs),
+             "sessions, textbook (window over every row of a client)":
+                 lambda: textbook_sessions(logs),
+             "host profile (weblog.operators.traffic)": lambda: traffic.host_profile(logs)}
     for name, fn in plans.items():
         spark.sparkContext.setJobGroup(name, name)
         fn().write.format("noop").mode("overwrite").save()
@@ -82,7 +85,9 @@ def main(argv) -> int:
     print("\nWith even hashing every task would read 1/16 = 0.06 of a stage. The textbook "
           "plan sends every request of the hot client to one task; the bucketed plan "
           "shuffles per-task partial summaries, so the hot client is a few summary rows "
-          "per task and then at most one row per (client, bucket).")
+          "per task and then at most one row per (client, bucket). The host profile's "
+          "first shuffle is on (client, path), its second carries one partial row per "
+          "client per task.")
     return 0
 
 
