@@ -3,7 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 Setup (untimed): the ``events`` table is rendered as Combined Log lines.
-Timed (median of ``BENCH_RUNS`` runs after one warm-up each):
+Timed (median of ``BENCH_RUNS`` runs after one warm-up each, entries in a
+seeded random order, ``BENCH_SEED``):
 
 * log_parsing: read lines, parse, clean, write the Parquet table (with the
   parse-quality counts observed in the same job);
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import re
 import statistics
 import sys
@@ -94,8 +96,13 @@ def main() -> None:
     write_logs(fx.access_logs(spark, sf_dir, hot_client=True), hot_table, partitions=cpus)
     families["sessionization_hot_client/DataFrame"] = lambda: _noop(
         *fam.build(spark, read_logs(spark, hot_table), "sessionization").values())
+    # Shuffled order (seeded), each entry after its own warm-up: no entry pays
+    # the session's start-up cost for the others.
+    order = list(families)
+    random.Random(int(os.environ.get("BENCH_SEED", "0"))).shuffle(order)
     results: dict[str, float] = {}
-    for name, fn in families.items():
+    for name in order:
+        fn = families[name]
         fn()  # warm-up
         times = []
         for i in range(runs):
@@ -106,6 +113,7 @@ def main() -> None:
             spark.sparkContext.setJobGroup("other", "other")
         results[name] = round(statistics.median(times), 4)
 
+    results = {name: results[name] for name in families}
     rows = spark.read.parquet(table).count()
     spark.stop()
     sf_match = re.search(r"sf([0-9.]+)", sf_dir)
