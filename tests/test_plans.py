@@ -58,3 +58,13 @@ def test_ingest_is_one_codegen_stage(spark, tmp_path):
     assert "Exchange" not in t
     # the cleaning filter stays above the parse (the pattern is not re-run per field)
     assert t.index("Generate") > t.index("Filter")
+
+
+def test_plan_files_and_manifest(spark, logs_path, tmp_path):
+    import json
+    from tools.plan_report import write_plan_files
+    files = write_plan_files(spark, logs_path, str(tmp_path / "plans"), "b1", 10)
+    assert len(files) == 2 * 12  # two APIs x twelve results
+    m = json.loads((tmp_path / "plans" / "run_manifest.json").read_text())
+    assert m["benchmark_id"] == "b1" and m["scale_pct"] == 10 and len(m["files"]) == len(files)
+    assert "Physical Plan" in open(files[0]).read()

@@ -1,6 +1,7 @@
 """Write PLANS.md: the physical plan shape of every query key.
 
     python tools/plan_report.py [sf_dir] > PLANS.md
+    python tools/plan_report.py --output-dir DIR --parquet-path LOGS   # one file per result
 
 Per key: shuffle exchanges (with their partitioning), broadcast exchanges,
 window and sort operators, generators, and for each file scan its read schema
@@ -34,7 +35,48 @@ def summarize(plan: str, formatted: str) -> dict:
     }
 
 
+def write_plan_files(spark, logs_path: str, out_dir: str, benchmark_id: str = "local",
+                     scale_pct: int | None = None) -> list[str]:
+    """One ``<family>__<api>__<result>.txt`` file per result with its formatted
+    physical plan, plus ``run_manifest.json`` (benchmark_id, scale_pct, time)."""
+    import datetime as dt
+    import json
+    from weblog.operators import families as fam
+    from weblog.plans.inspect import plan_text
+    from weblog.sources.logs import read_logs
+    os.makedirs(out_dir, exist_ok=True)
+    written = []
+    for name in fam.FAMILIES:
+        for api in fam.APIS:
+            for res, df in fam.build(spark, read_logs(spark, logs_path), name, api).items():
+                f = os.path.join(out_dir, f"{name}__{api}__{res}.txt")
+                with open(f, "w") as fh:
+                    fh.write(plan_text(df, "formatted"))
+                written.append(f)
+    with open(os.path.join(out_dir, "run_manifest.json"), "w") as fh:
+        json.dump({"benchmark_id": benchmark_id, "scale_pct": scale_pct,
+                   "generated_at_utc": dt.datetime.now(dt.timezone.utc).isoformat(),
+                   "files": [os.path.basename(x) for x in written]}, fh, indent=2)
+    return written
+
+
 def main(argv) -> int:
+    if "--output-dir" in argv:
+        # python tools/plan_report.py --output-dir DIR --parquet-path LOGS [--benchmark-id ID] [--scale-pct N]
+        import argparse
+        p = argparse.ArgumentParser()
+        p.add_argument("--output-dir", required=True)
+        p.add_argument("--parquet-path", required=True)
+        p.add_argument("--benchmark-id", default="local")
+        p.add_argument("--scale-pct", type=int, default=None)
+        a = p.parse_args(argv[1:])
+        from weblog.session import build
+        spark = build(master="local[8]", shuffle_partitions=8)
+        spark.sparkContext.setLogLevel("ERROR")
+        files = write_plan_files(spark, a.parquet_path, a.output_dir, a.benchmark_id, a.scale_pct)
+        print(f"wrote {len(files)} plan files to {a.output_dir}")
+        spark.stop()
+        return 0
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     import __spark_entry__ as E
     from weblog.plans.inspect import plan_text
