@@ -96,3 +96,19 @@ def test_conform_fails_on_missing_column(spark):
     import pytest
     with pytest.raises(ValueError):
         conform(cleaned(spark).drop("log_date"))
+
+
+def test_final_line_terminator_takes_exact_path(spark):
+    # "$" also matches before a final line terminator; the value's last
+    # character must not stick to the last field.
+    from weblog.functions.logline import request_parts, split_request
+    base = '10.0.0.1 - - [22/Jan/2019:00:00:00 +0000] "GET /a HTTP/1.1" 200 123'
+    rows = parse_lines(lines_df(spark, [base + "\u2028", base + "\u0085"])).collect()
+    assert [r.bytes_str for r in rows] == ["123", "123"]
+    df = spark.createDataFrame([("1 1 1\r",), ("GET /x HTTP/1.1\u2028",)], "request string")
+    fast = request_parts(F.col("request"), split_request(F.col("request")), F.lit(True))
+    slow = request_parts(F.col("request"))
+    got = df.select(*[fast[k].alias(k) for k in fast]).collect()
+    want = df.select(*[slow[k].alias(k) for k in slow]).collect()
+    assert got == want
+    assert got[0].http_version == "1"

@@ -25,7 +25,7 @@ _record = st.fixed_dictionaries({
     "tail": st.sampled_from(["", ' "-" "UA"', ' "ref" "Mozilla/5.0 (X11)" "-"']),
 })
 
-SETTINGS = settings(max_examples=15, deadline=None,
+SETTINGS = settings(max_examples=int(__import__("os").environ.get("HYPOTHESIS_EXAMPLES", "15")), deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 
 
@@ -56,7 +56,7 @@ def test_sessions_match_loop(spark, events, timeout):
         _brute_force(events, timeout)
 
 
-_req_chars = st.sampled_from(list("GET/ab \t  \u0085\r\"x1.") )
+_req_chars = st.sampled_from(list("GET/ab \t \u2028\u0085\r\"x1.") )
 
 
 @SETTINGS
@@ -73,3 +73,25 @@ def test_request_split_equals_separate_patterns(spark, requests):
     for r in rows:
         for k in fast:
             assert r["f_" + k] == r["s_" + k], (k, r)
+
+
+_line_chars = st.sampled_from(list('1 a-"[]/:+0\\t') + ["\r", "\u0085", "\u2028", "\u2029"])
+
+
+@SETTINGS
+@given(st.lists(st.tuples(_record, st.text(alphabet=_line_chars, max_size=3)), min_size=1, max_size=25))
+def test_line_split_equals_per_group_extract(spark, items):
+    """Rendered lines with odd trailing characters: the one-match reading equals
+    per-group ``regexp_extract`` (the definition)."""
+    from pyspark.sql import functions as F
+    from weblog.functions.logline import COMBINED_LINE, FIELD_NAMES
+    lines = [_line(r) + tail for r, tail in items]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = parse_lines(df).collect()
+    want = df.select(F.col("value").rlike(COMBINED_LINE).alias("m"),
+                     *[F.regexp_extract("value", COMBINED_LINE, i + 1).alias(n)
+                       for i, n in enumerate(FIELD_NAMES)]).collect()
+    for g, w in zip(got, want):
+        assert g.line_matched == w.m
+        assert (g.client_ip, g.remote_ident, g.remote_user, g.ts_raw, g.status_str, g.bytes_str) == \
+            (w.client_ip, w.remote_ident, w.remote_user, w.ts_raw, w.status_str, w.bytes_str), repr(g.raw_line)

@@ -33,18 +33,30 @@ FIELD_NAMES = ("client_ip", "remote_ident", "remote_user", "ts_raw", "request",
 # The line is matched once: the replacement joins the seven groups with a
 # newline, then ``split`` yields the fields. Lines read by the text source never
 # contain a newline, and no group can produce one from such a line, so for them
-# "seven parts" is exactly "matched". A value that does contain a newline (from
-# another source) takes the exact per-group path instead.
+# "seven parts" is exactly "matched". A value that contains a newline, or ends
+# in a line terminator, takes the exact per-group path instead.
 _SEP = "\n"
 _JOINED = _SEP.join(f"${i}" for i in range(1, 8))
 
 
+# Characters after which ``$`` also matches ("before a final line terminator");
+# a match may then stop short of the end, and ``regexp_replace`` would leave
+# that character attached to the last group.
+_FINAL_TERMINATORS = ("\r", "\u0085", "\u2028", "\u2029")
+
+
+def _plain(value: Column) -> Column:
+    """No newline inside and no line terminator at the end: then one match
+    covers the whole value and the replace-and-split reading is exact."""
+    return ((F.instr(value, _SEP) == 0)
+            & ~F.coalesce(F.substr(value, F.lit(-1), F.lit(1)).isin(*_FINAL_TERMINATORS), F.lit(False)))
+
+
 def split_line(value: Column) -> tuple[Column, Column]:
-    """``(parts, plain)``: the joined-and-split groups, and whether the value is
-    newline-free (so that ``parts`` alone decides the match)."""
+    """``(parts, plain)``: the joined-and-split groups, and whether ``parts``
+    alone decides the match (see ``_plain``)."""
     parts = F.split(F.regexp_replace(value, COMBINED_LINE, _JOINED), _SEP)
-    plain = F.instr(value, _SEP) == 0
-    return parts, plain
+    return parts, _plain(value)
 
 
 def matched_from(value: Column, parts: Column, plain: Column) -> Column:
@@ -84,7 +96,7 @@ def request_parts(request: Column, parts: Column | None = None,
     }
     if parts is None:
         return exact
-    three = plain & (F.size(parts) == 3)
+    three = plain & _plain(request) & (F.size(parts) == 3)
     return {name: F.when(three, parts.getItem(i)).otherwise(col)
             for i, (name, col) in enumerate(exact.items())}
 
