@@ -10,6 +10,8 @@ seeded random order, ``BENCH_SEED``):
   parse-quality counts observed in the same job);
 * ``sessionization_hot_client/DataFrame``: sessionization of the same log
   with a third of all requests on one client (the skew case);
+* ``sessionization_materialized/DataFrame``: sessions checkpointed once and
+  read by both results;
 * ``<family>/<api>`` for the five query families (error_pattern_analysis,
   temporal_aggregation, perhost_traffic_profiling,
   perhost_traffic_profiling_naive, sessionization) in the DataFrame and SQL
@@ -96,6 +98,9 @@ def main() -> None:
     write_logs(fx.access_logs(spark, sf_dir, hot_client=True), hot_table, partitions=cpus)
     families["sessionization_hot_client/DataFrame"] = lambda: _noop(
         *fam.build(spark, read_logs(spark, hot_table), "sessionization").values())
+    # Sessions computed once (checkpoint in the shared folder) for both results.
+    families["sessionization_materialized/DataFrame"] = lambda: _noop(
+        *fam.build(spark, logs(), "sessionization", materialize=True).values())
     # Shuffled order (seeded), each entry after its own warm-up: no entry pays
     # the session's start-up cost for the others.
     order = list(families)

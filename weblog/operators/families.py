@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weblog.operators import errors, ranking, temporal, traffic
 from weblog.operators import sessions as sess
 from weblog.plans import sql as sqlapi
+from weblog.session import scratch_dir
 from weblog.sources.logs import read_logs
 
 FAMILIES = (
@@ -24,7 +25,18 @@ FAMILIES = (
 APIS = ("DataFrame", "SQL")
 
 
-def _dataframe(logs: DataFrame, family: str, timeout: int) -> dict[str, DataFrame]:
+def _shared(df: DataFrame, materialize: bool) -> DataFrame:
+    """A result that other results are built from: with ``materialize`` it is
+    computed once and checkpointed to the session's shared
+    ``spark.checkpoint.dir`` (lineage cut; survives lost executors)."""
+    if not materialize:
+        return df
+    scratch_dir(df.sparkSession, "family")  # makes sure a checkpoint folder is set
+    return df.checkpoint(eager=True)
+
+
+def _dataframe(logs: DataFrame, family: str, timeout: int,
+               materialize: bool = False) -> dict[str, DataFrame]:
     if family == "error_pattern_analysis":
         return {"top_endpoints": errors.top_paths(logs),
                 "error_freq_rate": errors.status_rates(logs)}
@@ -44,12 +56,13 @@ def _dataframe(logs: DataFrame, family: str, timeout: int) -> dict[str, DataFram
                                                            "distinct_endpoints", k),
         }
     if family == "sessionization":
-        s = sess.sessions(logs, timeout=timeout)
+        s = _shared(sess.sessions(logs, timeout=timeout), materialize)
         return {"sessions": s, "per_ip": sess.per_host(s)}
     raise ValueError(f"unknown family {family!r}; one of {FAMILIES}")
 
 
-def _sql(spark: SparkSession, logs: DataFrame, family: str, timeout: int) -> dict[str, DataFrame]:
+def _sql(spark: SparkSession, logs: DataFrame, family: str, timeout: int,
+         materialize: bool = False) -> dict[str, DataFrame]:
     if family == "error_pattern_analysis":
         return {"top_endpoints": sqlapi.error_top_paths(spark, logs),
                 "error_freq_rate": sqlapi.error_status_rates(spark, logs)}
@@ -61,17 +74,22 @@ def _sql(spark: SparkSession, logs: DataFrame, family: str, timeout: int) -> dic
     if family == "perhost_traffic_profiling_naive":
         return sqlapi.host_metrics_naive(spark, logs)
     if family == "sessionization":
-        s = sqlapi.sessions(spark, logs, timeout)
+        s = _shared(sqlapi.sessions(spark, logs, timeout), materialize)
         return {"sessions": s, "per_ip": sqlapi.sessions_per_host(spark, s)}
     raise ValueError(f"unknown family {family!r}; one of {FAMILIES}")
 
 
 def build(spark: SparkSession, logs: DataFrame | str, family: str, api: str = "DataFrame",
-          timeout: int = sess.DEFAULT_TIMEOUT) -> dict[str, DataFrame]:
-    """Named results of one query family over the access-log table."""
+          timeout: int = sess.DEFAULT_TIMEOUT, materialize: bool = False) -> dict[str, DataFrame]:
+    """Named results of one query family over the access-log table.
+
+    Lazy by default. ``materialize=True`` computes a result that others are
+    derived from (sessions, for the per-IP statistics) once, as a checkpoint in
+    the shared folder, instead of once per derived result.
+    """
     df = read_logs(spark, logs) if isinstance(logs, str) else logs
     if api == "DataFrame":
-        return _dataframe(df, family, timeout)
+        return _dataframe(df, family, timeout, materialize)
     if api == "SQL":
-        return _sql(spark, df, family, timeout)
+        return _sql(spark, df, family, timeout, materialize)
     raise ValueError(f"unknown api {api!r}; one of {APIS}")
