@@ -61,3 +61,14 @@ def test_materialized_sessions_equal_lazy(spark, api):
     from weblog.plans.inspect import plan_text
     assert "Scan ExistingRDD" in plan_text(mat["per_ip"], "simple") or \
         "LogicalRDD" in plan_text(mat["per_ip"], "extended")
+
+
+@pytest.mark.parametrize("family", ["error_pattern_analysis", "temporal_aggregation"])
+def test_materialized_families_equal_lazy(spark, family):
+    from weblog import fixtures as fx
+    logs = fx.access_logs(spark, "/root/testdata/sf0.001")
+    lazy = families.build(spark, logs, family)
+    mat = families.build(spark, logs, family, materialize=True)
+    assert lazy.keys() == mat.keys()
+    for name in lazy:
+        assert diff_rows(lazy[name], mat[name]).count() == 0, (family, name)

@@ -7,8 +7,10 @@ to the same physical operators; the SQL texts live in ``weblog.plans.sql``.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from weblog.functions.exprs import is_error, percent, ratio
 from weblog.operators import errors, ranking, temporal, traffic
 from weblog.operators import sessions as sess
 from weblog.plans import sql as sqlapi
@@ -35,12 +37,48 @@ def _shared(df: DataFrame, materialize: bool) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _error_family_once(logs: DataFrame) -> dict[str, DataFrame]:
+    """Both error reports from one checkpointed pre-aggregate per (status, path
+    of error rows): non-error rows collapse to one row per status."""
+    err = is_error("status_code")
+    pre = _shared(logs.groupBy("status_code", F.when(err, F.col("request_path")).alias("request_path"))
+                  .agg(F.count(F.lit(1)).alias("n")), True)
+    paths = (pre.where(is_error("status_code")).groupBy("request_path")
+             .agg(F.sum("n").alias("count"))
+             .orderBy(F.col("count").desc(), F.col("request_path").asc()))
+    per_status = pre.groupBy("status_code").agg(F.sum("n").alias("count"))
+    total = F.sum("count").over(Window.partitionBy())
+    rates = (per_status.select("status_code", "count", ratio(F.col("count"), total).alias("frequency"))
+             .where(is_error("status_code"))
+             .orderBy(F.col("frequency").desc(), F.col("status_code").asc()))
+    return {"top_endpoints": paths, "error_freq_rate": rates}
+
+
+def _temporal_family_once(logs: DataFrame) -> dict[str, DataFrame]:
+    """Hourly profile and daily counts from one checkpointed (date, hour)
+    pre-aggregate; averages are rebuilt from sums and counts, so they are exact."""
+    pre = _shared(logs.groupBy(F.to_date("log_ts").alias("date"), F.hour("log_ts").alias("hour"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.sum("response_bytes").alias("b"),
+                       F.count("response_bytes").alias("nb"),
+                       F.count_if(is_error("status_code")).alias("e")), True)
+    hourly = pre.groupBy("hour").agg(
+        F.sum("n").alias("total_requests"), F.sum("b").alias("total_bytes"),
+        F.try_divide(F.sum("b").cast("double"), F.sum("nb").cast("double")).alias("average_bytes"),
+        percent(F.sum("e"), F.sum("n")).alias("error_rate"))
+    daily = pre.groupBy("date").agg(F.sum("n").alias("total_requests"))
+    return {"metrics_per_hour": hourly, "metrics_per_day": daily}
+
+
 def _dataframe(logs: DataFrame, family: str, timeout: int,
                materialize: bool = False) -> dict[str, DataFrame]:
     if family == "error_pattern_analysis":
+        if materialize:
+            return _error_family_once(logs)
         return {"top_endpoints": errors.top_paths(logs),
                 "error_freq_rate": errors.status_rates(logs)}
     if family == "temporal_aggregation":
+        if materialize:
+            return _temporal_family_once(logs)
         return {"metrics_per_hour": temporal.hourly_profile(logs),
                 "metrics_per_day": temporal.daily_counts(logs)}
     if family == "perhost_traffic_profiling":
@@ -83,9 +121,11 @@ def build(spark: SparkSession, logs: DataFrame | str, family: str, api: str = "D
           timeout: int = sess.DEFAULT_TIMEOUT, materialize: bool = False) -> dict[str, DataFrame]:
     """Named results of one query family over the access-log table.
 
-    Lazy by default. ``materialize=True`` computes a result that others are
-    derived from (sessions, for the per-IP statistics) once, as a checkpoint in
-    the shared folder, instead of once per derived result.
+    Lazy by default. ``materialize=True`` computes what several results share
+    once, as a checkpoint in the shared folder: sessions for the per-IP
+    statistics; a (date, hour) pre-aggregate for both temporal results; a
+    (status, error path) pre-aggregate for both error reports (DataFrame API).
+    The log table is then scanned once per family instead of once per result.
     """
     df = read_logs(spark, logs) if isinstance(logs, str) else logs
     if api == "DataFrame":
