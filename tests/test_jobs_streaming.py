@@ -63,3 +63,17 @@ def test_ingest_job_with_output_partitions_counts_exactly(spark, tmp_path):
     res = ingest.run(spark, ingest.parse_args(["--raw-log-path", str(src), "--output-parquet-path",
                                                str(out), "--output-partitions", "3"]))
     assert (res["raw_lines"], res["matched_lines"], res["cleaned_lines"], res["read_back"]) == (12, 8, 4, 4)
+
+
+def test_streaming_ingest_by_date_strict(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    out, ckpt = tmp_path / "out", tmp_path / "ckpt"
+    _write_log(src / "a.log", F_LINES)
+    q = start_ingest(spark, str(src), str(out), str(ckpt), strict_http_method=True, by_date=True,
+                     max_files_per_trigger=1)
+    q.awaitTermination(120)
+    t = read_logs(spark, str(out))
+    assert t.count() == 3  # the FOO request is dropped
+    assert sorted(p.name for p in out.iterdir() if p.name.startswith("log_date=")) == \
+        ["log_date=2019-01-21", "log_date=2019-01-22"]
