@@ -27,7 +27,9 @@ from weblog.llm.common import WHITE, pick, table, written
 from weblog.session import scratch_dir
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SETTING = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; many small stores must not each reserve megabytes for their manifests.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": PROVIDER,
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -74,8 +76,9 @@ def stream_state(slim: DataFrame, path: str, state_dir: str, files_per_batch: in
     where the first ended.
     """
     spark = slim.sparkSession
-    before = spark.conf.get(SETTING, None)
-    spark.conf.set(SETTING, PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
         state = stream.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -87,10 +90,8 @@ def stream_state(slim: DataFrame, path: str, state_dir: str, files_per_batch: in
          .option("checkpointLocation", f"{state_dir}/checkpoint")
          .trigger(availableNow=True).start().awaitTermination())
     finally:
-        if before is None:
-            spark.conf.unset(SETTING)
-        else:
-            spark.conf.set(SETTING, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if slim.isEmpty():
         return slim.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size"))
     schema = slim.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size")).schema
