@@ -1,11 +1,14 @@
 """The subpackage's query keys and, where SQL can state the result, their oracles."""
 from __future__ import annotations
 
-from weblog.llm import chat, exact_dedup
+from weblog.llm import bpe, chat, exact_dedup, mixing, quality
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
