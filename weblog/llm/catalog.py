@@ -1,9 +1,10 @@
 """The subpackage's query keys and, where SQL can state the result, their oracles."""
 from __future__ import annotations
 
-from weblog.llm import bpe, chat, exact_dedup, mixing, quality
+from weblog.llm import bpe, chat, exact_dedup, mixing, near_dedup, quality
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_near_dedup": near_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op9_chat_format": chat.ORACLE,
 }
