@@ -1,13 +1,14 @@
 """The subpackage's query keys and, where SQL can state the result, their oracles."""
 from __future__ import annotations
 
-from weblog.llm import bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, quality
+from weblog.llm import bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, quality, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_warc": warc.op6_warc,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality": quality.op10_quality,
