@@ -1,11 +1,12 @@
 """The subpackage's query keys and, where SQL can state the result, their oracles."""
 from __future__ import annotations
 
-from weblog.llm import bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, quality, warc
+from weblog.llm import bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, quality, repeats, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_bpe": bpe.op2_bpe,
+    "op3_repeats": repeats.op3_repeats,
     "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc": warc.op6_warc,
