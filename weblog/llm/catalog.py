@@ -1,7 +1,7 @@
 """The subpackage's query keys and, where SQL can state the result, their oracles."""
 from __future__ import annotations
 
-from weblog.llm import bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, quality, repeats, warc
+from weblog.llm import bpe, chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, quality, repeats, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc": warc.op6_warc,
+    "op7_html_text": html_text.op7_html_text,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality": quality.op10_quality,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_near_dedup": near_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_html_text": html_text.ORACLE,
     "op9_chat_format": chat.ORACLE,
 }
