@@ -43,7 +43,7 @@ from weblog.operators.parse import parse_lines  # noqa: E402
 from weblog.operators.quality import observed  # noqa: E402
 from weblog.session import build, scratch_dir  # noqa: E402
 from weblog.sources.logs import read_logs, write_logs  # noqa: E402
-from weblog.sources.eventlog import read_event_log, stage_records  # noqa: E402
+from tools.eventlog import read_event_log, stage_records  # noqa: E402
 from weblog.sources.text import read_lines  # noqa: E402
 
 

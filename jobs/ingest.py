@@ -1,13 +1,13 @@
 """Raw access log (plain or gzip text) -> cleaned, typed Parquet table.
 
-    spark-submit jobs/ingest.py --raw-log-path s3://logs/access.log.gz \\
-        --output-parquet-path s3://lake/access_logs --output-partitions 0 \\
+    spark-submit jobs/ingest.py --raw-log-path <logs>/access.log.gz \\
+        --output-parquet-path <tables>/access_logs --output-partitions 0 \\
         --partition-by-log-date --input-partitions 2000
 
 One job: read -> (sample) -> parse -> clean -> write. The parse-quality
 counts (raw, matched, cleaned lines) are collected by an ``Observation``
-during the write itself, not by extra counting passes (when a shuffle precedes
-the write, by one exact aggregate instead), then the table is read back and
+during the write itself, not by extra counting passes; lines are parsed once, also
+when a shuffle lays out the files. Then the table is read back and
 must not be empty. Prints one JSON line with the counts and rates.
 """
 from __future__ import annotations
@@ -21,9 +21,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from weblog.operators.clean import clean_logs  # noqa: E402
 from weblog.operators.parse import parse_lines  # noqa: E402
-from weblog.operators.quality import observed, parse_quality  # noqa: E402
-from weblog.session import build  # noqa: E402
-from weblog.sources.logs import verify_written, write_logs  # noqa: E402
+from weblog.operators.quality import observed  # noqa: E402
+from weblog.session import build, clean_scratch, input_bytes, scratch_dir, shuffle_width  # noqa: E402
+from weblog.sources.logs import committed, verify_written, write_logs  # noqa: E402
 from weblog.sources.text import read_lines, sample_lines  # noqa: E402
 
 
@@ -44,43 +44,37 @@ def parse_args(argv=None) -> argparse.Namespace:
     p.add_argument("--input-partitions", type=int, default=0,
                    help="repartition the lines right after the read (use for .gz input)")
     p.add_argument("--mode", choices=["overwrite", "ignore", "errorifexists"], default="overwrite",
-                   help="'ignore' skips an existing output (idempotent rerun)")
+                   help="'ignore' skips an output that was written whole (idempotent rerun); "
+                        "'overwrite' forces the run")
     p.add_argument("--master", default=None, help="for local runs; spark-submit sets it otherwise")
     p.add_argument("--profile", choices=["default", "cluster"], default="cluster",
                    help="session settings; 'cluster' sizes shuffles and splits for large inputs")
     return p.parse_args(argv)
 
 
-def _table_exists(spark, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001 - missing path or not a table
-        return False
-
-
 def run(spark, args: argparse.Namespace) -> dict:
-    if args.mode == "ignore" and _table_exists(spark, args.output_parquet_path):
-        return {"skipped": True, "read_back": verify_written(spark, args.output_parquet_path)}
+    out = args.output_parquet_path
+    if args.mode == "ignore" and committed(spark, out):
+        return {"skipped": True, "read_back": verify_written(spark, out)}
+    # What a broken write left behind has no success marker and is replaced.
+    mode = "overwrite" if args.mode == "ignore" else args.mode
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), shuffle_width(input_bytes(spark, args.raw_log_path)))))
     lines = read_lines(spark, args.raw_log_path, repartition=args.input_partitions or None)
     lines = sample_lines(lines, args.sample_percent, args.sample_seed)
     strict = args.strict_http_method
-    # Observed metrics count exactly once when they are taken in the stage that
-    # writes (a result stage). A shuffle before the write (output partitions,
-    # rebalance by date) would put them in a map stage, which a lost executor
-    # can make run twice; then the counts come from one exact aggregate instead.
-    shuffled = bool(args.output_partitions) or (args.partition_by_log_date and args.rebalance_by_date)
-    parsed = parse_lines(lines)
-    obs = None
-    if not shuffled:
-        parsed, obs = observed(parsed, strict_http_method=strict)
-    write_logs(clean_logs(parsed, strict_http_method=strict), args.output_parquet_path,
-               partitions=args.output_partitions or None, by_date=args.partition_by_log_date,
-               mode=args.mode, rebalance=args.rebalance_by_date)
-    if obs is not None:
-        m = obs.get  # filled in by the write job
-    else:
-        m = parse_quality(parse_lines(lines), strict_http_method=strict).first().asDict()
+    parsed, obs = observed(parse_lines(lines), strict_http_method=strict)
+    cleaned = clean_logs(parsed, strict_http_method=strict)
+    if args.output_partitions or (args.partition_by_log_date and args.rebalance_by_date):
+        # Counts are exact where the observing operator runs in the stage that writes
+        # (a lost executor may repeat a map stage). So the one parse writes to
+        # scratch without a shuffle, and the shuffle moves the finished table.
+        staged = f"{scratch_dir(spark, 'ingest')}/table"
+        write_logs(cleaned, staged)
+        cleaned = spark.read.parquet(staged)
+    write_logs(cleaned, out, partitions=args.output_partitions or None, by_date=args.partition_by_log_date,
+               mode=mode, rebalance=args.rebalance_by_date)
+    m = obs.get  # filled in by the write that parsed
     raw = m["raw_lines"]
     return {
         "raw_lines": raw,
@@ -88,7 +82,7 @@ def run(spark, args: argparse.Namespace) -> dict:
         "cleaned_lines": m["cleaned_lines"],
         "match_rate": m["matched_lines"] / raw if raw else None,
         "parse_rate": m["cleaned_lines"] / raw if raw else None,
-        "read_back": verify_written(spark, args.output_parquet_path),
+        "read_back": verify_written(spark, out),
     }
 
 
@@ -98,6 +92,7 @@ def main(argv=None) -> int:
     try:
         print(json.dumps(run(spark, args)))
     finally:
+        clean_scratch(spark)
         spark.stop()
     return 0
 

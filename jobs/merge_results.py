@@ -8,7 +8,8 @@ pretty-printed JSON document per file), flattens the per-family run arrays and
 the summary map, and upserts them into the previous merged tables: one row
 per (benchmark_id, scale_pct, query, api, run) for runs, and per
 (benchmark_id, scale_pct, query, api) for summaries, the newest
-``generated_at_utc`` winning. Writes ``records/`` and ``summary_records/``
+``generated_at_utc`` winning and, of equal ones, the incoming. A damaged payload
+file fails the job. Writes ``records/`` and ``summary_records/``
 under ``--merged-output``; this must be a new path, never the one read.
 """
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql.types import (  # noqa: E402
 )
 
 from weblog.operators import metrics as M  # noqa: E402
-from weblog.session import build  # noqa: E402
+from weblog.session import build, clean_scratch  # noqa: E402
 
 # Payload file names and per-kind metric fields.
 FILE_NAMES = {"wall_clock": "allqueries_wall_clock.json", "stage_metrics": "stage_metrics.json"}
@@ -95,6 +96,7 @@ def main(argv=None) -> int:
     try:
         print(json.dumps(merge(spark, a.kind, a.source_dir, a.merged_output, a.merged_input)))
     finally:
+        clean_scratch(spark)
         spark.stop()
     return 0
 

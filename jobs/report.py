@@ -1,7 +1,7 @@
 """Print the top-10 reports of a query family over the access-log table.
 
-    spark-submit jobs/report.py --parquet-path s3://lake/access_logs \\
-        --family perhost_traffic_profiling [--api SQL] [--hosts s3://lake/host_directory]
+    spark-submit jobs/report.py --parquet-path <tables>/access_logs \\
+        --family perhost_traffic_profiling [--api SQL] [--hosts <tables>/host_directory]
 
 Each report is a ``top_n`` result (at most ``--top`` rows reach the driver);
 host rankings show a host name from the optional directory table
@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame  # noqa: E402
 from weblog.operators import families as fam  # noqa: E402
 from weblog.operators import hosts  # noqa: E402
 from weblog.operators.ranking import top_n  # noqa: E402
-from weblog.session import build, scratch_dir  # noqa: E402
+from weblog.session import build, clean_scratch, scratch_dir  # noqa: E402
 from weblog.sources.logs import read_logs  # noqa: E402
 
-# (result name, metric, key columns) per family: the rankings each family reports.
+# Fixed values: (result name, metric, key columns) of the rankings each family reports.
 RANKINGS = {
     "error_pattern_analysis": [("top_endpoints", "count", ["request_path"]),
                                ("error_freq_rate", "frequency", ["status_code"])],
@@ -91,6 +91,7 @@ def main(argv=None) -> int:
             for row in df.collect():  # at most --top rows
                 print("  " + ", ".join(f"{k}={v}" for k, v in row.asDict().items()))
     finally:
+        clean_scratch(spark)
         spark.stop()
     return 0
 

@@ -1,7 +1,7 @@
 import json
 
 from weblog.operators.metrics import delta_totals
-from weblog.sources.eventlog import read_event_log, stage_records, task_records
+from tools.eventlog import read_event_log, stage_records, task_records
 
 
 def _acc(name, v):

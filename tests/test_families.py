@@ -58,7 +58,7 @@ def test_materialized_sessions_equal_lazy(spark, api):
     for name in lazy:
         assert diff_rows(lazy[name], mat[name]).count() == 0, name
     # the derived result reads the checkpoint, not the log table
-    from weblog.plans.inspect import plan_text
+    from tools.inspect_plan import plan_text
     assert "Scan ExistingRDD" in plan_text(mat["per_ip"], "simple") or \
         "LogicalRDD" in plan_text(mat["per_ip"], "extended")
 

@@ -1,0 +1,156 @@
+"""Cases in which data was once lost or kept wrongly."""
+import datetime as dt
+import json
+
+import pytest
+
+from tests.fixtures_data import F_LINES, cleaned, lines_df
+from weblog import session
+from weblog.operators import metrics as M
+from weblog.operators import ranking, traffic
+from weblog.operators import sessions as S
+from weblog.operators.clean import clean_logs
+from weblog.sources import committed, sample_lines, sample_lines_by_content, write_logs
+from weblog.streaming import start_ingest
+
+RUNS = "benchmark_id string, scale_pct int, query string, api string, run int, elapsed_sec double, version string"
+
+
+def _run(i, sec, version):
+    return ("b", 5, "q", "SQL", i, sec, version)
+
+
+def test_second_start_without_checkpoint_reads_new_files(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for name in ("a.log", "b.log"):
+        (src / name).write_text(F_LINES[0] + "\n")
+        start_ingest(spark, str(src), str(tmp_path / "out")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_upsert_orders_by_version_then_side(spark):
+    old = spark.createDataFrame([_run(1, 9.0, "2"), _run(2, 9.0, None), _run(3, 9.0, "2"), _run(4, 9.0, "2"), _run(5, 9.0, None)], RUNS)
+    new = spark.createDataFrame([_run(1, 3.0, "2"), _run(2, 3.0, None), _run(3, 3.0, None), _run(4, 3.0, "1"), _run(5, 3.0, "0")], RUNS)
+    got = {r.run: r.elapsed_sec for r in M.upsert(old, new, version="version").collect()}
+    assert got == {1: 3.0, 2: 3.0, 3: 9.0, 4: 9.0, 5: 3.0}
+
+
+def test_damaged_payload_is_an_error(spark, tmp_path):
+    from jobs.merge_results import merge
+    doc = json.dumps({"benchmark_id": "x", "scale_pct": 10, "generated_at_utc": "t",
+                      "sessionization": [{"api": "SQL", "run": 1, "elapsed_sec": 1.0}],
+                      "summary": {}})
+    for name, text in (("a", doc), ("b", doc[:60])):
+        (tmp_path / "src" / name).mkdir(parents=True)
+        (tmp_path / "src" / name / "allqueries_wall_clock.json").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        merge(spark, "wall_clock", str(tmp_path / "src"), str(tmp_path / "out"))
+
+
+def test_payload_refuses_unknown_queries_and_too_many_runs(spark):
+    runs = spark.createDataFrame([_run(1, 1.0, None), _run(2, 1.0, None)], RUNS).drop("version")
+    summary = M.summarize(runs, M.SUMMARY_KEY, ["elapsed_sec"])
+    of = lambda **k: M.to_payloads(runs, summary, ["api", "run"], ["num_runs"], **k)
+    assert of(queries=["q"]).count() == 1
+    with pytest.raises(Exception, match="no place"):
+        of(queries=["other"]).collect()
+    with pytest.raises(Exception, match="too many runs"):
+        of(queries=["q"], max_runs=1).collect()
+
+
+def test_write_logs_needs_the_whole_schema(spark, tmp_path):
+    from pyspark.sql import functions as F
+    with pytest.raises(ValueError, match="missing columns"):
+        write_logs(cleaned(spark).drop("http_version"), str(tmp_path / "a"))
+    write_logs(cleaned(spark).withColumn("status_code", F.col("status_code").cast("long")), str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).schema["status_code"].dataType.typeName() == "integer"
+
+
+def test_ignore_reruns_over_a_broken_write(spark, tmp_path):
+    from jobs import ingest
+    (tmp_path / "a.log").write_text("\n".join(F_LINES) + "\n")
+    out = tmp_path / "t"
+    (out / "_temporary").mkdir(parents=True)
+    args = ingest.parse_args(["--raw-log-path", str(tmp_path / "a.log"), "--output-parquet-path", str(out), "--mode", "ignore"])
+    assert not committed(spark, str(out))
+    assert ingest.run(spark, args)["read_back"] == 4
+    assert ingest.run(spark, args) == {"skipped": True, "read_back": 4}
+
+
+def test_sampling(spark):
+    lines = spark.range(4000).selectExpr("concat('line ', id) AS value")
+    with pytest.raises(ValueError):
+        sample_lines(lines, -1)
+    assert sample_lines(lines, 0).count() == 0 and sample_lines(lines, 100).count() == 4000
+    assert 300 < sample_lines(lines, 10, seed=1).count() < 500
+    kept = {r.value for r in sample_lines_by_content(lines, 10).collect()}
+    assert 300 < len(kept) < 500
+    assert {r.value for r in sample_lines_by_content(lines.repartition(7), 10).collect()} == kept
+
+
+def test_scratch_needs_a_shared_folder_off_one_machine(monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+    monkeypatch.setattr(session, "_context", lambda s: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_dir(Session())
+    assert session.shuffle_width(1 << 20) == 200 and session.shuffle_width(100 << 40) == 409600
+
+
+def test_null_host_in_joins_as_in_one_pass(spark):
+    logs = spark.createDataFrame([(None, 500, 10), (None, 200, 20), (None, 200, None), ("a", 200, 1)],
+                                 "client_ip string, status_code int, response_bytes long")
+    one = {r.client_ip: (r.total_requests, r.average_bytes, r.error_rate)
+           for r in traffic.host_profile(logs.selectExpr("*", "'/' AS request_path")).collect()}
+    avg = {r.client_ip: (r.total_requests, r.average_bytes) for r in traffic.avg_bytes_by_join(logs).collect()}
+    rate = {r.client_ip: (r.total_requests, r.error_rate) for r in traffic.error_rate_by_join(logs).collect()}
+    assert avg == {k: v[:2] for k, v in one.items()} and rate == {k: (v[0], v[2]) for k, v in one.items()}
+
+
+def test_null_client_sessions(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    logs = spark.createDataFrame([(None, t0), (None, t0 + dt.timedelta(seconds=10)), (None, t0 + dt.timedelta(days=1))],
+                                 "client_ip string, log_ts timestamp")
+    rows = sorted((r.log_ts, r.gap_secs, r.is_new_session, r.session_id) for r in S.session_rows(logs).collect())
+    assert [r[1:] for r in rows] == [(None, 1, 1), (10, 0, 1), (86390, 1, 2)]
+    assert sorted(r.session_id for r in S.assign_session_ids(logs).collect()) == [1, 1, 2]
+
+
+def test_rankings_are_in_order_with_ties_by_key(spark):
+    df = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", None), ("d", 5.0), ("e", -1.0)], "client_ip string, m double")
+    assert [r.client_ip for r in ranking.rank_by(df, "m", "client_ip").collect()] == ["d", "a", "b", "e", "c"]
+    assert [r.client_ip for r in ranking.rank_by(df, "m", "client_ip", descending=False).collect()] == ["e", "a", "b", "d", "c"]
+    assert [r.client_ip for r in ranking.top_n(df, "m", "client_ip", 2).collect()] == ["d", "a"]
+
+
+@pytest.mark.parametrize("key", ["host_requests", "host_bytes", "host_avg_bytes", "host_error_rate",
+                                 "host_distinct_paths", "error_top_paths", "error_status_rates"])
+def test_ranked_queries_come_in_order(spark, key):
+    from weblog.plans.catalog import QUERIES
+    metric = {"host_requests": "total_requests", "host_bytes": "total_bytes", "host_avg_bytes": "average_bytes",
+              "host_error_rate": "error_rate", "host_distinct_paths": "distinct_endpoints", "error_top_paths": "count",
+              "error_status_rates": "frequency"}[key]
+    rows = QUERIES[key](spark, "/root/testdata/sf0.001").collect()
+    name = [c for c in rows[0].asDict() if c in ("client_ip", "request_path", "status_code")][0]
+    order = [(r[metric] is None, -(r[metric] or 0), r[name]) for r in rows]
+    assert order == sorted(order) and len(order) > 1
+
+
+def test_cleaning_rules_no_line_can_break(spark):
+    """Rules that a matched line always meets, on a parsed table made by hand."""
+    from weblog.operators.parse import parse_lines
+    good = clean_logs(parse_lines(lines_df(spark, [F_LINES[0]])))
+    parsed = parse_lines(lines_df(spark, [F_LINES[0]]))
+    from pyspark.sql import functions as F
+    assert good.count() == 1
+    for column in ("client_ip", "http_method", "request_path"):
+        for value in ("", "  ", None):
+            assert clean_logs(parsed.withColumn(column, F.lit(value).cast("string"))).count() == 0
+    assert clean_logs(parsed.withColumn("line_matched", F.lit(False))).count() == 0
+    for value in ("", " ", None):
+        assert clean_logs(parsed.withColumn("http_version", F.lit(value).cast("string"))).first().http_version is None

@@ -5,7 +5,7 @@ import pytest
 
 from tests.fixtures_data import cleaned
 from weblog.operators import errors, families, temporal, traffic
-from weblog.plans.inspect import exchanges, plan_text
+from tools.inspect_plan import exchanges, plan_text
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,16 @@ def test_plan_files_and_manifest(spark, logs_path, tmp_path):
     m = json.loads((tmp_path / "plans" / "run_manifest.json").read_text())
     assert m["benchmark_id"] == "b1" and m["scale_pct"] == 10 and len(m["files"]) == len(files)
     assert "Physical Plan" in open(files[0]).read()
+
+
+def test_session_rows_at_most_four_exchanges(spark, logs_path):
+    from weblog.operators import sessions
+    df = _logs(spark, logs_path).select("client_ip", "log_ts")
+    assert len(exchanges(sessions.session_rows(df))) <= 4
+    assert len(exchanges(sessions.assign_session_ids(df))) <= 4
+
+
+def test_comparison_reads_each_side_once_without_sorts(spark, logs_path):
+    from weblog.operators import checks
+    t = plan_text(checks.same_rows(_logs(spark, logs_path), _logs(spark, logs_path)), "simple")
+    assert t.count("FileScan parquet") == 2 and "Sort [" not in t

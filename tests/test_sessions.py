@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.fixtures_data import T0, cleaned, session_df
 from weblog.operators import sessions as S
-from weblog.plans.inspect import exchanges
+from tools.inspect_plan import exchanges
 
 
 def _sessions(df):

@@ -1,5 +1,5 @@
 from tests.fixtures_data import cleaned, lines_df
-from weblog.plans.inspect import plan_text
+from tools.inspect_plan import plan_text
 from weblog.sources import read_lines, read_logs, register_logs, sample_lines, verify_written, write_logs
 
 

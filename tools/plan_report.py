@@ -42,7 +42,7 @@ def write_plan_files(spark, logs_path: str, out_dir: str, benchmark_id: str = "l
     import datetime as dt
     import json
     from weblog.operators import families as fam
-    from weblog.plans.inspect import plan_text
+    from tools.inspect_plan import plan_text
     from weblog.sources.logs import read_logs
     os.makedirs(out_dir, exist_ok=True)
     written = []
@@ -79,7 +79,7 @@ def main(argv) -> int:
         return 0
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     import __spark_entry__ as E
-    from weblog.plans.inspect import plan_text
+    from tools.inspect_plan import plan_text
     from weblog.session import build
     spark = build(master="local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")

@@ -38,7 +38,7 @@ def main(argv) -> int:
     from weblog import fixtures as fx
     from weblog.operators import sessions as S
     from weblog.session import build, scratch_dir
-    from weblog.sources.eventlog import read_event_log, task_records
+    from tools.eventlog import read_event_log, task_records
     from weblog.sources.logs import read_logs, write_logs
     parts = 16
     events_dir = tempfile.mkdtemp(prefix="weblog-skew-events-")

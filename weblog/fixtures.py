@@ -41,15 +41,18 @@ _METHOD_STRICT = (
 # client holds about a third of all requests (the skew case).
 _CLIENT = "CAST(user_id AS {STR})"
 _CLIENT_HOT = "CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS {STR}) END"
+# Null variant: every fifth user's requests have no client address.
+_CLIENT_NULL = "CASE WHEN user_id % 5 = 0 THEN NULL ELSE CAST(user_id AS {STR}) END"
 
 
 def projection_sql(engine: str = "spark", events: str = "events",
                    strict_methods: bool = False, with_event_id: bool = False,
-                   hot_client: bool = False) -> str:
+                   hot_client: bool = False, null_clients: bool = False) -> str:
     """The projection as SQL text for ``engine`` in {"spark", "duckdb"}."""
+    client = _CLIENT_HOT if hot_client else _CLIENT_NULL if null_clients else _CLIENT
     string = "STRING" if engine == "spark" else "VARCHAR"
     return _PROJECTION.format(
-        client=(_CLIENT_HOT if hot_client else _CLIENT).format(STR=string),
+        client=client.format(STR=string),
         STR=string,
         method=_METHOD_STRICT if strict_methods else _METHOD,
         extra=", event_id" if with_event_id else "",
@@ -64,12 +67,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def access_logs(spark: SparkSession, sf_dir: str, strict_methods: bool = False,
-                with_event_id: bool = False, hot_client: bool = False) -> DataFrame:
+                with_event_id: bool = False, hot_client: bool = False,
+                null_clients: bool = False) -> DataFrame:
     """The ``events`` table in access-log shape (canonical columns, UTC)."""
     ensure_utc(spark)
     ev = table(spark, sf_dir, "events")
     return spark.sql(
-        projection_sql("spark", "{events}", strict_methods, with_event_id, hot_client), events=ev)
+        projection_sql("spark", "{events}", strict_methods, with_event_id, hot_client, null_clients), events=ev)
 
 
 def raw_lines(spark: SparkSession, sf_dir: str, malformed: bool = False,
@@ -93,13 +97,40 @@ def raw_lines(spark: SparkSession, sf_dir: str, malformed: bool = False,
     return logs.select(line.alias("value"))
 
 
-def host_directory(spark: SparkSession, sf_dir: str, segment: str = "BUILDING") -> DataFrame:
-    """Host dimension (client_ip, hostname): customers of one market segment.
-
-    Hosts outside the segment have no entry, so the IP fallback is exercised.
-    """
+#: Kinds of lines in ``variant_lines``, dealt by ``event_id`` modulo their number.
+VARIANTS = ("plain", "east", "west", "two_fields", "three_fields", "status_099", "status_600", "bad_month",
+            "two_tokens", "lower_verb", "padded_path", "no_version", "cut")
+
+
+def variant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as log lines of all kinds in ``VARIANTS``, so that every parsing and cleaning rule has a
+    line that only it decides: other zones, two and three trailing quoted fields, a status below
+    and above the range, a month that is none, a request without version, one in lower case, one padded, one
+    with a version that is blank but for itself, and a line cut short."""
+    logs = access_logs(spark, sf_dir, with_event_id=True)
+    kind = F.element_at(F.array(*[F.lit(v) for v in VARIANTS]), (F.col("event_id") % len(VARIANTS) + 1).cast("int"))
+    is_ = lambda v: kind == v
+    minutes = F.when(is_("east"), 210).when(is_("west"), -480).otherwise(0)
+    shifted = F.timestamp_seconds(F.unix_timestamp("log_ts") + minutes * 60)
+    stamp = F.when(is_("bad_month"), F.date_format(shifted, "dd/'Foo'/yyyy:HH:mm:ss")).otherwise(
+        F.date_format(shifted, "dd/MMM/yyyy:HH:mm:ss"))
+    zone = F.when(is_("east"), " +0330").when(is_("west"), " -0800").otherwise(" +0000")
+    verb = F.when(is_("lower_verb"), F.lower("http_method")).otherwise(F.col("http_method"))
+    path = F.when(is_("padded_path"), F.concat(F.lit(" "), "request_path", F.lit("  "))).otherwise(F.col("request_path"))
+    request = F.when(is_("two_tokens"), F.concat_ws(" ", verb, path)).otherwise(
+        F.concat_ws(" ", verb, path, F.when(is_("no_version"), "-").otherwise(F.col("http_version"))))
+    status = F.when(is_("status_099"), "099").when(is_("status_600"), "600").otherwise(F.col("status_code").cast("string"))
+    more = F.when(is_("two_fields"), ' "http://from/" "agent 1.0"').when(
+        is_("three_fields"), ' "http://from/" "agent 1.0" "-"').otherwise("")
+    line = F.concat("client_ip", F.lit(" - - ["), stamp, zone, F.lit('] "'), request, F.lit('" '), status, F.lit(" "),
+                    F.coalesce(F.col("response_bytes").cast("string"), F.lit("-")), more)
+    return logs.select(F.when(is_("cut"), F.substring(line, 1, 20)).otherwise(line).alias("value"))
+
+
+def host_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host dimension (client_ip, hostname): all customers."""
     c = table(spark, sf_dir, "customer")
-    return c.where(F.col("c_mktsegment") == segment).select(
+    return c.select(
         F.col("c_custkey").cast("string").alias("client_ip"),
         F.col("c_name").alias("hostname"),
     )

@@ -72,7 +72,7 @@ def field_from(value: Column, parts: Column, plain: Column, i: int) -> Column:
 # Method, path and version in one match: the path pattern with its outer parts
 # captured too. Whenever it matches, its first and last groups are exactly what
 # REQUEST_METHOD and REQUEST_VERSION extract on their own.
-_REQUEST_3 = r"^(\S+)\s+(.+)\s+(\S+)$"
+_REQUEST_3 = "^" + r"\s+".join([REQUEST_METHOD.lstrip("^"), "(.+)", REQUEST_VERSION.rstrip("$")]) + "$"
 
 
 def split_request(request: Column) -> Column:

@@ -26,8 +26,12 @@ def diff_rows(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
         raise ValueError(f"column sets differ: {sorted(left.columns)} vs {sorted(right.columns)}")
     cols = sorted(left.columns)
     a, b = _normalised(left, cols, digits), _normalised(right, cols, digits)
-    return (a.exceptAll(b).withColumn("side", F.lit("left"))
-            .unionByName(b.exceptAll(a).withColumn("side", F.lit("right"))))
+    # Each side is read once: +1 and -1 per row, and what doesn't cancel differs.
+    both = a.withColumn("_sign", F.lit(1)).unionByName(b.withColumn("_sign", F.lit(-1)))
+    left_over = both.groupBy(*cols).agg(F.sum("_sign").alias("_more")).where("_more <> 0")
+    return (left_over.withColumn("side", F.when(F.col("_more") > 0, "left").otherwise("right"))
+            .withColumn("_each", F.explode(F.sequence(F.lit(1), F.abs("_more").cast("int"))))
+            .drop("_more", "_each"))
 
 
 def same_rows(left: DataFrame, right: DataFrame, label: str = "", digits: int = 6) -> DataFrame:

@@ -124,9 +124,13 @@ def build(spark: SparkSession, logs: DataFrame | str, family: str, api: str = "D
     Lazy by default. ``materialize=True`` computes what several results share
     once, as a checkpoint in the shared folder: sessions for the per-IP
     statistics; a (date, hour) pre-aggregate for both temporal results; a
-    (status, error path) pre-aggregate for both error reports (DataFrame API).
+    (status, error path) pre-aggregate for both error reports.
     The log table is then scanned once per family instead of once per result.
+    The SQL texts of the error and temporal families have no shared part, so
+    there the option is refused.
     """
+    if materialize and api == "SQL" and family in ("error_pattern_analysis", "temporal_aggregation"):
+        raise ValueError(f"materialize=True needs the DataFrame API for {family}")
     df = read_logs(spark, logs) if isinstance(logs, str) else logs
     if api == "DataFrame":
         return _dataframe(df, family, timeout, materialize)

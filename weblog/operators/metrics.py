@@ -25,7 +25,7 @@ QUERY_FAMILIES = (
     "sessionization",
 )
 
-# Stage counters and their unit scaling to seconds (times are ms and ns).
+# Stage counters and their unit scaling to seconds (times are ms and ns).
 STAGE_COUNTERS = {
     "num_tasks": ("num_tasks", 1),
     "shuffle_read_bytes": ("shuffle_read_bytes", 1),
@@ -70,13 +70,16 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str] = RUN_KE
            version: str | None = None) -> DataFrame:
     """Merge ``incoming`` into ``existing``: one row per key, the last write wins.
 
-    "Last" is the larger ``version`` when a version column is named, else
-    ``incoming`` beats ``existing`` (see ``latest``). Applying the same upsert
-    twice changes nothing.
+    "Last" is the larger ``version`` when a version column is named; a null
+    version is older than any other. Of equal versions (two nulls, too), and
+    without a version column, ``incoming`` beats ``existing``. Only rows of one
+    side with the same version are decided by their other columns, which must
+    be orderable (no maps). Applying the same upsert twice changes nothing.
     """
     rank = "_upsert_rank"
-    left = existing.withColumn(rank, F.col(version) if version else F.lit(0))
-    right = incoming.withColumn(rank, F.col(version) if version else F.lit(1))
+    of = F.col(version) if version else F.lit(None).cast("string")
+    left = existing.withColumn(rank, F.struct(of.alias("version"), F.lit(0).alias("side")))
+    right = incoming.withColumn(rank, F.struct(of.alias("version"), F.lit(1).alias("side")))
     both = left.unionByName(right, allowMissingColumns=True)
     out = latest(both, key, rank)
     return out.select(*[c for c in both.columns if c != rank])
@@ -121,13 +124,23 @@ def flatten_summary(payloads: DataFrame, carry: Sequence[str] = ()) -> DataFrame
 
 def to_payloads(runs: DataFrame, summary: DataFrame, run_fields: Sequence[str],
                 stats_fields: Sequence[str],
-                queries: Sequence[str] = QUERY_FAMILIES) -> DataFrame:
+                queries: Sequence[str] = QUERY_FAMILIES, max_runs: int = 100_000) -> DataFrame:
     """Inverse of the flatteners: one payload document per (benchmark_id, scale_pct).
 
-    A document holds the runs of one benchmark, so its arrays are as long as
-    its runs per query (a handful), not as the table.
+    A document holds the runs of one benchmark in one row. A benchmark with
+    more than ``max_runs`` runs, and a run of a query outside ``queries``
+    (which the document has no place for), is an error when the result is computed.
     """
     gk = ["benchmark_id", "scale_pct"]
+    known = F.col("query").isin(list(queries))
+    counts = runs.groupBy(*[F.col(c).alias(f"_{c}") for c in gk]).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(~F.coalesce(known, F.lit(False))).alias("_unknown"))
+    fits = (F.when(F.col("_unknown") > 0, F.raise_error(F.lit("a run's query has no place in the payload")).cast("boolean"))
+            .when(F.col("_n") > max_runs, F.raise_error(F.lit("too many runs for one payload document")).cast("boolean"))
+            .otherwise(F.lit(True)))
+    counts = counts.where(fits)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in gk]
+    runs = runs.join(counts, same[0] & same[1]).select(*runs.columns)
     run_struct = F.struct(*[F.col(c) for c in run_fields])
     # collect_list skips nulls, so each array keeps only its own query's runs.
     arrays = runs.groupBy(*gk).agg(*[
@@ -145,9 +158,12 @@ def read_payloads(spark: SparkSession, root: str, file_name: str, schema: Struct
     """Every payload file named ``file_name`` under ``root`` (recursively).
 
     ``multi_line`` for pretty-printed one-document files (each file is read by
-    one task); JSON-lines files can be split and should pass False.
+    one task); JSON-lines files can be split and should pass False. A damaged
+    file fails the job that reads it: a payload that vanished would look like
+    runs that never took place.
     """
     return (spark.read.schema(schema)
+            .option("mode", "FAILFAST")
             .option("multiLine", multi_line)
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", file_name)
@@ -161,7 +177,11 @@ def _norm_path(p: str) -> str:
 
 
 def write_merged(merged: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a merged table to ``path``, refusing to overwrite one of its own inputs."""
+    """Write a merged table to ``path``, refusing to overwrite one of its own inputs.
+
+    The test walks the input file names, which the driver holds anyway to plan
+    the scan: merged tables are small next to the logs they measure.
+    """
     target = _norm_path(path)
     for f in merged.inputFiles():
         if _norm_path(f).startswith(target + "/"):

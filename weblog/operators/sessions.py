@@ -17,8 +17,8 @@ built by a partial + final hash aggregate (map-side combine; a hot client is
 reduced before the shuffle), followed by a window over the summary. A client
 has at most ``time span / timeout`` summary rows however many requests it
 sends, so the window groups are bounded by time, not by data volume. Row-level
-columns (previous timestamp, gap, flag, session id) are attached through a
-per-second summary and a window over ``(client, second)`` groups only.
+columns (previous timestamp, gap, flag, session id) come from a window over
+the rows of one ``(client, bucket)`` and that summary.
 """
 from __future__ import annotations
 
@@ -93,54 +93,39 @@ def per_host(session_table: DataFrame, key: str = "client_ip") -> DataFrame:
     )
 
 
+def _keyed(logs: DataFrame, key: str, ts: str, timeout: int) -> DataFrame:
+    """Rows with ``_key`` (a struct of the key: two null keys are equal, also in joins) and ``_bucket``."""
+    return (logs.withColumn("_key", F.struct(F.col(key).alias("k")))
+            .withColumn("_bucket", F.floor(_epoch(ts) / F.lit(_width(timeout)))))
+
+
 def session_rows(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
                  timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     """Every input row plus ``prev_ts``, ``gap_secs``, ``is_new_session``, ``session_id``.
 
     ``prev_ts`` is the timestamp of the client's previous request (rows with an
     equal timestamp follow each other, gap 0); ``gap_secs`` is the difference of
-    whole epoch seconds, null for the client's first request.
-
-    Plan: per-second summary (key, second) -> lag within (key, bucket) [at most
-    ``W`` rows each], first second of a bucket takes the previous bucket's
-    last timestamp from ``bucket_summary``; rows join their second's summary
-    and take ``lag`` within (key, second) groups. Rows without a timestamp
-    keep null session columns.
+    whole epoch seconds, null for the client's first request. Rows without a
+    client belong to the client null.
+
+    Plan: ``lag`` over the rows of one (key, bucket), at most ``timeout``
+    seconds of a client; a bucket's first row takes the last timestamp of the
+    bucket before from the bucket summary. Rows cross the network once, on (key, bucket);
+    the summary twice more (once by key for its window, once back). Rows without a timestamp keep null
+    session columns.
     """
-    w_width = _width(timeout)
-    rows = logs.withColumn("_sec", _epoch(ts))
-    seconds = (rows.where(F.col(ts).isNotNull())
-               .groupBy(key, "_sec")
-               .agg(F.max(ts).alias("_sec_last_ts"), F.count(F.lit(1)).alias("_n"))
-               # never null (null timestamps are filtered above); a non-null key keeps
-               # both uses of this summary identical, so its exchange is reused
-               .withColumn("_bucket", F.coalesce(F.floor(F.col("_sec") / F.lit(w_width)),
-                                                 F.lit(0).cast("long"))))
-    # The bucket summary is an aggregate of the (smaller) per-second summary.
-    buckets = _flag_buckets(
-        seconds.groupBy(key, "_bucket").agg(
-            F.min("_sec").alias("_first"), F.max("_sec").alias("_last"),
-            F.max("_sec_last_ts").alias("_last_ts"), F.sum("_n").alias("_n")),
-        key, timeout).select(key, "_bucket", "_prev_last_ts", "session_id")
-    w_sec = Window.partitionBy(key, "_bucket").orderBy("_sec")
-    seconds = (seconds
-               .withColumn("_prev_sec_ts", F.lag("_sec_last_ts").over(w_sec))
-               .join(buckets, [key, "_bucket"], "inner")
-               .select(key, "_sec",
-                       F.coalesce("_prev_sec_ts", "_prev_last_ts").alias("_second_prev_ts"),
-                       "session_id"))
-    w_row = Window.partitionBy(key, "_sec").orderBy(ts)
-    prev_ts = F.coalesce(F.lag(ts).over(w_row), F.col("_second_prev_ts"))
-    out = (rows.join(seconds, [key, "_sec"], "left")
-           .withColumn("prev_ts", F.when(F.col(ts).isNotNull(), prev_ts)))
-    gap = F.col("_sec") - F.unix_timestamp("prev_ts")
-    return (out
-            .withColumn("gap_secs", gap)
-            .withColumn("is_new_session",
-                        F.when(F.col(ts).isNull(), F.lit(None).cast("int"))
-                         .when(F.col("prev_ts").isNull() | (F.col("gap_secs") > F.lit(timeout)), 1)
-                         .otherwise(0))
-            .drop("_sec", "_second_prev_ts"))
+    rows = _keyed(logs, key, ts, timeout)
+    known = bucket_summary(rows, "_key", ts, timeout).select("_key", "_bucket", "_prev_last_ts", "session_id")
+    in_bucket = Window.partitionBy("_key", "_bucket").orderBy(ts)
+    prev_ts = F.coalesce(F.col("_prev_in_bucket"), F.col("_prev_last_ts"))
+    out = (rows.withColumn("_prev_in_bucket", F.lag(ts).over(in_bucket))
+           .join(known, ["_key", "_bucket"], "left")
+           .withColumn("prev_ts", F.when(F.col(ts).isNotNull(), prev_ts))
+           .withColumn("gap_secs", _epoch(ts) - F.unix_timestamp("prev_ts")))
+    new = (F.when(F.col(ts).isNull(), F.lit(None).cast("int"))
+           .when(F.col("prev_ts").isNull() | (F.col("gap_secs") > F.lit(timeout)), 1).otherwise(0))
+    return out.withColumn("is_new_session", new).select(
+        *logs.columns, "prev_ts", "gap_secs", "is_new_session", "session_id")
 
 
 def with_gaps(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
@@ -158,11 +143,9 @@ def assign_session_ids(logs: DataFrame, key: str = "client_ip", ts: str = "log_t
     session. The join is many-to-one on (key, bucket); AQE splits a skewed
     bucket on the row side.
     """
-    w_width = _width(timeout)
-    ids = bucket_summary(logs, key, ts, timeout).select(key, "_bucket", "session_id")
-    return (logs.withColumn("_bucket", F.floor(_epoch(ts) / F.lit(w_width)))
-            .join(ids, [key, "_bucket"], "left")
-            .drop("_bucket"))
+    rows = _keyed(logs, key, ts, timeout)
+    ids = bucket_summary(rows, "_key", ts, timeout).select("_key", "_bucket", "session_id")
+    return (rows.join(ids, ["_key", "_bucket"], "left").select(*logs.columns, "session_id"))
 
 
 def nested_sessions(session_table: DataFrame, key: str = "client_ip") -> DataFrame:

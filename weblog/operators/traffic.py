@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblog.functions.exprs import is_error, percent
+from weblog.operators.ranking import rank_by, top_n
 
 
 def _bytes(col: str, null_as_zero: bool) -> Column:
@@ -65,6 +66,28 @@ def distinct_paths(logs: DataFrame, key: str = "client_ip",
     return logs.groupBy(key).agg(F.count_distinct(path).alias("distinct_endpoints"))
 
 
+def top_hosts(logs: DataFrame, metric: str, n: int = 10, key: str = "client_ip",
+              bytes_col: str = "response_bytes", status: str = "status_code",
+              path: str = "request_path") -> DataFrame:
+    """The ``host_profile`` rows of the n hosts that rank first by a metric.
+
+    Only a ranking by distinct endpoints needs that count for every host. For the
+    others, hosts are ranked by one light aggregate, and paths are counted for the n
+    hosts alone (their rows come by a join with n rows).
+    """
+    if metric == "distinct_endpoints":
+        return top_n(host_profile(logs, key, bytes_col, status, path), metric, key, n)
+    light = logs.groupBy(key).agg(
+        F.count(F.lit(1)).alias("total_requests"), F.sum(bytes_col).alias("total_bytes"),
+        F.avg(bytes_col).alias("average_bytes"), _error_rate(status).alias("error_rate"))
+    first = top_n(light, metric, key, n)
+    theirs = logs.select(F.col(key).alias("_host"), F.col(path).alias("_path"))
+    paths = (theirs.join(first.select(key), F.col("_host").eqNullSafe(F.col(key)), "left_semi")
+             .groupBy("_host").agg(F.count_distinct("_path").alias("distinct_endpoints")))
+    both = first.join(paths, F.col(key).eqNullSafe(F.col("_host"))).drop("_host")
+    return rank_by(both, metric, key)
+
+
 def distinct_pairs(logs: DataFrame, key: str = "client_ip",
                    path: str = "request_path") -> DataFrame:
     """Distinct paths per host as an explicit two-step plan: distinct pairs, then count.
@@ -75,15 +98,20 @@ def distinct_pairs(logs: DataFrame, key: str = "client_ip",
             .groupBy(key).agg(F.count(F.lit(1)).alias("distinct_endpoints")))
 
 
+def _by_host(logs: DataFrame, key: str):
+    """Group by the key wrapped in a struct: structs of nulls are equal, so joins on it keep a null host."""
+    return logs.groupBy(F.struct(F.col(key).alias("k")).alias("_host"))
+
+
 def avg_bytes_by_join(logs: DataFrame, key: str = "client_ip",
                       bytes_col: str = "response_bytes") -> DataFrame:
     """Average bytes as ``bytes ⋈ requests``: both sides are aggregates hashed
     on the key, so the join reuses their partitioning (no extra exchange)."""
-    b = logs.groupBy(key).agg(F.sum(bytes_col).alias("total_bytes"),
-                              F.count(bytes_col).alias("_n_bytes"))
-    n = requests(logs, key)
-    return (b.join(n, key, "inner")
-            .select(key, "total_requests", "total_bytes",
+    b = _by_host(logs, key).agg(F.sum(bytes_col).alias("total_bytes"),
+                                F.count(bytes_col).alias("_n_bytes"))
+    n = _by_host(logs, key).agg(F.count(F.lit(1)).alias("total_requests"))
+    return (b.join(n, "_host", "inner")
+            .select(F.col("_host.k").alias(key), "total_requests", "total_bytes",
                     F.try_divide(F.col("total_bytes").cast("double"),
                                  F.col("_n_bytes").cast("double")).alias("average_bytes")))
 
@@ -91,10 +119,9 @@ def avg_bytes_by_join(logs: DataFrame, key: str = "client_ip",
 def error_rate_by_join(logs: DataFrame, key: str = "client_ip",
                        status: str = "status_code") -> DataFrame:
     """Error rate as ``requests ⟕ error counts`` with a default of 0 errors."""
-    n = requests(logs, key)
-    e = (logs.where(is_error(status)).groupBy(key)
-         .agg(F.count(F.lit(1)).alias("error_requests")))
-    j = n.join(e, key, "left")
+    n = _by_host(logs, key).agg(F.count(F.lit(1)).alias("total_requests"))
+    e = _by_host(logs.where(is_error(status)), key).agg(F.count(F.lit(1)).alias("error_requests"))
+    j = n.join(e, "_host", "left")
     errs = F.coalesce(F.col("error_requests"), F.lit(0))
-    return j.select(key, "total_requests", errs.alias("error_requests"),
+    return j.select(F.col("_host.k").alias(key), "total_requests", errs.alias("error_requests"),
                     percent(errs, F.col("total_requests")).alias("error_rate"))

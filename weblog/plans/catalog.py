@@ -20,8 +20,8 @@ from weblog.operators.parse import parse_lines
 from weblog.operators.quality import parse_quality
 from weblog.plans import sql as sqlapi
 from weblog.session import default_parallelism, scratch_dir
-from weblog.sources.logs import read_logs, verify_written, write_logs
-from weblog.sources.text import read_lines, sample_lines
+from weblog.sources.logs import read_logs, register_logs, verify_written, write_logs
+from weblog.sources.text import read_lines, sample_lines_by_content
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,7 +76,24 @@ def parse_quality_strict(spark, sf):
 
 
 def sample_lines_key(spark, sf):
-    return clean_logs(parse_lines(sample_lines(fx.raw_lines(spark, sf), 10.0, seed=42)))
+    return clean_logs(parse_lines(sample_lines_by_content(fx.raw_lines(spark, sf), 10.0, seed=42)))
+
+
+def log_parse_variants(spark, sf):
+    return parse_lines(fx.variant_lines(spark, sf)).select(*PARSED_COLUMNS)
+
+
+def log_clean_variants(spark, sf):
+    return clean_logs(parse_lines(fx.variant_lines(spark, sf)))
+
+
+def parse_quality_variants(spark, sf):
+    return rounded(parse_quality(parse_lines(fx.variant_lines(spark, sf))))
+
+
+def registered_view(spark, sf):
+    register_logs(spark, _written(spark, sf), "weblog_registered")
+    return spark.sql("SELECT client_ip, status_code, response_bytes FROM weblog_registered")
 
 
 def _written(spark, sf, **kw) -> str:
@@ -170,15 +187,35 @@ def host_error_rate_join(spark, sf):
     return rounded(traffic.error_rate_by_join(_logs(spark, sf)))
 
 
+def _null_logs(spark, sf):
+    return fx.access_logs(spark, sf, null_clients=True)
+
+
+def host_avg_bytes_join_nulls(spark, sf):
+    return rounded(traffic.avg_bytes_by_join(_null_logs(spark, sf)))
+
+
+def host_error_rate_join_nulls(spark, sf):
+    return rounded(traffic.error_rate_by_join(_null_logs(spark, sf)))
+
+
+def session_rows_nulls(spark, sf):
+    return sess.session_rows(_null_logs(spark, sf).select("client_ip", "log_ts"))
+
+
+def session_ids_nulls(spark, sf):
+    return sess.assign_session_ids(_null_logs(spark, sf).select("client_ip", "log_ts"))
+
+
 def host_labels(spark, sf):
-    prof = traffic.host_profile(_logs(spark, sf))
+    # The hot client has no entry in the directory and keeps its address.
+    prof = traffic.host_profile(fx.access_logs(spark, sf, hot_client=True))
     return rounded(hosts.label_hosts(prof, fx.host_directory(spark, sf)))
 
 
 def _top_hosts(metric: str) -> Query:
     def q(spark, sf):
-        prof = traffic.host_profile(_logs(spark, sf))
-        return rounded(ranking.top_n(prof, metric, "client_ip", 10))
+        return rounded(traffic.top_hosts(_logs(spark, sf), metric, 10))
     return q
 
 
@@ -357,6 +394,17 @@ def metric_upsert(spark, sf):
     return rounded(metrics.upsert(old, new))
 
 
+def metric_upsert_version(spark, sf):
+    """Versions by order key: newer, equal, older, null on one side, null on both."""
+    runs = fx.keyed_runs(spark, sf)
+    case = F.col("run") % 5
+    old = runs.withColumn("version", F.when(case == 4, None).otherwise("2024-06-01"))
+    new = (runs.withColumn("elapsed_sec", F.col("elapsed_sec") / 2)
+           .withColumn("version", F.when(case == 0, "2024-07-01").when(case == 1, "2024-06-01")
+                       .when(case == 2, "2024-05-01")))
+    return rounded(metrics.upsert(old, new, version="version"))
+
+
 PAYLOAD_QUERIES = ("A", "N", "R")
 RUN_FIELDS = ["api", "run", "elapsed_sec"]
 STATS_FIELDS = ["num_runs", "avg_elapsed_sec", "std_elapsed_sec"]
@@ -406,6 +454,10 @@ QUERIES: dict[str, Query] = {
     "parse_quality": parse_quality_key,
     "parse_quality_strict": parse_quality_strict,
     "sample_lines": sample_lines_key,
+    "log_parse_variants": log_parse_variants,
+    "log_clean_variants": log_clean_variants,
+    "parse_quality_variants": parse_quality_variants,
+    "registered_view": registered_view,
     "read_epoch_seconds": read_epoch_seconds,
     "write_roundtrip": write_roundtrip,
     "write_roundtrip_by_date": write_roundtrip_by_date,
@@ -427,6 +479,8 @@ QUERIES: dict[str, Query] = {
     "host_avg_bytes_join": host_avg_bytes_join,
     "host_error_rate_join": host_error_rate_join,
     "host_labels": host_labels,
+    "host_avg_bytes_join_nulls": host_avg_bytes_join_nulls,
+    "host_error_rate_join_nulls": host_error_rate_join_nulls,
     "top_hosts_requests": _top_hosts("total_requests"),
     "top_hosts_error_rate": _top_hosts("error_rate"),
     "top_hosts_avg_bytes": _top_hosts("average_bytes"),
@@ -441,6 +495,8 @@ QUERIES: dict[str, Query] = {
     "session_gaps": session_gaps,
     "session_ids": session_ids,
     "session_rows_long": session_rows_long,
+    "session_rows_nulls": session_rows_nulls,
+    "session_ids_nulls": session_ids_nulls,
     "sessions": _sessions(sess.DEFAULT_TIMEOUT),
     "sessions_short_gap": _sessions(SHORT_TIMEOUT),
     "sessions_long_gap": _sessions(LONG_TIMEOUT),
@@ -477,6 +533,7 @@ QUERIES: dict[str, Query] = {
     "metric_scale_trend": metric_scale_trend,
     "metric_union": metric_union,
     "metric_upsert": metric_upsert,
+    "metric_upsert_version": metric_upsert_version,
     "metric_flatten": metric_flatten,
     "metric_flatten_summary": metric_flatten_summary,
     "metric_payload_roundtrip": metric_payload_roundtrip,

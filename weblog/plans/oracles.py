@@ -7,12 +7,13 @@ of a client, then a running SUM), which checks the bucketed plan of
 """
 from __future__ import annotations
 
-from weblog.fixtures import projection_sql
+from weblog.fixtures import VARIANTS, projection_sql
 from weblog.plans.catalog import LONG_TIMEOUT, SHORT_TIMEOUT
 
 LOGS = f"logs AS ({projection_sql('duckdb')})"
 LOGS_ID = f"logs AS ({projection_sql('duckdb', with_event_id=True)})"
 LOGS_STRICT = f"logs AS ({projection_sql('duckdb', strict_methods=True)})"
+LOGS_NULL = f"logs AS ({projection_sql('duckdb', null_clients=True)})"
 LOGS_HOT = f"logs AS ({projection_sql('duckdb', hot_client=True)})"
 
 ERR = "status_code >= 400 AND status_code < 600"
@@ -133,7 +134,66 @@ FROM logs"""
 
 CLEANED = f"WITH {LOGS} SELECT {ALL_COLS} FROM logs"
 
+# What each kind of line in VARIANTS must give, from the events and not from the lines.
+_KIND = f"['{"','".join(VARIANTS)}'][event_id % {len(VARIANTS)} + 1]"
+VARIANT_LOGS = f"{LOGS_ID}, v AS (SELECT *, {_KIND} AS kind FROM logs)"
+PARSED_VARIANTS = f"""WITH {VARIANT_LOGS}
+SELECT kind <> 'cut' AS line_matched,
+       CASE WHEN kind = 'cut' THEN '' ELSE client_ip END AS client_ip,
+       CASE WHEN kind NOT IN ('cut', 'bad_month') THEN log_ts END AS log_ts,
+       CASE kind WHEN 'cut' THEN '' WHEN 'lower_verb' THEN lower(http_method) ELSE http_method END AS http_method,
+       CASE kind WHEN 'cut' THEN '' WHEN 'two_tokens' THEN '' WHEN 'padded_path' THEN request_path || '  '
+            ELSE request_path END AS request_path,
+       CASE kind WHEN 'cut' THEN '' WHEN 'two_tokens' THEN request_path WHEN 'no_version' THEN '-'
+            ELSE http_version END AS http_version,
+       CASE kind WHEN 'cut' THEN '' WHEN 'status_099' THEN '099' WHEN 'status_600' THEN '600'
+            ELSE CAST(status_code AS VARCHAR) END AS status_str,
+       CASE kind WHEN 'cut' THEN '' ELSE coalesce(CAST(response_bytes AS VARCHAR), '-') END AS bytes_str
+FROM v"""
+_DROPPED = "('cut', 'bad_month', 'two_tokens', 'status_099', 'status_600')"
+CLEANED_VARIANTS = f"""WITH {VARIANT_LOGS}
+SELECT client_ip, log_ts, http_method, request_path,
+       CASE WHEN kind = 'no_version' THEN '-' ELSE http_version END AS http_version,
+       status_code, response_bytes, log_date
+FROM v WHERE kind NOT IN {_DROPPED}"""
+QUALITY_VARIANTS = f"""WITH {VARIANT_LOGS}
+SELECT count(*) AS raw_lines, count(*) FILTER (kind <> 'cut') AS matched_lines,
+       count(*) FILTER (kind NOT IN {_DROPPED}) AS cleaned_lines,
+       round(count(*) FILTER (kind <> 'cut')::DOUBLE / count(*), 6) AS match_rate,
+       round(count(*) FILTER (kind NOT IN {_DROPPED})::DOUBLE / count(*), 6) AS parse_rate
+FROM v"""
+
+LINE = ("client_ip || ' - - [' || strftime(log_ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] \"' || http_method || ' ' || request_path "
+        "|| ' ' || http_version || '\" ' || status_code || ' ' || coalesce(CAST(response_bytes AS VARCHAR), '-')")
+
 ORACLES: dict[str, str] = {
+    "log_parse_variants": PARSED_VARIANTS,
+    "log_clean_variants": CLEANED_VARIANTS,
+    "parse_quality_variants": QUALITY_VARIANTS,
+    "sample_lines": f"""WITH {LOGS}
+SELECT {ALL_COLS} FROM logs
+WHERE CAST('0x' || substr(md5('42:' || {LINE}), 1, 8) AS BIGINT) < {int(0.1 * 2**32)}""",
+    "registered_view": f"WITH {LOGS} SELECT client_ip, status_code, response_bytes FROM logs",
+    "host_avg_bytes_join_nulls": f"""WITH {LOGS_NULL}
+SELECT client_ip, count(*) AS total_requests, CAST(sum(response_bytes) AS BIGINT) AS total_bytes,
+       round(avg(response_bytes), 6) AS average_bytes
+FROM logs GROUP BY client_ip""",
+    "host_error_rate_join_nulls": f"""WITH {LOGS_NULL}
+SELECT client_ip, count(*) AS total_requests, count(*) FILTER ({ERR}) AS error_requests, {ERR_RATE} AS error_rate
+FROM logs GROUP BY client_ip""",
+    "session_rows_nulls": _with_sessions(
+        1800, "SELECT client_ip, log_ts, prev_ts, gap_secs, is_new_session, session_id FROM with_id", LOGS_NULL),
+    "session_ids_nulls": _with_sessions(1800, "SELECT client_ip, log_ts, session_id FROM with_id", LOGS_NULL),
+    "metric_upsert_version": f"""WITH {KEYED_RUNS},
+both_sides AS (
+  SELECT *, 0 AS side, CASE WHEN run % 5 = 4 THEN NULL ELSE '2024-06-01' END AS version FROM runs
+  UNION ALL
+  SELECT benchmark_id, scale_pct, query, api, run, elapsed_sec / 2, 1,
+         CASE run % 5 WHEN 0 THEN '2024-07-01' WHEN 1 THEN '2024-06-01' WHEN 2 THEN '2024-05-01' END FROM runs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY benchmark_id, scale_pct, query, api, run
+                                       ORDER BY version DESC NULLS LAST, side DESC) AS rn FROM both_sides)
+SELECT benchmark_id, scale_pct, query, api, run, round(elapsed_sec, 6) AS elapsed_sec, version
+FROM ranked WHERE rn = 1""",
     # ingest
     "log_parse": PARSED,
     "log_parse_gzip": CLEANED,
@@ -194,9 +254,9 @@ e AS (SELECT client_ip, count(*) AS error_requests FROM logs WHERE {ERR} GROUP B
 SELECT n.client_ip, n.total_requests, coalesce(e.error_requests, 0) AS error_requests,
        round(CAST(coalesce(e.error_requests, 0) AS DOUBLE) / CAST(n.total_requests AS DOUBLE) * 100.0, 6) AS error_rate
 FROM n LEFT JOIN e ON n.client_ip = e.client_ip""",
-    "host_labels": f"""WITH {LOGS}, prof AS ({HOST_PROFILE}),
+    "host_labels": f"""WITH {LOGS_HOT}, prof AS ({HOST_PROFILE}),
 dir AS (SELECT CAST(c_custkey AS VARCHAR) AS client_ip, min(c_name) AS hostname
-        FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1)
+        FROM customer GROUP BY 1)
 SELECT prof.*, coalesce(dir.hostname, prof.client_ip) AS hostname
 FROM prof LEFT JOIN dir ON prof.client_ip = dir.client_ip""",
     "top_hosts_requests": f"WITH {LOGS} " + _top(HOST_PROFILE, "total_requests", "client_ip"),

@@ -74,21 +74,21 @@ WITH buckets AS (
   WHERE log_ts IS NOT NULL
   GROUP BY client_ip, floor(unix_timestamp(log_ts) / :width)
 ),
-flagged AS (
-  SELECT *,
-         CASE WHEN LAG(last_s) OVER (PARTITION BY client_ip ORDER BY bucket) IS NULL THEN 1
-              WHEN first_s - LAG(last_s) OVER (PARTITION BY client_ip ORDER BY bucket) > :timeout THEN 1
-              ELSE 0 END AS is_new_session
+after_last AS (
+  SELECT client_ip, bucket, first_s, last_s, n,
+         first_s - LAG(last_s) OVER (PARTITION BY client_ip ORDER BY bucket) AS pause
   FROM buckets
 ),
-with_id AS (
-  SELECT *, SUM(is_new_session) OVER (PARTITION BY client_ip ORDER BY bucket) AS session_id
-  FROM flagged
+counted AS (
+  SELECT client_ip, first_s, last_s, n,
+         SUM(IF(pause <= :timeout, 0, 1)) OVER (PARTITION BY client_ip ORDER BY bucket
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_id
+  FROM after_last
 )
 SELECT client_ip, session_id,
        sum(n) AS request_count,
        max(last_s) - min(first_s) AS duration_secs
-FROM with_id
+FROM counted
 GROUP BY client_ip, session_id
 """
 

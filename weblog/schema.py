@@ -13,8 +13,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-# One row per HTTP request. Referer, user agent, ident and user are matched by the
-# parser but not stored.
+# Column names, types and nullability of the output table.
 ACCESS_LOG_SCHEMA = StructType(
     [
         StructField("client_ip", StringType(), False),

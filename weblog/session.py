@@ -1,7 +1,9 @@
 """SparkSession builder: UTC session zone, AQE with skew handling, ANSI left on."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -86,26 +88,64 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """One JVM on one machine (``local-cluster`` has executors of its own)."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_dir(spark: SparkSession, name: str = "weblog") -> str:
-    """A fresh directory under the cluster's shared ``spark.checkpoint.dir``.
+    """A fresh directory path under the cluster's shared ``spark.checkpoint.dir``.
 
-    The shared folder is read from the session. Only when it is unset (local runs,
-    tests) is a local one created and registered as the checkpoint dir.
+    The shared folder is read from the session. Where it is unset, a local run
+    (tests) gets a temporary folder, registered as the checkpoint folder and
+    removed at the end of the process; any other master is refused, since
+    executors would not see each other's files there. ``clean_scratch`` removes
+    what this session got.
     """
     sc = _context(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="weblog-ckpt-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         if sc is not None:
             sc.setCheckpointDir(base)
-        try:
-            spark.conf.set("spark.checkpoint.dir", base)
-        except Exception:  # noqa: BLE001 - a core conf some deployments refuse to set at runtime
-            pass
-    base = base.rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", "", 1), exist_ok=True)
     return path
+
+
+_SCRATCH: list[str] = []
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it wants it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the folders that ``scratch_dir`` has given out; call it when no result needs them."""
+    while _SCRATCH:
+        fs, at = file_system(spark, _SCRATCH.pop())
+        fs.delete(at, True)
+
+
+def shuffle_width(input_bytes: int, partition_bytes: int = 256 << 20, least: int = 200) -> int:
+    """Shuffle partitions for an input: no partition over ``partition_bytes`` even if nothing is reduced.
+
+    AQE merges small partitions but does not split an aggregate's, so the width starts from the data.
+    """
+    return max(least, -(-int(input_bytes) // partition_bytes))
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a path (or a glob of paths)."""
+    fs, at = file_system(spark, path)
+    return sum(fs.getContentSummary(s.getPath()).getLength() for s in (fs.globStatus(at) or []))

@@ -1,10 +1,9 @@
-"""Readers and writers: raw text (plain or gzip), Parquet logs, Spark event logs.
+"""Readers and writers: raw text (plain or gzip) and Parquet logs.
 
 JSON benchmark payloads are read by ``weblog.operators.metrics.read_payloads``.
 """
-from weblog.sources.eventlog import read_event_log, stage_records, task_records
-from weblog.sources.logs import read_logs, register_logs, verify_written, write_logs
-from weblog.sources.text import read_lines, sample_lines
+from weblog.sources.logs import committed, read_logs, register_logs, verify_written, write_logs
+from weblog.sources.text import read_lines, sample_lines, sample_lines_by_content
 
-__all__ = ["read_lines", "sample_lines", "read_logs", "register_logs",
-           "write_logs", "verify_written", "read_event_log", "stage_records", "task_records"]
+__all__ = ["read_lines", "sample_lines", "sample_lines_by_content", "read_logs", "register_logs",
+           "write_logs", "verify_written", "committed"]

@@ -6,7 +6,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.schema import ACCESS_LOG_COLUMNS
+from weblog.schema import conform
+from weblog.session import file_system
 
 
 def read_logs(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -43,6 +44,9 @@ def write_logs(df: DataFrame, path: str, partitions: int | None = None,
                compression: str = "snappy", rebalance: bool = False) -> None:
     """Write the access-log table as Parquet.
 
+    The frame is conformed to ``ACCESS_LOG_SCHEMA``: a missing column is an
+    error, columns outside the schema are left out.
+
     ``partitions`` round-robins the rows into ``n`` write tasks (a full
     shuffle; use it to fix the file count). ``by_date`` lays the table out as
     ``log_date=YYYY-MM-DD`` directories. By default the scan tasks write their
@@ -53,7 +57,7 @@ def write_logs(df: DataFrame, path: str, partitions: int | None = None,
     sending it to one. ``mode="ignore"`` makes the write idempotent (skip when
     the path exists); ``"overwrite"`` forces it.
     """
-    out = df.select(*ACCESS_LOG_COLUMNS) if set(ACCESS_LOG_COLUMNS) <= set(df.columns) else df
+    out = conform(df)
     if partitions:
         out = out.repartition(partitions)
     elif by_date and rebalance:
@@ -64,6 +68,12 @@ def write_logs(df: DataFrame, path: str, partitions: int | None = None,
     w.parquet(path)
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """True if a write to ``path`` has ended: its success marker is there."""
+    fs, at = file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return fs.exists(at)
+
+
 def verify_written(spark: SparkSession, path: str) -> int:
     """Read the table back and return its row count; raise if it is empty."""
     n = spark.read.parquet(path).count()

@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weblog.operators.clean import clean_logs
 from weblog.operators.parse import parse_lines
-from weblog.session import scratch_dir
 
 
 def start_ingest(spark: SparkSession, source_dir: str, output_path: str,
@@ -22,8 +21,9 @@ def start_ingest(spark: SparkSession, source_dir: str, output_path: str,
                  available_now: bool = True) -> StreamingQuery:
     """Start the stream; the caller waits on or stops the returned query.
 
-    ``checkpoint_path`` defaults to a fresh folder under the session's shared
-    ``spark.checkpoint.dir``. Pass the same path again to resume.
+    ``checkpoint_path`` defaults to a hidden folder inside the output, so a
+    second start over the same output always resumes the first: table and
+    progress belong together.
     """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -32,7 +32,7 @@ def start_ingest(spark: SparkSession, source_dir: str, output_path: str,
                          strict_http_method=strict_http_method)
     writer = (cleaned.writeStream.format("parquet")
               .option("path", output_path)
-              .option("checkpointLocation", checkpoint_path or scratch_dir(spark, "ingest-ckpt"))
+              .option("checkpointLocation", checkpoint_path or f"{output_path.rstrip('/')}/_ingest_checkpoint")
               .outputMode("append"))
     if by_date:
         writer = writer.partitionBy("log_date")
