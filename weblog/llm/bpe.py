@@ -38,7 +38,7 @@ from weblog.llm.common import pick, table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 #: Words for one query, bytes of text for one decoding, and stretches kept in a worker.
-WORDS, TEXT_BYTES, KEPT = 50_000, 4 << 20, 200_000
+WORDS, TEXT_BYTES, KEPT = 50_000, 4 << 20, 900_000
 
 #: One contraction per word and step. Rows whose word has no pair left come out as not live.
 CONTRACT = """
@@ -78,7 +78,7 @@ SELECT p, t, best, rising FROM state WHERE step = (SELECT max(step) FROM state)
 """
 
 DECODE = """
-SELECT d, list(h ORDER BY p) AS hs FROM ids JOIN vocab USING (id) GROUP BY d
+SELECT d, list(b ORDER BY p) AS bs FROM ids JOIN vocab USING (id) GROUP BY d
 """
 
 
@@ -98,7 +98,7 @@ class Coder:
         alone = {r for a, _, r in pairs if rank.get((r, a), r + 1) <= r}
         self._load("merges", {"a": m[:, 0], "b": m[:, 1], "r": m[:, 2], "alone": [r in alone for r in m[:, 2].tolist()]})
         self._load("vocab", {"id": pa.array(list(self.ranks.values()), pa.int32()),
-                             "h": [t.hex() for t in self.ranks]})
+                             "b": pa.array(list(self.ranks), pa.binary())})
         self.spaced: dict[str, bytes] = {}  # stretches that follow a space, with it
         self.plain: dict[str, bytes] = {}  # anything split as it stands
 
@@ -177,8 +177,14 @@ class Coder:
             "id": np.frombuffer(b"".join(coded), dtype="<u4").astype(np.int32)}))
         got = self.db.sql(DECODE).to_arrow_table()
         out = [b""] * len(coded)
-        for d, hs in zip(got.column("d").to_pylist(), got.column("hs")):
-            out[d] = bytes.fromhex("".join(hs.values.to_pylist()))
+        for batch in got.to_batches():
+            lists = batch.column(1)
+            tokens = lists.values.cast(pa.large_binary())
+            # The bytes of consecutive tokens lie side by side in the array's buffer.
+            edge = np.frombuffer(tokens.buffers()[1], dtype=np.int64)[tokens.offset:tokens.offset + len(tokens) + 1]
+            cut, data = edge[lists.offsets.to_numpy()], tokens.buffers()[2]
+            for d, a, b in zip(batch.column(0).to_pylist(), cut, cut[1:]):
+                out[d] = data[a:b].to_pybytes()
         return out
 
 
