@@ -1,0 +1,132 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import Row
+
+from weblog.llm import near_dedup as nd
+from weblog.llm.components import components
+from weblog.llm.wordhash import shingle_sets
+
+SF = "/root/testdata/sf0.001"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def shingles(text, n):
+    w = words(text)
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def brute(rows, n):
+    """(doc_id, n_shingles, component_id) of all rows, by comparing all pairs."""
+    sets = [shingles(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return sorted(((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=repr)
+
+
+def test_shingles_are_those_of_the_words():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab AB\n\t\x0b é") for _ in range(rng.randrange(0, 40))) for _ in range(200)] + [None, "", " "]
+    for n in (1, 2, 5):
+        got, ends = shingle_sets(texts, n)
+        assert np.diff(ends, prepend=0).tolist() == [len(shingles(t, n)) for t in texts]
+        by = {}
+        for a, b, t in zip(np.concatenate([[0], ends[:-1]]), ends, texts):
+            assert by.setdefault(frozenset(shingles(t, n)), got[a:b].tolist()) == got[a:b].tolist()
+
+
+def test_sketches_merge_and_estimate():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 2**63, 3000, dtype=np.uint64), rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    sets = [np.unique(a), np.unique(np.concatenate([a[:2400], b])), np.unique(np.concatenate([a, b]))]
+    s = nd.sketch(np.concatenate(sets), np.cumsum([len(x) for x in sets]))
+    assert (nd.merge(s[0], s[1]) == s[2]).all()
+    n = np.array([len(x) for x in sets], dtype=float)
+    for i, j in ((0, 1), (0, 2), (1, 2), (0, 0)):
+        true = len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+        assert abs(nd.estimate(s[[i]], s[[j]], n[[i]], n[[j]])[0] - true) < 0.15
+    same = [nd.sketch(x, np.array([len(x)])) for x in (rng.integers(0, 2**63, 40, dtype=np.uint64) for _ in range(50))]
+    assert max((x == y).mean() for i, x in enumerate(same) for y in same[:i]) < 0.2
+
+
+def test_whole_table(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = nd.op1_near_dedup(spark, SF)
+    assert rows_of(got) == brute(docs, 2)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
+
+
+def chained():
+    """Copies, a chain whose ends are far apart, a star of edits, nulls, repeats and odd texts."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows, text = [], list(base)
+    for i in range(12):  # each differs little from the one before
+        rows.append((100 + i, " ".join(text)))
+        for _ in range(3):
+            text[rng.randrange(len(text))] = f"c{i}{rng.randrange(10**6)}"
+    for i in range(40):  # edits of one original, partly unlike one another
+        t = list(base)
+        for k in rng.sample(range(len(t)), rng.randrange(0, 9)):
+            t[k] = f"e{i}{k}"
+        rows.append((200 + i, " ".join(t)))
+    rows += [(300 + i, " ".join(base).upper() if i % 2 else "  ".join(base)) for i in range(20)]
+    rows += [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "a b c d e"), (8, "a b c d f"),
+             (None, " ".join(base)), (None, "only null"), (None, "only null"), (9, "x " * 60000), (10, "x y " * 40000),
+             rows[0], rows[0], (100, "another text under the same id"), (100, "another text under the same id!")]
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_groups_are_the_connected_components(spark, rounds):
+    rows = chained()
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, n=1, id="x") for i, t in rows], "doc_id long, text string, n int, id string")
+    for n in (2, 5):
+        assert rows_of(nd.groups(docs, n=n, rounds=rounds)) == brute(rows, n)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert nd.groups(docs).count() == 0 and nd.unique(docs).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)]
+    links += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if any(x in l and l[0] != l[1] for l in links)}
