@@ -15,7 +15,7 @@ all rows does not reach one task.
 
 Defined cases: a null text counts as empty, and empty texts are copies of each other; a
 null doc_id loses to any other id; among repeated rows the one that lies first
-(by file, then row) stays; an empty table gives an empty result.
+(by file, then row) stays; extra columns are carried by position; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import WHITE, pick, table, written
+from weblog.llm.common import WHITE, table, written
 from weblog.session import scratch_dir
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,25 +41,25 @@ def sha256(norm: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` as a table on files, whose rows have a file and a place in it."""
+    """doc_id, text, file and row of ``docs``, and all its columns by position as c0, c1, ...
+
+    Rows of a table on files have a file and a place in it; other frames are written first.
+    """
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    place = ["_metadata.file_path", "_metadata.row_index"]
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
-        return docs
+        found = docs.select("*", *place)
     except AnalysisException:
-        return written(docs, "dedup-docs")
-
+        found = written(docs.toDF(*plain), "dedup-docs").select("*", *place)
+    at = {name: plain[docs.columns.index(name)] for name in ("doc_id", "text")}
+    return found.toDF(*plain, "file", "row").select(
+        "*", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).alias("text"))
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
 
-
-def records(docs: DataFrame, digest=sha256) -> DataFrame:
-    """One slim row per document: digest, identifier, length and locator."""
-    d = pick(with_locator(docs), doc_id="doc_id", text="text", file="_file", row="_row")
-    return d.select(digest(normalised(F.col("text"))).alias("digest"),
-                    F.col("doc_id").cast("long").alias("doc_id"),
-                    F.coalesce(F.length("text"), F.lit(0)).alias("n_code_points"),
-                    "file", "row")
+def records(rows: DataFrame, digest=sha256) -> DataFrame:
+    """One slim row per located document: digest, identifier, length and locator."""
+    return rows.select(digest(normalised(F.col("text"))).alias("digest"), "doc_id",
+                       F.coalesce(F.length("text"), F.lit(0)).alias("n_code_points"), "file", "row")
 
 
 def _best() -> Column:
@@ -105,18 +105,20 @@ def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 
     ``digest`` is the function of the normalised text that keys the state.
     """
-    spark = docs.sparkSession
-    docs = located(docs)
+    return _dedup(located(docs), digest)
+
+
+def _dedup(rows: DataFrame, digest=sha256) -> DataFrame:
+    spark = rows.sparkSession
     path = f"{scratch_dir(spark, 'dedup-records')}/table"
-    made = records(docs, digest)
+    made = records(rows, digest)
     made.write.parquet(path)
     slim = spark.read.schema(made.schema).parquet(path)
     groups = written(stream_state(slim, path, scratch_dir(spark, "dedup-state")), "dedup-groups")
 
     hits = groups.where("group_size > 1").select("digest")
-    full = pick(with_locator(docs), doc_id="doc_id", text="text", file="_file", row="_row").select(
-        normalised(F.col("text")).alias("norm"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.length("text"), F.lit(0)).alias("n_code_points"), "file", "row")
+    full = rows.select(normalised(F.col("text")).alias("norm"), "doc_id",
+                       F.coalesce(F.length("text"), F.lit(0)).alias("n_code_points"), "file", "row")
     full = full.withColumn("digest", digest(F.col("norm")))
     checked = full.join(hits, "digest", "left_semi")
     texts = checked.groupBy("digest", "norm").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -139,9 +141,10 @@ def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
 
 def unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    docs = located(docs)
-    kept = dedup(docs).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return with_locator(docs).join(kept, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    rows = located(docs)
+    kept = _dedup(rows).where("kept").select("file", "row")
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return rows.join(kept, ["file", "row"], "left_semi").select(*plain).toDF(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
