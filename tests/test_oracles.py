@@ -4,6 +4,8 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from weblog.plans.catalog import QUERIES
+from weblog.plans.oracles import ORACLES
 from tools.oracle_check import TABLES, _close, _rows
 
 SF = "/root/testdata/sf0.001"
@@ -20,12 +22,23 @@ def duck():
     return con
 
 
-def test_every_key_has_an_oracle_or_is_sampling():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"sample_lines"}
+def test_every_key_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+def test_entry_without_the_training_data_operators(monkeypatch):
+    import importlib
+    import sys
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    monkeypatch.setitem(sys.modules, "weblog.llm", None)
+    alone = importlib.reload(E)
+    assert set(alone.queries()) == set(QUERIES) and set(alone.oracle_sql()) == set(ORACLES)
+    monkeypatch.undo()
+    importlib.reload(E)
+
+
+@pytest.mark.parametrize("key", sorted(ORACLES))
 def test_key_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF)
     s_rows = [tuple(r) for r in df.collect()]

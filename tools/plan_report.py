@@ -78,7 +78,7 @@ def main(argv) -> int:
         spark.stop()
         return 0
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from weblog.plans.catalog import QUERIES
     from tools.inspect_plan import plan_text
     from weblog.session import build
     spark = build(master="local[8]", shuffle_partitions=8)
@@ -89,7 +89,7 @@ def main(argv) -> int:
           "large input would not). `shuffles` lists each exchange's partitioning.\n")
     print("| key | shuffles | bcast | windows | joins | scans (read schema; pushed filters) |")
     print("|---|---|---|---|---|---|")
-    for k, fn in E.queries().items():
+    for k, fn in QUERIES.items():
         try:
             df = fn(spark, sf)
             s = summarize(plan_text(df, "simple"), plan_text(df, "formatted"))
