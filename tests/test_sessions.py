@@ -112,3 +112,23 @@ def test_session_bounds_and_nested(spark):
     assert ((a2.session_start - T0).seconds, (a2.session_end - T0).seconds) == (3601, 5400)
     nested = {r.client_ip: r.sessions for r in S.nested_sessions(s).collect()}
     assert nested["a"][1].session_end == a2.session_end
+
+
+def test_short_timeouts_in_chunks_match_brute_force(spark, monkeypatch):
+    import random
+    monkeypatch.setattr(S, "CHUNK", 5)
+    rnd = random.Random(9)
+    events = [(f"k{rnd.randint(0, 3)}", rnd.randint(0, 300)) for _ in range(300)] + [(None, t) for t in (0, 1, 50)]
+    df = session_df(spark, events)
+    for timeout in (0, 1, 3, 59):
+        want = _brute_force([(k or "", t) for k, t in events], timeout)
+        assert sorted((r.client_ip or "", r.session_id, r.request_count, r.duration_secs)
+                      for r in S.sessions(df, timeout=timeout).collect()) == want, timeout
+        rows = S.session_rows(df, timeout=timeout).collect()
+        ids = {(k, i): n for k, i, n, _ in want}
+        got = {}
+        for r in rows:
+            at = (r.client_ip or "", r.session_id)
+            got[at] = got.get(at, 0) + 1
+            assert r.gap_secs is None or r.is_new_session == int(r.gap_secs > timeout)
+        assert got == ids

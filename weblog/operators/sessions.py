@@ -38,9 +38,16 @@ def _epoch(ts: str) -> Column:
     return F.unix_timestamp(F.col(ts))
 
 
+# Timeouts below this many seconds window their bucket summary in two levels, with
+# chunks of so many buckets: a client has many buckets then, and one task would sort them all.
+SHORT_TIMEOUT, CHUNK = 60, 1 << 16
+
+
 def _flag_buckets(summary: DataFrame, key: str, timeout: int) -> DataFrame:
     """Add ``_prev_last_ts``, ``_is_start`` and ``session_id`` to a bucket summary
     ``(key, _bucket, _first, _last, _last_ts, _n)``; one window spec, one sort."""
+    if timeout < SHORT_TIMEOUT:
+        return _flag_buckets_in_chunks(summary, key, timeout)
     w = Window.partitionBy(key).orderBy("_bucket")
     prev_last = F.col("_prev_last")
     return (summary
@@ -54,6 +61,38 @@ def _flag_buckets(summary: DataFrame, key: str, timeout: int) -> DataFrame:
                                                               Window.currentRow))))
 
 
+def _flag_buckets_in_chunks(summary: DataFrame, key: str, timeout: int) -> DataFrame:
+    """The same columns by windows over (key, chunk) and then over a key's chunks.
+
+    Inside a chunk only its first bucket's predecessor is unknown; a row per chunk
+    tells it, and how many sessions opened before. A task sorts at most ``CHUNK``
+    buckets, or one client's chunks (``time span / (timeout * CHUNK)``).
+    """
+    late = lambda first, last: last.isNull() | ((first - last) > F.lit(timeout))
+    s = (summary.withColumn("_client", F.struct(F.col(key).alias("k")))  # null clients join, too
+         .withColumn("_chunk", F.floor(F.col("_bucket") / F.lit(CHUNK))))
+    w = Window.partitionBy("_client", "_chunk").orderBy("_bucket")
+    s = s.withColumns({"_in_last": F.lag("_last").over(w), "_in_last_ts": F.lag("_last_ts").over(w)})
+    s = s.withColumn("_in_start", F.when(F.col("_in_last").isNotNull() & late(F.col("_first"), F.col("_in_last")), 1)
+                     .otherwise(0))
+    s = s.withColumn("_in_id", F.sum("_in_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chunks = s.groupBy("_client", "_chunk").agg(
+        F.min("_first").alias("_c_first"), F.max("_last").alias("_c_last"), F.max("_last_ts").alias("_c_last_ts"),
+        F.sum("_in_start").alias("_c_starts"))
+    v = Window.partitionBy("_client").orderBy("_chunk")
+    chunks = chunks.withColumns({"_before": F.lag("_c_last").over(v), "_before_ts": F.lag("_c_last_ts").over(v)})
+    chunks = chunks.withColumn("_opens", late(F.col("_c_first"), F.col("_before")).cast("int"))
+    so_far = F.sum(F.col("_c_starts") + F.col("_opens")).over(v.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chunks = chunks.withColumn("_base", so_far - F.col("_c_starts")).select(
+        "_client", "_chunk", "_before_ts", "_opens", "_base")
+    out = s.join(chunks, ["_client", "_chunk"])
+    first = F.col("_in_last").isNull()
+    return out.select(
+        *summary.columns, F.when(first, F.col("_before_ts")).otherwise(F.col("_in_last_ts")).alias("_prev_last_ts"),
+        F.when(first, F.col("_opens")).otherwise(F.col("_in_start")).alias("_is_start"),
+        (F.col("_base") + F.col("_in_id")).alias("session_id"))
+
+
 def bucket_summary(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
                    timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     """Per (key, bucket): first/last epoch second and timestamp, request count,
