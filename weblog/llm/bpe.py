@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from weblog.llm.common import pick, table
+from weblog.llm.common import pick, portions, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
@@ -200,18 +200,6 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
-def portions(texts: list[str], limit: int = TEXT_BYTES):
-    """Slices of the list that hold about ``limit`` characters at most, or one text."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (if asked for), ids_sha256, decoded_sha256 of each document.
 
@@ -226,7 +214,7 @@ def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = Non
         own = coder(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in portions(texts):
+            for a, b in portions(texts, TEXT_BYTES):
                 coded = own.encode(texts[a:b])
                 columns = [batch.column(0).slice(a, b - a).cast(pa.int64()),
                            pa.array([len(c) // 4 for c in coded], pa.int64())]

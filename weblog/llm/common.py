@@ -27,6 +27,18 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{at[old]}").alias(new) for new, old in wanted.items()])
 
 
+def portions(texts: list, limit: int):
+    """Slices (start, end) of a list of texts that hold about ``limit`` characters at most, or one text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 

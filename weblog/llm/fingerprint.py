@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import pick, table, written
+from weblog.llm.common import pick, portions, table, written
 from weblog.llm.wordhash import mix64, shingle_sets
 
 SHINGLE, PERMUTATIONS, BANDS = 5, 64, 16
@@ -52,17 +52,12 @@ def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Signatures, and the sizes of the sets."""
-    out, sizes, start, size = [], [], 0, 0
-    for i in range(len(texts) + 1):
-        here = len(texts[i] or "") if i < len(texts) else 0
-        if i > start and (i == len(texts) or size + here > PORTION):
-            sets, ends = shingle_sets(texts[start:i], SHINGLE)
-            out.append(signatures(sets, ends))
-            sizes.append(np.diff(ends, prepend=0))
-            start, size = i, 0
-        size += here
-    if not out:
-        return np.zeros((0, PERMUTATIONS), dtype=np.uint16), np.zeros(0, dtype=np.int64)
+    out = [np.zeros((0, PERMUTATIONS), dtype=np.uint16)]
+    sizes = [np.zeros(0, dtype=np.int64)]
+    for a, b in portions(texts, PORTION):
+        sets, ends = shingle_sets(texts[a:b], SHINGLE)
+        out.append(signatures(sets, ends))
+        sizes.append(np.diff(ends, prepend=0))
     return np.concatenate(out), np.concatenate(sizes)
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weblog.llm.common import pick, table, written
-from weblog.llm.wordhash import _IS_WHITE, joined, word_hashes
+from weblog.llm.common import pick, portions, table, written
+from weblog.llm.wordhash import IS_WHITE, joined, word_hashes
 
 #: Random features, kernel width, ridge penalty, calibration bins, least score kept.
 FEATURES, WIDTH, PENALTY, BINS, KEEP = 256, 4.0, 1e-3, 200, 0.7
@@ -44,7 +44,7 @@ def _class(pattern: str) -> np.ndarray:
 
 
 _CLASSES = [_class("[A-Z]"), _class("[a-z]"), _class("[0-9]"), _class("[.,;:?'\"()-]"), _class("[^A-Za-z0-9\\s.,;:?'\"()\\x00-\\x1f\\x7f-]"),
-            np.arange(256) >= 128, (np.arange(256) < 32) & ~_IS_WHITE, _IS_WHITE]
+            np.arange(256) >= 128, (np.arange(256) < 32) & ~IS_WHITE, IS_WHITE]
 
 
 def _per(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     count = np.diff(word_ends, prepend=0).astype(float)
     words = np.maximum(count, 1)
     owner = np.repeat(np.arange(n), count.astype(int))
-    white = _IS_WHITE[raw]
+    white = IS_WHITE[raw]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     edge = edge if not len(raw) or white[0] else np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
@@ -157,7 +157,7 @@ def described(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in portions([t or "" for t in texts], PORTION):
+            for a, b in portions(texts, PORTION):
                 rows = statistics(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).cast(pa.int64()),
@@ -167,17 +167,6 @@ def described(docs: DataFrame) -> DataFrame:
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, x array<double>")
 
 
-def portions(texts: list[str], limit: int):
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def fit(stats: DataFrame, labels: DataFrame, seed: int = 10) -> Model | None:
     """Learn from the labelled rows that are not held out; None without such rows.
 
@@ -266,7 +255,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str
     """``docs`` with one more column, the score of its text; all rows and columns stay."""
     def of(texts):
         done = np.ones(len(texts))
-        for a, b in portions([t or "" for t in texts], PORTION):
+        for a, b in portions(texts, PORTION):
             done[a:b] = model.score(statistics(texts[a:b]))
         return done
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import pick, table, written
+from weblog.llm.common import pick, portions, table, written
 from weblog.llm.wordhash import mix64, powers
 
 LENGTH, GRAM = 400, 32
@@ -189,23 +189,12 @@ def _text_key(b: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
 
-def _portions(texts: list[bytes]):
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > PORTION:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def located(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, text_key, start, windows, anchor, content, inner of every context."""
     def run(batches):
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in _portions(texts):
+            for a, b in portions(texts, PORTION):
                 part = texts[a:b]
                 ends = np.cumsum([len(t) for t in part])
                 text, start, count, anchor, content, inner = contexts(

@@ -13,8 +13,8 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = int(_RNG.integers(1, 2**61)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 2**64)
-_IS_WHITE = np.zeros(256, dtype=bool)
-_IS_WHITE[[32, *range(9, 14)]] = True
+IS_WHITE = np.zeros(256, dtype=bool)
+IS_WHITE[[32, *range(9, 14)]] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ``raw`` holds the bytes of all texts, each followed by one white byte; ``ends`` where each
     text's stretch ends, that byte included.
     """
-    word = ~_IS_WHITE[raw]
+    word = ~IS_WHITE[raw]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(raw) and word[0]:
         edge = np.concatenate([[0], edge])
