@@ -14,7 +14,10 @@ about their Jaccard similarity.
    far below the threshold go no further. Links are confirmed on the full sets.
    Confirmed links merge components, and the next round takes other pivots.
 4. What stays apart after that is compared in full: all candidates whose components differ.
-   Candidates inside a component need no comparison, so a large group of copies costs no pairs.
+   Candidates inside a component need no comparison, so a large group of copies costs no pairs: under each key
+   only the members outside its largest component meet the others.
+   A shingle that none of the other classes left over has is in no intersection; counting these bounds the
+   similarity of a pair from above, and pairs whose bound is below the threshold are never made.
 
 A pair at the threshold shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, 4e-7; an
 estimate misses its mark by 5 standard deviations as rarely.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import pick, table, written
+from weblog.llm.common import pick, portions, table, written
 from weblog.llm.components import components
 from weblog.llm.wordhash import mix64, shingle_sets
 
@@ -41,7 +44,7 @@ ROWS, BANDS = 4, 28
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Links have intersections of at least PERCENT of the union; estimates below it by MARGIN are dropped.
 PERCENT, MARGIN = 80, 0.2
-ROUNDS = 3
+ROUNDS = 2
 PORTION = 1 << 21
 
 _M = ROWS * BANDS
@@ -109,13 +112,8 @@ def _binary_rows(column: pa.Array, dtype) -> list[np.ndarray]:
 
 def _sets(texts: list, n: int):
     """(start, end, sets, ends) of portions of the texts."""
-    start = size = 0
-    for i in range(len(texts) + 1):
-        here = len(texts[i] or "") if i < len(texts) else 0
-        if i > start and (i == len(texts) or size + here > PORTION):
-            yield start, i, *shingle_sets(texts[start:i], n)
-            start, size = i, 0
-        size += here
+    for a, b in portions(texts, PORTION):
+        yield a, b, *shingle_sets(texts[a:b], n)
 
 
 def _digests(sets: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -201,6 +199,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _matchable(sets: DataFrame) -> DataFrame:
+    """id, m: how many of a class's shingles any other of these classes has.
+
+    No intersection is larger than that. Counted per shingle; the owner of a shingle
+    that occurs once is the least id that has it.
+    """
+    def run(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                rows = _binary_rows(part.column(1), np.int64)
+                owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(rows))],
+                                                 ["id", "shingle"])
+
+    each = sets.select("id", "s").mapInArrow(run, "id binary, shingle long")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    alone = often.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    size = sets.select("id", (F.octet_length("s") / 8).cast("long").alias("n"))
+    return size.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id, n_links.
 
@@ -216,6 +236,10 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     keys = written(keys.join(shared, "key").select("id", "n", "key"), "near-keys")
 
+    # The whole sets of all classes that may be compared, fetched once.
+    wanted = keys.select("id").distinct().join(classes.select("id", "doc_id"), "id")
+    sets = written(_full_sets(given, wanted, n), "near-sets")
+
     links, tried, root = None, None, None
     for turn in range(rounds + 1):
         member = keys if root is None else keys.join(root.toDF("id", "root"), "id", "left")
@@ -226,11 +250,19 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
             pivot = one.groupBy("key").agg(F.min("m").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
             pairs = one.join(pivot, "key").select(F.col("m.id").alias("x"), F.col("p.id").alias("y")).where("x <> y")
         else:
-            mixed = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            left = member.join(mixed.select("key"), "key")
+            per_root = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+            mixed = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")
+                                                ).where("roots > 1").select("key", F.col("most.root").alias("major"))
+            left = written(member.join(mixed, "key"), "near-mixed")
+            m = _matchable(sets.join(left.select("id").distinct(), "id", "left_semi"))
+            # The intersection is at most the smaller m, and the similarity at most what follows from that.
+            left = written(left.join(m, "id").where(f"100 * m >= {percent} * n"), "near-mixed")
+            near = f"(100 + {percent}) * least(m, m_) >= {percent} * (n + n_)"
+            # Under each key, the members outside its largest component meet all others.
+            minor = left.where("root <> major")
             right = left.toDF(*[f"{c}_" for c in left.columns])
-            near = f"100 * least(n, n_) >= {percent} * greatest(n, n_)"
-            pairs = left.join(right, (F.col("key") == F.col("key_")) & (F.col("root") < F.col("root_")) & F.expr(near)).select(
+            pairs = minor.join(right, (F.col("key") == F.col("key_")) & (F.col("root") != F.col("root_")) & F.expr(near)
+                               & ((F.col("root_") == F.col("major_")) | (F.col("id") < F.col("id_")))).select(
                 F.col("id").alias("x"), F.col("id_").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
@@ -240,9 +272,6 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
             if turn < rounds:
                 continue
             break
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(
-            classes.select("id", "doc_id"), "id")
-        sets = written(_full_sets(given, wanted, n), "near-sets")
         new = written(_confirmed(pairs, sets, percent), "near-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
