@@ -100,8 +100,10 @@ def chained():
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_groups_are_the_connected_components(spark, rounds):
+@pytest.mark.parametrize("rounds, held, streamed", [(0, 1024, 65536), (0, 4, 7), (2, 1024, 65536)])
+def test_groups_are_the_connected_components(spark, monkeypatch, rounds, held, streamed):
+    monkeypatch.setattr(nd, "HELD", held)
+    monkeypatch.setattr(nd, "STREAMED", streamed)
     rows = chained()
     docs = spark.createDataFrame([Row(doc_id=i, text=t, n=1, id="x") for i, t in rows], "doc_id long, text string, n int, id string")
     for n in (2, 5):

@@ -13,11 +13,9 @@ about their Jaccard similarity.
    likelihood of the similarity is maximised with both set sizes known; pairs that are
    far below the threshold go no further. Links are confirmed on the full sets.
    Confirmed links merge components, and the next round takes other pivots.
-4. What stays apart after that is compared in full: all candidates whose components differ.
-   Candidates inside a component need no comparison, so a large group of copies costs no pairs: under each key
-   only the members outside its largest component meet the others.
-   A shingle that none of the other classes left over has is in no intersection; counting these bounds the
-   similarity of a pair from above, and pairs whose bound is below the threshold are never made.
+4. What stays apart after that is compared in full: all members of a key whose components differ. A
+   task holds some members and streams the others past them, so pairs that are no links make
+   no rows, and candidates inside a component need no comparison.
 
 A pair at the threshold shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, 4e-7; an
 estimate misses its mark by 5 standard deviations as rarely.
@@ -44,7 +42,8 @@ ROWS, BANDS = 4, 28
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Links have intersections of at least PERCENT of the union; estimates below it by MARGIN are dropped.
 PERCENT, MARGIN = 80, 0.2
-ROUNDS = 2
+#: Star rounds; members that a task holds, and streams past them, in the last comparison.
+ROUNDS, HELD, STREAMED = 2, 1024, 65536
 PORTION = 1 << 21
 
 _M = ROWS * BANDS
@@ -199,26 +198,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _matchable(sets: DataFrame) -> DataFrame:
-    """id, m: how many of a class's shingles any other of these classes has.
+def _across(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between members of different components (``root``) under one key, one for each member and other component.
 
-    No intersection is larger than that. Counted per shingle; the owner of a shingle
-    that occurs once is the least id that has it.
+    Under each key, the members outside its largest component meet all others. They are dealt into
+    parts of about ``HELD``, and all members into slices of about ``STREAMED``; a task holds a part, streams a slice
+    past it and counts common shingles, so no row is made for a pair that isn't a link. Sets travel as 32-bit hashes, which can
+    only add to what is common; links are confirmed on the full sets afterwards.
     """
-    def run(batches):
+    def compact(batches):
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                rows = _binary_rows(part.column(1), np.int64)
-                owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(np.concatenate(rows))],
-                                                 ["id", "shingle"])
+            short = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in _binary_rows(batch.column(1), np.uint64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["id", "t"])
 
-    each = sets.select("id", "s").mapInArrow(run, "id binary, shingle long")
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
-    alone = often.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    size = sets.select("id", (F.octet_length("s") / 8).cast("long").alias("n"))
-    return size.join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
+    def run(batches):
+        group, held, known = None, [], None
+        for batch in batches:
+            links = []
+            for key, part, side, i, root, t in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+                if group != (key, part):
+                    group, held, known = (key, part), [], None
+                x = np.frombuffer(t, dtype=np.uint32)
+                if side == 0:
+                    held.append((i, root, x))
+                    continue
+                if known is None:  # all that is held, as one sorted list of shingles with their owners
+                    sizes = np.array([len(h[2]) for h in held])
+                    every = np.concatenate([h[2] for h in held])
+                    by = np.argsort(every, kind="stable")
+                    known = every[by], np.repeat(np.arange(len(held)), sizes)[by], sizes, set()
+                every, owner, sizes, done = known
+                low, high = np.searchsorted(every, x, side="left"), np.searchsorted(every, x, side="right")
+                n = high - low
+                at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                common = np.bincount(owner[at], minlength=len(held))
+                for k in np.flatnonzero(100 * common >= percent * (sizes + len(x) - common)):
+                    j, other, _ = held[k]
+                    if other != root and (k, root) not in done:
+                        done.add((k, root))
+                        links.append((min(i, j), max(i, j)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+    per_root = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per_root.groupBy("key").agg(
+        F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed = mixed.select("key", F.col("most.root").alias("major"),
+                         F.ceil((F.col("c") - F.col("most.c")) / HELD).cast("int").alias("parts"),
+                         F.ceil(F.col("c") / STREAMED).cast("int").alias("slices"))
+    left = member.join(mixed, "key").join(sets.mapInArrow(compact, "id binary, t binary"), "id")
+    left = written(left.select("key", "id", "root", "t", "major", "parts", "slices"), "near-mixed")
+    # A part meets every slice of its key: held rows go to all slices, streamed rows to all parts.
+    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+    first = left.where("root <> major").withColumn("part", deal(F.col("parts"), 1))
+    every = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    every = every.join(first.select("key", "part").distinct(), ["key", "part"]).withColumn("slice", deal(F.col("slices"), 2))
+    first = first.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)))
+    columns = ["key", F.concat_ws("/", "part", "slice").alias("part"), "id", "root", "t"]
+    rows = first.select(*columns, F.lit(0).alias("side")).unionByName(every.select(*columns, F.lit(1).alias("side")))
+    rows = rows.select("key", "part", "side", "id", "root", "t").repartition("key", "part").sortWithinPartitions(
+        "key", "part", "side")
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
@@ -250,24 +289,13 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
             pivot = one.groupBy("key").agg(F.min("m").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
             pairs = one.join(pivot, "key").select(F.col("m.id").alias("x"), F.col("p.id").alias("y")).where("x <> y")
         else:
-            per_root = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-            mixed = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")
-                                                ).where("roots > 1").select("key", F.col("most.root").alias("major"))
-            left = written(member.join(mixed, "key"), "near-mixed")
-            m = _matchable(sets.join(left.select("id").distinct(), "id", "left_semi"))
-            # The intersection is at most the smaller m, and the similarity at most what follows from that.
-            left = written(left.join(m, "id").where(f"100 * m >= {percent} * n"), "near-mixed")
-            near = f"(100 + {percent}) * least(m, m_) >= {percent} * (n + n_)"
-            # Under each key, the members outside its largest component meet all others.
-            minor = left.where("root <> major")
-            right = left.toDF(*[f"{c}_" for c in left.columns])
-            pairs = minor.join(right, (F.col("key") == F.col("key_")) & (F.col("root") != F.col("root_")) & F.expr(near)
-                               & ((F.col("root_") == F.col("major_")) | (F.col("id") < F.col("id_")))).select(
-                F.col("id").alias("x"), F.col("id_").alias("y"))
+            pairs = _across(member, sets, percent).toDF("x", "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(_likely(pairs, classes, percent), "near-pairs")
+        if turn < rounds:
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = _likely(pairs, classes, percent)
+        pairs = written(pairs, "near-pairs")
         if pairs.isEmpty():
             if turn < rounds:
                 continue
