@@ -73,3 +73,43 @@ def test_rows_and_pairs(spark, monkeypatch):
         assert by[20] == "Menu\nStory alone\nEnd" and by[21] == "Menu\nStory same\nEnd"
         assert by[None] == by[22] == "" and by[23] == ("w " * 100000).strip()
     assert ht.extract(pages.limit(0)).count() == 0
+
+
+def whole_host_texts(rows):
+    """Texts and shared lines of all rows by (page_id, html), each host sorted as a whole."""
+    from collections import defaultdict
+    hosts, want = defaultdict(list), []
+    for r in rows:
+        host, _, path = r.url.removeprefix("http://").partition("/")
+        hosts[host.lower()].append(("/" + path, r.page_id, r.html))
+    for pages in hosts.values():
+        pages.sort()
+        lines = [ht.Lines(h).lines for _, _, h in pages]
+        for i, (_, page_id, html_) in enumerate(pages):
+            other = next((x for x in reversed(lines[:i]) if x != lines[i]), None)
+            if other is None:
+                other = next((x for x in lines[i:] if x != lines[i]), None)
+            want.append((page_id, html_, *ht.main_text(lines[i], other)))
+    return sorted(want)
+
+
+def test_texts_are_those_of_the_whole_host_however_it_is_cut(spark, monkeypatch):
+    # Sections of a host share lines with their neighbours only; one host begins and one ends with a long run of
+    # equal pages, one holds nothing else, and one has all pages under one URL.
+    page = "<body><div>Site</div><div>Section {}</div><div>Story {}</div><div>End {}</div>"
+    rows, same = [], "<body><div>Not found</div><div>Site</div>"
+    for i in range(40):
+        rows += [(f"hot/{i // 8}/{i:02}", page.format(i // 8, i, i // 8)), (f"one/", page.format(i // 8, i, i // 8)),
+                 (f"begins/{i:02}", same if i < 17 else page.format(i // 8, i, i // 8)),
+                 (f"ends/{i:02}", same if i > 23 else page.format(i // 8, i, i // 8)),
+                 (f"middle/{i:02}", same if 5 < i < 33 else page.format(i // 8, i, i // 8)), (f"equal/{i:02}", same)]
+    rows = [Row(page_id=k, url=f"http://{u}", html=h) for k, (u, h) in enumerate(rows)]
+    rows += [rows[0], rows[0], rows[-1]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    html_of = {r.page_id: r.html for r in rows}
+    want = whole_host_texts(rows)
+    for most in (1, 3, 7, 1000):
+        monkeypatch.setattr(ht, "MOST", most)
+        got = ht.extract(pages).collect()
+        assert sorted((r.page_id, html_of[r.page_id], r.text, r.n_shared) for r in got) == want, most
+    assert any(t.startswith("Story") for _, _, t, _ in want)

@@ -10,26 +10,33 @@ element, if there is one) that are not shared. Lines inside an article are never
 syndicated articles share them, too.
 
 Html is shuffled once, by host. A host with more than ``MOST`` pages, and more than one in
-``PARTS`` of all, is dealt into groups by a hash of the path; there are fewer than PARTS such hosts, and that
-list is what is broadcast. A task streams its sorted pages and holds two pages' lines at a time.
-
-Defined cases: a null html is empty, and so is its text; a missing or odd URL counts as an empty host and path; pages with
+``PARTS`` of all, is cut into ranges of its sorted pages at quantiles of a sample; there are fewer than PARTS such
+hosts, and their cuts are what is broadcast. A page whose pair lies in another range gets a copy of that page:
+digests of the lines of a large host's pages tell, for each range, the nearest page before it (for the pages that begin the host,
+after it) with other lines. So the pairs are those of the whole host, however it is cut. A task streams its
+sorted pages and holds two pages' lines at a time.
+
+Defined cases: a null html is empty, and so is its text; a missing or odd URL counts as an empty host and path; pages of
+one URL are ordered by page_id, then by a hash of the html; pages with
 the same lines do not erase each other; repeated rows each give their row; unclosed and stray tags
 are closed or ignored as the next block begins; an empty table gives no rows.
 """
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weblog.llm.common import pick, table
 
 MOST, PARTS = 1000, 4096
+#: Rows of a large host's sample for each range, and the order of a host's pages.
+SAMPLE, KEY = 32, ["path_", "page_id", "hash_"]
 
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section
@@ -173,69 +180,174 @@ def main_text(lines: list[tuple[int, str]], other: list[tuple[int, str]] | None)
     return "\n".join(t for i, (kind, t) in enumerate(lines) if kind == wanted and i not in shared), len(shared)
 
 
-def grouped(pages: DataFrame) -> DataFrame:
-    """page_id, url, html with host_, path_ and group_ (the part of a large host)."""
+def located(pages: DataFrame) -> DataFrame:
+    """page_id, url, html with host_ and the key of a page's place in it: path_, page_id and hash_."""
     p = pick(pages, page_id="page_id", url="url", html="html")
-    p = p.withColumns({
+    return p.withColumns({
+        "page_id": F.col("page_id").cast("long"),
         "host_": F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit("")),
-        "path_": F.concat_ws("?", F.try_parse_url("url", F.lit("PATH")), F.try_parse_url("url", F.lit("QUERY")))})
-    hosts = p.groupBy("host_").agg(F.count(F.lit(1)).alias("n"))
-    total = p.count()
-    most = max(MOST, total // PARTS)
-    # Fewer than PARTS hosts can have more than that.
-    large = hosts.where(F.col("n") > most).select(
-        F.col("host_").alias("large_"), F.ceil(F.col("n") / most).cast("int").alias("parts_"))
-    p = p.join(F.broadcast(large), F.col("host_") == F.col("large_"), "left")
-    return p.withColumn("group_", F.pmod(F.xxhash64("path_"), F.coalesce("parts_", F.lit(1))).cast("int")).drop(
-        "large_", "parts_")
+        "path_": F.concat_ws("?", F.try_parse_url("url", F.lit("PATH")), F.try_parse_url("url", F.lit("QUERY"))),
+        "hash_": F.xxhash64("html")})
+
+
+def large_cuts(p: DataFrame) -> list[tuple]:
+    """Host and the rising keys at which it is cut, for each large host."""
+    most = max(MOST, p.count() // PARTS)
+    # Fewer than PARTS hosts can have more than that, and the sample holds about SAMPLE rows for each range.
+    hosts = p.groupBy("host_").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()
+    if not hosts:
+        return []
+    large = p.sparkSession.createDataFrame([(r.host_,) for r in hosts], "host_ string")
+    keys: dict[str, list] = {r.host_: [] for r in hosts}
+    sample = p.join(F.broadcast(large), "host_").where(F.rand(7) < SAMPLE / most).select("host_", *KEY)
+    for r in sample.orderBy("host_", *KEY).collect():
+        keys[r.host_].append(tuple(r)[1:])
+    out = []
+    for r in hosts:
+        found, parts = keys[r.host_], -(-r.n // most)
+        cuts = [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+        out.append((r.host_, list(dict.fromkeys(cuts))))
+    return out
+
+
+def in_ranges(p: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``p`` with group_, the range of a large host that a page lies in, and large_."""
+    at = p.sparkSession.createDataFrame(
+        cuts, "large_host_ string, cuts_ array<struct<path_: string, page_id: bigint, hash_: bigint>>")
+    p = p.join(F.broadcast(at), F.col("host_") == F.col("large_host_"), "left")
+    group = F.size(F.filter("cuts_", lambda c: c <= F.struct(*KEY)))
+    return p.withColumns({"group_": F.when(F.col("cuts_").isNull(), 0).otherwise(group),
+                          "large_": F.col("cuts_").isNotNull()}).drop("large_host_", "cuts_")
+
+
+def range_ends(rows: DataFrame) -> dict[str, list[tuple]]:
+    """Of each large host, its ranges in order: the first two and the last two different pages, from the range's ends inwards.
+
+    A page is given by the digest of its lines and its key.
+    """
+    def run(batches):
+        for batch in batches:
+            lines = [hashlib.blake2b(repr(Lines(h or "").lines).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                     for h in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(lines, pa.binary())],
+                                             ["host_", "group_", *KEY, "lines_"])
+
+    found = rows.where("large_").select("host_", "group_", *KEY, "html").mapInArrow(
+        run, "host_ string, group_ int, path_ string, page_id long, hash_ long, lines_ binary")
+    # All pages that don't look like the last one end before it, so the last of them precedes the run that ends the range.
+    found = found.groupBy("host_", "group_", "lines_").agg(
+        F.min(F.struct(*KEY)).alias("first_"), F.max(F.struct(*KEY)).alias("last_"))
+    by = Window.partitionBy("host_", "group_")
+    found = found.withColumns({"up_": F.row_number().over(by.orderBy("first_")),
+                               "down_": F.row_number().over(by.orderBy(F.desc("last_")))})
+    ends: dict[tuple, tuple] = {}
+    for r in found.where("up_ <= 2 OR down_ <= 2").collect():  # at most four rows for each range
+        first, last = ends.setdefault((r.host_, r.group_), ({}, {}))
+        first[r.up_] = (bytes(r.lines_), tuple(r.first_))
+        last[r.down_] = (bytes(r.lines_), tuple(r.last_))
+    hosts: dict[str, list[tuple]] = {}
+    for (host, group), (first, last) in sorted(ends.items()):
+        hosts.setdefault(host, []).append((group, *[[x[k] for k in (1, 2) if k in x] for x in (first, last)]))
+    return hosts
+
+
+def bordering(ranges: list[tuple]) -> list[tuple]:
+    """group, side and key of the pages that a host's ranges need from other ranges.
+
+    Side 0 is the nearest page before the range that differs from its first page. Where there is none and the
+    range's pages are all the same, side 2 is the nearest one after it that differs.
+    """
+    def walk(ranges):
+        run = other = None  # the page that ends what was passed, and the last that differs from it
+        for group, near, far in ranges:
+            yield group, other if run and run[0] == near[0][0] else run
+            if len(far) > 1:
+                run, other = far[0], far[1]
+            else:
+                run, other = far[0], other if run and run[0] == far[0][0] else run
+
+    before = dict(walk(ranges))
+    after = dict(walk([(group, last, first) for group, first, last in reversed(ranges)]))
+    out = []
+    for group, first, _ in ranges:
+        if before[group]:
+            out.append((group, 0, before[group][1]))
+        elif len(first) == 1 and after[group]:
+            out.append((group, 2, after[group][1]))
+    return out
+
+
+def grouped(pages: DataFrame) -> DataFrame:
+    """Located pages with group_ (the range of a large host) and side_: 1, or 0 and 2 for copies from before and after the range."""
+    p = located(pages)
+    cuts = large_cuts(p)
+    if not cuts:
+        return p.withColumns({"group_": F.lit(0), "side_": F.lit(1)})
+    rows = in_ranges(p, cuts)
+    wanted = [(host, *key, group, side) for host, ranges in range_ends(rows).items()
+              for group, side, key in bordering(ranges)]
+    rows = rows.drop("large_").withColumn("side_", F.lit(1))
+    if not wanted:
+        return rows
+    wanted = p.sparkSession.createDataFrame(
+        wanted, "h_ string, p_ string, i_ long, x_ long, group_ int, side_ int")
+    same = ((F.col("host_") == F.col("h_")) & (F.col("path_") == F.col("p_")) & F.col("page_id").eqNullSafe(F.col("i_"))
+            & (F.col("hash_") == F.col("x_")))
+    keys = wanted.select("h_", "p_", "i_", "x_").distinct()
+    copies = p.join(F.broadcast(keys), same, "left_semi").dropDuplicates(["host_", *KEY])
+    copies = copies.join(F.broadcast(wanted), same).select(*rows.columns)
+    return rows.unionByName(copies)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_shared (lines outside the article shared with its pair)."""
-    rows = grouped(pages).repartition("host_", "group_").sortWithinPartitions("host_", "group_", "path_", "page_id", "html")
+    rows = grouped(pages).repartition("host_", "group_").sortWithinPartitions("host_", "group_", "side_", *KEY, "html")
 
     def run(batches):
-        group, waiting = None, []  # pages that begin a group wait for one with other lines
+        group, waiting = None, []  # pages that begin a group, all with the same lines, wait for one with other lines
         last, before = None, None  # lines of the page before, and of the last one that differs from it
-        done = []
+        html_before = None
+        done, size = [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
 
-        def put(row, lines, other):
+        def put(found, lines, other):
+            nonlocal done, size
             text, shared = main_text(lines, other)
-            done.append((row[0], row[1], text, len(text), shared))
+            for row in found:
+                done.append((*row, text, len(text), shared))
+                size += len(text) + 64
+                if size > 1 << 21:
+                    yield made()
+                    done, size = [], 0
 
         for batch in batches:
-            size = 0
-            for page_id, url, html, host, part in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                lines = Lines(html or "").lines
+            for page_id, url, html, host, part, side in zip(*[batch.column(i).to_pylist() for i in range(6)]):
                 if group != (host, part):
-                    for row, own in waiting:
-                        put(row, own, None)
+                    if waiting:
+                        yield from put(waiting, last, None)
                     group, waiting, last, before = (host, part), [], None, None
+                lines = last if last is not None and html == html_before else Lines(html or "").lines
+                html_before = html
                 if last is not None and lines != last:
                     before = last
-                    for row, own in waiting:
-                        put(row, own, lines)
+                    if waiting:
+                        yield from put(waiting, last, lines)
                     waiting = []
                 last = lines
-                if before is None:
-                    waiting.append(((page_id, url), lines))
-                else:
-                    put((page_id, url), lines, before)
-                size += len(html or "")
-                if size > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
-                    done, size = [], 0
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
-                done = []
-        for row, own in waiting:
-            put(row, own, None)
+                if side == 1 and before is None:
+                    waiting.append((page_id, url))
+                elif side == 1:
+                    yield from put([(page_id, url)], lines, before)
+        if waiting:
+            yield from put(waiting, last, None)
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
+            yield made()
 
     names = ["page_id", "url", "text", "n_chars", "n_shared"]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    return rows.select("page_id", "url", "html", "host_", "group_").mapInArrow(
+    return rows.select("page_id", "url", "html", "host_", "group_", "side_").mapInArrow(
         run, "page_id long, url string, text string, n_chars long, n_shared long")
 
 
