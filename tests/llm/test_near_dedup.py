@@ -132,3 +132,18 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if any(x in l and l[0] != l[1] for l in links)}
+
+
+def test_a_rejected_link_hides_no_other(spark):
+    """One component holds 30 sets that agree with a member's in 32-bit hashes only, and one that is linked with it."""
+    own = np.sort(np.random.default_rng(9).integers(0, 2**63, 100, dtype=np.uint64)) >> np.uint64(8) << np.uint64(8)
+    sets = {b"own": own, b"linked": own.copy(), **{b"stray%02d" % i: own + np.uint64(i + 1) for i in range(30)}}
+    sets[b"linked"][:5] += np.uint64(99)
+    rows = [(bytearray(i), bytearray(x.tobytes())) for i, x in sets.items()]
+    keys = spark.createDataFrame([(i, 100, 1) for i, _ in rows], "id binary, n long, key long")
+    given = [(bytearray(min(b"linked", i)), bytearray(max(b"linked", i))) for i in sets if i not in (b"own", b"linked")]
+    links = spark.createDataFrame(given, "a binary, b binary")
+    for known, root in ((links, components(links)), (None, None)):
+        found, _ = nd._settled(keys, spark.createDataFrame(rows, "id binary, s binary"), known, root, 80)
+        new = {(bytes(r.a), bytes(r.b)) for r in found.collect()} - {(bytes(a), bytes(b)) for a, b in given}
+        assert new == {(b"linked", b"own")}

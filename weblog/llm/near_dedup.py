@@ -198,13 +198,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _across(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(member: DataFrame, sets: DataFrame, percent: int, doubted: frozenset = frozenset()) -> DataFrame:
     """Links a, b between members of different components (``root``) under one key, one for each member and other component.
 
+    Of members in ``doubted`` all such links.
+
     Under each key, the members outside its largest component meet all others. They are dealt into
     parts of about ``HELD``, and all members into slices of about ``STREAMED``; a task holds a part, streams a slice
     past it and counts common shingles, so no row is made for a pair that isn't a link. Sets travel as 32-bit hashes, which can
-    only add to what is common; links are confirmed on the full sets afterwards.
+    only add to what is common; links are confirmed on the full sets afterwards (``_settled``).
     """
     def compact(batches):
         for batch in batches:
@@ -234,7 +236,7 @@ def _across(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = np.bincount(owner[at], minlength=len(held))
                 for k in np.flatnonzero(100 * common >= percent * (sizes + len(x) - common)):
                     j, other, _ = held[k]
-                    if other != root and (k, root) not in done:
+                    if other != root and (j in doubted or (k, root) not in done):
                         done.add((k, root))
                         links.append((min(i, j), max(i, j)))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], ["a", "b"])
@@ -260,6 +262,35 @@ def _across(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def _settled(keys: DataFrame, sets: DataFrame, links: DataFrame | None, root: DataFrame | None, percent: int):
+    """Links and roots after the last comparison.
+
+    It names one link of a member to another component. Where that one isn't confirmed, the member may have
+    another: the comparison is repeated and names all links of such members, until none is rejected of any other member.
+    """
+    doubted: frozenset = frozenset()
+    while True:
+        pairs = written(_across(_members(keys, root), sets, percent, doubted), "near-pairs")
+        if pairs.isEmpty():
+            return links, root
+        new = written(_confirmed(pairs, sets, percent), "near-links")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            root = written(components(links), "near-roots")
+        rejected = pairs.join(new, ["a", "b"], "left_anti").collect()  # stray matches of 32-bit hashes only
+        more = frozenset(bytes(i) for r in rejected for i in r) - doubted
+        if not more:
+            return links, root
+        doubted |= more
+
+
+def _members(keys: DataFrame, root: DataFrame | None) -> DataFrame:
+    """The keys with the root of each class's component."""
+    if root is None:
+        return keys.withColumn("root", F.col("id"))
+    return keys.join(root.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, class_id, n_links.
 
@@ -280,33 +311,24 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
     sets = written(_full_sets(given, wanted, n), "near-sets")
 
     links, tried, root = None, None, None
-    for turn in range(rounds + 1):
-        member = keys if root is None else keys.join(root.toDF("id", "root"), "id", "left")
-        member = member.withColumn("root", F.coalesce("root", "id") if root is not None else F.col("id"))
-        if turn < rounds:
-            order = F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id")
-            one = member.groupBy("key", "root").agg(F.min(order).alias("m"))
-            pivot = one.groupBy("key").agg(F.min("m").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-            pairs = one.join(pivot, "key").select(F.col("m.id").alias("x"), F.col("p.id").alias("y")).where("x <> y")
-        else:
-            pairs = _across(member, sets, percent).toDF("x", "y")
+    for turn in range(rounds):
+        member = _members(keys, root)
+        order = F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id")
+        one = member.groupBy("key", "root").agg(F.min(order).alias("m"))
+        pivot = one.groupBy("key").agg(F.min("m").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        pairs = one.join(pivot, "key").select(F.col("m.id").alias("x"), F.col("p.id").alias("y")).where("x <> y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if turn < rounds:
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = _likely(pairs, classes, percent)
-        pairs = written(pairs, "near-pairs")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(_likely(pairs, classes, percent), "near-pairs")
         if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
+            continue
         new = written(_confirmed(pairs, sets, percent), "near-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
-        if turn == rounds and new.isEmpty():
-            break
         if not new.isEmpty():
             root = written(components(links), "near-roots")
+    links, root = _settled(keys, sets, links, root, percent)
 
     if links is None or root is None:
         classes = classes.select("id", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
