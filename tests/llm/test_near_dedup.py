@@ -147,3 +147,18 @@ def test_a_rejected_link_hides_no_other(spark):
         found, _ = nd._settled(keys, spark.createDataFrame(rows, "id binary, s binary"), known, root, 80)
         new = {(bytes(r.a), bytes(r.b)) for r in found.collect()} - {(bytes(a), bytes(b)) for a, b in given}
         assert new == {(b"linked", b"own")}
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(10)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    near = [t + " more" for t in text]
+    rows = [(3, text[0]), (5, near[0]), (5, text[1]), (5, text[1]), (6, near[1]),  # one id, two texts; repeated rows
+            (None, text[2]), (None, near[2]), (None, text[2]), (None, text[3]), (7, near[3]),  # no id: alone and with one
+            (8, text[4]), (9, None), (9, None), (None, " ")]
+    docs = spark.createDataFrame([(t, i, k) for k, (i, t) in enumerate(rows)], "text string, doc_id long, place int").coalesce(1)
+    got = nd.unique(docs, n=2)
+    assert got.columns == docs.columns
+    kept = sorted(r.place for r in got.collect())
+    assert len(kept) == 8 and {0, 9, 10, 11, 12, 13} <= set(kept)
+    assert len({2, 3} & set(kept)) == 1 and len({5, 6, 7} & set(kept)) == 1

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from weblog.llm.common import pick, portions, table, written
 from weblog.llm.components import components
+from weblog.llm.exact_dedup import located
 from weblog.llm.wordhash import mix64, shingle_sets
 
 #: Registers in a band, bands, and the sketch's base, rate and largest register value.
@@ -121,17 +122,20 @@ def _digests(sets: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, id (digest of the set), n (its size), registers."""
+    """doc_id, id (digest of the set), n (its size), registers; and file and row, where ``docs`` has them after the text."""
+    place = docs.columns[2:]
+
     def run(batches):
         for batch in batches:
             for a, b, sets, ends in _sets(batch.column(1).to_pylist(), n):
                 rows = sketch(sets, ends)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(_digests(sets, ends), pa.binary()),
-                     pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())],
-                    ["doc_id", "id", "n", "registers"])
+                     pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()),
+                     *[batch.column(2 + i).slice(a, b - a) for i in range(len(place))]],
+                    ["doc_id", "id", "n", "registers", *place])
 
-    return docs.mapInArrow(run, "doc_id long, id binary, n long, registers binary")
+    return docs.mapInArrow(run, "doc_id long, id binary, n long, registers binary" + (", file string, row long" if place else ""))
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -291,13 +295,8 @@ def _members(keys: DataFrame, root: DataFrame | None) -> DataFrame:
     return keys.join(root.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, class_id, n_links.
-
-    ``class_id`` is the class of equal sets, in hexadecimal (null without words), and ``n_links`` the
-    confirmed links of the class to other classes that were needed to connect its group.
-    """
-    given = pick(docs, doc_id="doc_id", text="text")
+def _grouped(given: DataFrame, n: int, percent: int, rounds: int) -> DataFrame:
+    """The columns of ``sketched`` but the registers, with root (of the class's component), component_id and n_links."""
     rows = written(sketched(given, n), "near-sketches")
     classes = written(rows.where("n > 0").groupBy("id").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers")),
@@ -331,7 +330,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
     links, root = _settled(keys, sets, links, root, percent)
 
     if links is None or root is None:
-        classes = classes.select("id", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        classes = classes.select("id", F.col("id").alias("root"), F.col("doc_id").alias("component_id"),
+                                 F.lit(0).cast("long").alias("n_links"))
     else:
         ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(
             F.count(F.lit(1)).alias("n_links"))
@@ -339,8 +339,17 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
             "root", F.coalesce("root", "id"))
         least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         classes = own.join(least, "root").join(ends, "id", "left").select(
-            "id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).alias("id")).join(classes, "id", "left")
+            "id", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.drop("registers").withColumn("id", F.when(F.col("n") > 0, F.col("id"))).join(classes, "id", "left")
+
+
+def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept, class_id, n_links.
+
+    ``class_id`` is the class of equal sets, in hexadecimal (null without words), and ``n_links`` the
+    confirmed links of the class to other classes that were needed to connect its group.
+    """
+    out = _grouped(pick(docs, doc_id="doc_id", text="text"), n, percent, rounds)
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
@@ -348,9 +357,17 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
 
 
 def unique(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document stays: of each group the one with the smallest doc_id."""
-    kept = groups(docs, n, percent).where("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")), "left_semi")
+    """The rows of ``docs`` that stay: of each group one, with the smallest doc_id (a null comes last), then the first in place.
+
+    Rows without words are in no group, and stay.
+    """
+    rows = located(docs)
+    found = written(_grouped(rows.select("doc_id", "text", "file", "row"), n, percent, ROUNDS), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
+    kept = found.where("n > 0").groupBy("root").agg(F.min(order).alias("best")).select("best.file", "best.row")
+    kept = kept.unionByName(found.where("n = 0").select("file", "row"))
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    return rows.join(kept, ["file", "row"], "left_semi").select(*plain).toDF(*docs.columns)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
