@@ -113,3 +113,28 @@ def test_texts_are_those_of_the_whole_host_however_it_is_cut(spark, monkeypatch)
         got = ht.extract(pages).collect()
         assert sorted((r.page_id, html_of[r.page_id], r.text, r.n_shared) for r in got) == want, most
     assert any(t.startswith("Story") for _, _, t, _ in want)
+
+
+def text_of(page):
+    return ht.main_text(ht.Lines(page).lines, None)[0]
+
+
+def test_names_that_are_no_boilerplate():
+    page = """<body><article id="social-impact"><h2 id="related-work">Work</h2><section id="notice-period"><p id="share">A
+        <a id="ads">B</a></section><div class="section" id="menu-plans">C</div><div class="ad">no</div><div id="sidebar">no</div>
+        <section id="comments">no</section><section class="related">no</section></article>"""
+    assert text_of(page) == "Work\nA B\nC"
+    assert text_of("<main><h1 id=menu>M</h1><section id=related-work>W</section><div class=share>no</div></main>") == "M\nW"
+    for name in ("layout with-sidebar", "page has-menu", "layout--no-sidebar"):
+        assert text_of(f"<body><div class='{name}'><p>Story</p><div class=sidebar>no</div></div>") == "Story"
+
+
+def test_a_wrapper_is_no_boilerplate_where_nothing_else_is_left():
+    page = "<div class='{}'><nav>no</nav><div class=menu>no</div><p>A long story is told here.</p></div><div class=footer>no</div>"
+    for name in ("sidebar-layout", "modal", "search-page"):
+        assert text_of(page.format(name)) == "A long story is told here."
+        assert text_of(f"<div class=notice-page>{page.format(name)}</div>") == "A long story is told here."
+    assert text_of("<p>Story</p>" + page.format("sidebar-layout")) == "Story"
+    assert text_of(page.format("comments")) == text_of("<nav>no</nav>") == ""
+    deep = "<div class=sidebar>" * 3000 + "Story"
+    assert text_of(deep) == "Story"

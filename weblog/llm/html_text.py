@@ -27,6 +27,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,20 +55,55 @@ WORDS = set("""ad ads advert adverts advertisement advertising sponsor sponsored
 OUTSIDE_WORDS = set("header banner masthead topbar toolbar search logo copyright".split())
 #: Such ancestors keep an article in them dropped; of others (a layout named after its sidebar) it breaks free.
 FIRM = set("comment comments commentlist respond disqus reply replies related recommended".split())
+#: What follows one of these in a name (with-sidebar, no-menu) says how a page is laid out, not what the element is.
+LAYOUT = set("with without has no".split())
+#: Ids of headings are slugs of their text, and so are those of these elements in main text.
+HEADINGS, SLUGGED = set("h1 h2 h3 h4 h5 h6".split()), set("section p li dt dd a blockquote pre".split())
 ARTICLE, MAIN, OPEN, BOILERPLATE = range(4)
 
 
+def marking(tag: str, named: dict, content: bool, inside: bool) -> set[str]:
+    """Words of an element's class, id and role; ``content``: it is an article, ``inside``: it lies in main text."""
+    words: set[str] = set()
+    for name in ("class", "id", "role"):
+        own: set[str] = set()
+        for token in (named.get(name) or "").lower().split():
+            own.update(takewhile(lambda w: w not in LAYOUT, re.findall("[a-z]+", token)))
+        if name == "id":
+            if tag in HEADINGS:
+                continue
+            section = tag in SLUGGED or tag == "div" and "section" in (named.get("class") or "").lower().split()
+            if (content or inside and section) and not own <= FIRM:
+                continue
+        words |= own
+    return words
+
+
 class Lines(HTMLParser):
-    """Lines of a page and their kinds."""
+    """Lines of a page and their kinds.
 
-    def __init__(self, html: str):
+    Where all lines of a page would be boilerplate, the words of an element that holds more than half of its text don't
+    count (of such elements, from the outermost to the first that then leaves a line).
+    """
+
+    def __init__(self, html: str, free: frozenset = frozenset()):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[int, str]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # tag, kind, firm
+        # Tag, kind, firm, the innermost element (by its number) that a word marks: 0 none; below 0 what is dropped
+        # whatever words say (-2: and isn't counted as the page's text).
+        self.stack: list[tuple[str, int, bool, int]] = []
         self.held: list[str] = []
+        self.free, self.elements, self.size = free, 0, 0
+        self.marks: list[int] = []  # of each line
+        self.held_by: dict[int, int] = {}  # characters of lines before a marked element, then in it
         self.feed(html)
         self.close()
-        self._end()
+        self._cut(0)
+        if not free and self.lines and all(kind == BOILERPLATE for kind, _ in self.lines):
+            wide = {i for i, size in self.held_by.items() if 2 * size > self.size}
+            first = min(wide.intersection(self.marks), default=0)
+            if first:
+                self.lines = Lines(html, frozenset(i for i in wide if i <= first)).lines
 
     def _kind(self) -> int:
         return self.stack[-1][1] if self.stack else OPEN
@@ -77,9 +113,20 @@ class Lines(HTMLParser):
         self.held.clear()
         if text:
             self.lines.append((self._kind(), text))
+            self.marks.append(self.stack[-1][3] if self.stack else 0)
+            if self.marks[-1] > -2:
+                self.size += len(text)
 
     def _cut(self, at: int) -> None:
         self._end()
+        self._leave(at)
+
+    def _leave(self, at: int) -> None:
+        """Take elements from the stack; of those that a word marks, keep how much text they hold."""
+        for i in range(at, len(self.stack)):
+            mark = self.stack[i][3]
+            if mark > 0 and (i == 0 or self.stack[i - 1][3] != mark):
+                self.held_by[mark] = self.size - self.held_by[mark]
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -95,26 +142,31 @@ class Lines(HTMLParser):
             self.held.append(" ")
         if tag in VOID:
             return
-        kind, firm = self._kind(), bool(self.stack) and self.stack[-1][2]
-        named, words = dict(attrs), set()
-        for name in ("class", "id", "role"):
-            words.update(re.findall("[a-z]+", (named.get(name) or "").lower()))
+        kind, firm, mark = self._kind(), bool(self.stack) and self.stack[-1][2], self.stack[-1][3] if self.stack else 0
+        self.elements += 1
+        named = dict(attrs)
         content = tag == "article" or named.get("itemprop") == "articleBody"
-        if tag in ("body", "html"):
-            words.clear()
+        words = marking(tag, named, content, kind in (ARTICLE, MAIN))
+        if tag in ("body", "html") or self.elements in self.free:
+            words -= WORDS | OUTSIDE_WORDS
         if tag in NEVER or "hidden" in named:
-            kind, firm = BOILERPLATE, True
+            kind, firm, mark = BOILERPLATE, True, -2
         elif words & WORDS:
             kind, firm = BOILERPLATE, firm or bool(words & FIRM)
+            mark = min(mark, -1) if firm or mark < 0 else self.elements
         elif content and not firm:
-            kind = ARTICLE
+            kind, mark = ARTICLE, 0
         elif kind in (OPEN, MAIN) and (tag in OUTSIDE or words & OUTSIDE_WORDS):
-            kind = BOILERPLATE
+            kind, mark = BOILERPLATE, -1 if tag in OUTSIDE else self.elements
         elif kind != ARTICLE and not firm and (tag == "main" or "main" in words and named.get("role") == "main"):
-            kind = MAIN
+            kind, mark = MAIN, 0
+        elif kind == BOILERPLATE and mark >= 0 and (tag in OUTSIDE or words & OUTSIDE_WORDS):
+            mark = -1 if tag in OUTSIDE else self.elements
         if kind != self._kind():
             self._end()
-        self.stack.append((tag, kind, firm))
+        self.stack.append((tag, kind, firm, mark))
+        if mark == self.elements:
+            self.held_by[mark] = self.size
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -128,7 +180,7 @@ class Lines(HTMLParser):
                 if tag in BLOCKS or self.stack[i][1] != (self.stack[i - 1][1] if i else OPEN):
                     self._cut(i)
                 else:
-                    del self.stack[i:]
+                    self._leave(i)
                 return
             if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
                 return  # a stray inline end tag
