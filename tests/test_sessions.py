@@ -1,4 +1,6 @@
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tests.fixtures_data import T0, cleaned, session_df
@@ -132,3 +134,22 @@ def test_short_timeouts_in_chunks_match_brute_force(spark, monkeypatch):
             got[at] = got.get(at, 0) + 1
             assert r.gap_secs is None or r.is_new_session == int(r.gap_secs > timeout)
         assert got == ids
+
+
+def test_window_in_chunks(spark, monkeypatch):
+    # Short chunks, so that sessions end, begin and go on at their borders, and span several.
+    import random
+    rnd = random.Random(11)
+    events = [(rnd.choice(["a", "b", None]), rnd.randint(0, 900)) for _ in range(150)] + [("c", i) for i in range(0, 300, 3)]
+    df = session_df(spark, events)
+    for chunk in (1 << 16, 7, 1):
+        monkeypatch.setattr(S, "WINDOW_SECONDS", chunk)
+        for timeout in (1, 3, 20):
+            want = S.sessions(df, timeout=timeout, with_bounds=True).collect()
+            want = sorted(((r.client_ip or "", r.session_start, r.session_end, r.request_count, r.duration_secs) for r in want))
+            got = [(r.client_ip or "", r.session_start, r.session_end - timedelta(seconds=timeout), r.request_count, r.duration_secs)
+                   for r in S.sessions_by_window(df, timeout=timeout).collect()]
+            assert sorted(got) == want, (chunk, timeout)
+    # No session window takes all of a client's seconds.
+    dealt = [e for e in exchanges(S.sessions_by_window(df)) if "client_ip" in str(e)]
+    assert dealt and all(any(x in str(e) for x in ("_chunk", "_inner", "_sec", "_groupingexpression")) for e in dealt), dealt

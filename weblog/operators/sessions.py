@@ -41,6 +41,8 @@ def _epoch(ts: str) -> Column:
 # Timeouts below this many seconds window their bucket summary in two levels, with
 # chunks of so many buckets: a client has many buckets then, and one task would sort them all.
 SHORT_TIMEOUT, CHUNK = 60, 1 << 16
+#: Seconds of a client that a session window takes at once.
+WINDOW_SECONDS = 1 << 16
 
 
 def _flag_buckets(summary: DataFrame, key: str, timeout: int) -> DataFrame:
@@ -213,16 +215,25 @@ def sessions_by_window(logs: DataFrame, key: str = "client_ip", ts: str = "log_t
 
     Rows are first reduced to one per (key, whole second) so that the session
     window sees whole-second gaps (same rule as ``sessions``) and at most one
-    row per second of a key.
+    row per second of a key. It runs inside (key, chunk of ``WINDOW_SECONDS``) first. Only the first and
+    the last session of a chunk can go on in another: a second session window merges these, at most
+    two rows of a key per chunk, each with its own length as gap; the others are dealt by (key, chunk).
     """
     if timeout < 1:
         raise ValueError("session_window needs a timeout of at least 1 s")
     e = _epoch(ts)
     per_sec = (logs.where(F.col(ts).isNotNull())
-               .groupBy(key, e.alias("_sec")).agg(F.count(F.lit(1)).alias("_n")))
+               .groupBy(key, e.alias("_sec")).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_chunk", F.floor(F.col("_sec") / F.lit(WINDOW_SECONDS))))
     win = F.session_window(F.timestamp_seconds("_sec"), f"{int(timeout)} seconds")
-    return (per_sec.groupBy(key, win.alias("_w"))
+    parts = (per_sec.groupBy(key, "_chunk", win.alias("_w"))
+             .agg(F.sum("_n").alias("_n"), F.min("_sec").alias("_first"), F.max("_sec").alias("_last")).drop("_w"))
+    chunk = Window.partitionBy(key, "_chunk")
+    edge = (F.col("_first") == F.min("_first").over(chunk)) | (F.col("_last") == F.max("_last").over(chunk))
+    parts = parts.withColumn("_inner", F.when(~edge, F.col("_chunk"))).withColumn("_start", F.timestamp_seconds("_first"))
+    gap = F.concat((F.col("_last") - F.col("_first") + F.lit(int(timeout))).cast("string"), F.lit(" seconds"))
+    return (parts.groupBy(key, "_inner", F.session_window("_start", gap).alias("_w"))
             .agg(F.sum("_n").alias("request_count"),
-                 (F.max("_sec") - F.min("_sec")).alias("duration_secs"))
+                 (F.max("_last") - F.min("_first")).alias("duration_secs"))
             .select(key, F.col("_w.start").alias("session_start"),
                     F.col("_w.end").alias("session_end"), "request_count", "duration_secs"))
