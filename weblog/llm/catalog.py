@@ -1,7 +1,21 @@
 """The subpackage's query keys and, where SQL can state the result, their oracles."""
 from __future__ import annotations
 
-from weblog.llm import bpe, chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, quality, repeats, warc
+from weblog.llm import (
+    bpe,
+    chat,
+    clustering,
+    divergence,
+    exact_dedup,
+    fingerprint,
+    html_text,
+    mixing,
+    near_dedup,
+    quality,
+    repeats,
+    sharding,
+    warc,
+)
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -14,6 +28,9 @@ QUERIES = {
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_chat_format": chat.op9_chat_format,
     "op10_quality": quality.op10_quality,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_centroid_clustering": clustering.op12_centroid_clustering,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLES = {
@@ -21,4 +38,6 @@ ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_html_text": html_text.ORACLE,
     "op9_chat_format": chat.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_centroid_clustering": clustering.ORACLE,
 }

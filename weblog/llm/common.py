@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,32 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{at[old]}").alias(new) for new, old in wanted.items()])
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether every row is one stored row of one table on files: nothing but columns and filters above a single scan."""
+    try:
+        node = df._jdf.queryExecution().analyzed()
+    except Exception:  # noqa: BLE001  a session without a JVM of its own
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() in ("LogicalRelation", "Relation")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The columns of ``df`` by position as c0, c1, ..., and the file and row that are its rows' own place.
+
+    A plain scan of files has such places; any other frame (joined, exploded, made in memory) is written first.
+    """
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    place = ["_metadata.file_path", "_metadata.row_index"]
+    if _plain_scan(df):
+        try:
+            return df.select("*", *place).toDF(*plain, "file", "row")
+        except AnalysisException:  # files of a format that doesn't number its rows
+            pass
+    return written(df.toDF(*plain), "placed-rows").select("*", *place).toDF(*plain, "file", "row")
+
+
 def portions(texts: list, limit: int):
     """Slices (start, end) of a list of texts that hold about ``limit`` characters at most, or one text."""
     start = size = 0
