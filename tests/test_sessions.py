@@ -153,3 +153,32 @@ def test_window_in_chunks(spark, monkeypatch):
     # No session window takes all of a client's seconds.
     dealt = [e for e in exchanges(S.sessions_by_window(df)) if "client_ip" in str(e)]
     assert dealt and all(any(x in str(e) for x in ("_chunk", "_inner", "_sec", "_groupingexpression")) for e in dealt), dealt
+
+
+def test_gaps_of_a_client_with_half_of_all_rows_in_one_long_bucket(spark):
+    import random
+    rnd = random.Random(5)
+    timeout = 6 * 3600
+    hot = [("hot", rnd.randrange(timeout)) for _ in range(6000)] + [("hot", 20 * timeout), ("hot", 9 * timeout + 7)]
+    events = hot + [(f"k{rnd.randint(0, 300)}", rnd.randrange(10 * timeout)) for _ in range(6000)]
+    df = session_df(spark, events)
+    rows = S.session_rows(df, timeout=timeout)
+    # What the window over rows groups by: whole minutes of a client, dealt evenly.
+    keyed = S._keyed(df, "client_ip", "log_ts", S.ROW_BUCKET).where("log_ts IS NOT NULL")
+    parts = sorted(r["count"] for r in keyed.repartition(16, "_key", "_bucket").groupBy(F.spark_partition_id()).count().collect())
+    assert len(parts) == 16 and parts[-1] <= 3 * parts[8], parts
+    assert keyed.groupBy("_key", "_bucket").count().agg(F.max("count")).first()[0] < 60
+    by = {}
+    for k, t in events:
+        by.setdefault(k, []).append(t)
+    want = []
+    for k, ts in by.items():
+        ts.sort()
+        sid = 0
+        for i, t in enumerate(ts):
+            gap = t - ts[i - 1] if i else None
+            sid += gap is None or gap > timeout
+            want.append((k, t, -1 if gap is None else gap, int(gap is None or gap > timeout), sid))
+    got = [(r.client_ip, int((r.log_ts - T0).total_seconds()), -1 if r.gap_secs is None else r.gap_secs, r.is_new_session, r.session_id)
+           for r in rows.collect()]
+    assert sorted(got) == sorted(want)

@@ -16,9 +16,14 @@ So sessions come from a bucket summary ``(client, bucket, first, last, n)``
 built by a partial + final hash aggregate (map-side combine; a hot client is
 reduced before the shuffle), followed by a window over the summary. A client
 has at most ``time span / timeout`` summary rows however many requests it
-sends, so the window groups are bounded by time, not by data volume. Row-level
-columns (previous timestamp, gap, flag, session id) come from a window over
-the rows of one ``(client, bucket)`` and that summary.
+sends, so the window groups are bounded by time, not by data volume.
+
+Row-level columns (previous timestamp, gap, flag, session id) need the rows in order. Their buckets are
+``ROW_BUCKET`` seconds wide at most, whatever the timeout: a window over the rows of one
+``(client, bucket)`` gives all previous timestamps but the first, and that is the last timestamp of the client's
+previous bucket that isn't empty, carried over the empty ones by the summary. The carry itself
+runs in two levels (inside chunks of buckets, then over one row per chunk), so neither a client with most
+rows nor one with a long history meets in one task.
 """
 from __future__ import annotations
 
@@ -41,14 +46,16 @@ def _epoch(ts: str) -> Column:
 # Timeouts below this many seconds window their bucket summary in two levels, with
 # chunks of so many buckets: a client has many buckets then, and one task would sort them all.
 SHORT_TIMEOUT, CHUNK = 60, 1 << 16
+#: Widest bucket, in seconds, whose rows one window group sorts.
+ROW_BUCKET = 60
 #: Seconds of a client that a session window takes at once.
 WINDOW_SECONDS = 1 << 16
 
 
-def _flag_buckets(summary: DataFrame, key: str, timeout: int) -> DataFrame:
+def _flag_buckets(summary: DataFrame, key: str, timeout: int, width: int) -> DataFrame:
     """Add ``_prev_last_ts``, ``_is_start`` and ``session_id`` to a bucket summary
     ``(key, _bucket, _first, _last, _last_ts, _n)``; one window spec, one sort."""
-    if timeout < SHORT_TIMEOUT:
+    if width <= SHORT_TIMEOUT:
         return _flag_buckets_in_chunks(summary, key, timeout)
     w = Window.partitionBy(key).orderBy("_bucket")
     prev_last = F.col("_prev_last")
@@ -96,16 +103,18 @@ def _flag_buckets_in_chunks(summary: DataFrame, key: str, timeout: int) -> DataF
 
 
 def bucket_summary(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
-                   timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
+                   timeout: int = DEFAULT_TIMEOUT, width: int | None = None) -> DataFrame:
     """Per (key, bucket): first/last epoch second and timestamp, request count,
-    ``_is_start`` (bucket opens a session), ``session_id`` (1-based per key)."""
-    w_width = _width(timeout)
+    ``_is_start`` (bucket opens a session), ``session_id`` (1-based per key).
+
+    Buckets are ``width`` seconds wide, by default and at most the timeout."""
+    w_width = min(_width(timeout), width or _width(timeout))
     e = _epoch(ts)
     summary = (logs.where(F.col(ts).isNotNull())
                .groupBy(key, F.floor(e / F.lit(w_width)).alias("_bucket"))
                .agg(F.min(e).alias("_first"), F.max(e).alias("_last"),
                     F.max(ts).alias("_last_ts"), F.count(F.lit(1)).alias("_n")))
-    return _flag_buckets(summary, key, timeout)
+    return _flag_buckets(summary, key, timeout, w_width)
 
 
 def sessions(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
@@ -134,10 +143,10 @@ def per_host(session_table: DataFrame, key: str = "client_ip") -> DataFrame:
     )
 
 
-def _keyed(logs: DataFrame, key: str, ts: str, timeout: int) -> DataFrame:
+def _keyed(logs: DataFrame, key: str, ts: str, width: int) -> DataFrame:
     """Rows with ``_key`` (a struct of the key: two null keys are equal, also in joins) and ``_bucket``."""
     return (logs.withColumn("_key", F.struct(F.col(key).alias("k")))
-            .withColumn("_bucket", F.floor(_epoch(ts) / F.lit(_width(timeout)))))
+            .withColumn("_bucket", F.floor(_epoch(ts) / F.lit(width))))
 
 
 def session_rows(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
@@ -149,14 +158,15 @@ def session_rows(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
     whole epoch seconds, null for the client's first request. Rows without a
     client belong to the client null.
 
-    Plan: ``lag`` over the rows of one (key, bucket), at most ``timeout``
+    Plan: ``lag`` over the rows of one (key, bucket), at most ``ROW_BUCKET``
     seconds of a client; a bucket's first row takes the last timestamp of the
-    bucket before from the bucket summary. Rows cross the network once, on (key, bucket);
-    the summary twice more (once by key for its window, once back). Rows without a timestamp keep null
+    client's bucket before from the bucket summary. Rows cross the network once, on (key, bucket);
+    the summary (at most a row per bucket) by chunk, and back. Rows without a timestamp keep null
     session columns.
     """
-    rows = _keyed(logs, key, ts, timeout)
-    known = bucket_summary(rows, "_key", ts, timeout).select("_key", "_bucket", "_prev_last_ts", "session_id")
+    width = min(_width(timeout), ROW_BUCKET)
+    rows = _keyed(logs, key, ts, width)
+    known = bucket_summary(rows, "_key", ts, timeout, width).select("_key", "_bucket", "_prev_last_ts", "session_id")
     in_bucket = Window.partitionBy("_key", "_bucket").orderBy(ts)
     prev_ts = F.coalesce(F.col("_prev_in_bucket"), F.col("_prev_last_ts"))
     out = (rows.withColumn("_prev_in_bucket", F.lag(ts).over(in_bucket))
@@ -184,7 +194,7 @@ def assign_session_ids(logs: DataFrame, key: str = "client_ip", ts: str = "log_t
     session. The join is many-to-one on (key, bucket); AQE splits a skewed
     bucket on the row side.
     """
-    rows = _keyed(logs, key, ts, timeout)
+    rows = _keyed(logs, key, ts, _width(timeout))
     ids = bucket_summary(rows, "_key", ts, timeout).select("_key", "_bucket", "session_id")
     return (rows.join(ids, ["_key", "_bucket"], "left").select(*logs.columns, "session_id"))
 
