@@ -11,6 +11,10 @@ per (benchmark_id, scale_pct, query, api, run) for runs, and per
 ``generated_at_utc`` winning and, of equal ones, the incoming. A damaged payload
 file fails the job. Writes ``records/`` and ``summary_records/``
 under ``--merged-output``; this must be a new path, never the one read.
+
+With ``--merged-table`` the merge is in place: the folder holds numbered snapshots of both tables, the newest is read,
+and the merged tables are published together by one atomic step (``weblog.sources.snapshots``). A failed job leaves the old
+tables, and of two jobs at once the later one merges again onto the other's result.
 """
 from __future__ import annotations
 
@@ -33,6 +37,7 @@ from pyspark.sql.types import (  # noqa: E402
 
 from weblog.operators import metrics as M  # noqa: E402
 from weblog.session import build, clean_scratch  # noqa: E402
+from weblog.sources import snapshots  # noqa: E402
 
 # Payload file names and per-kind metric fields.
 FILE_NAMES = {"wall_clock": "allqueries_wall_clock.json", "stage_metrics": "stage_metrics.json"}
@@ -62,12 +67,30 @@ def kind_schema(kind: str) -> StructType:
     return schema.add(StructField("generated_at_utc", StringType()))
 
 
-def merge(spark, kind: str, source_dir: str, merged_output: str,
-          merged_input: str | None = None) -> dict:
+def merge(spark, kind: str, source_dir: str, merged_output: str | None = None,
+          merged_input: str | None = None, merged_table: str | None = None, tries: int = 5) -> dict:
+    if bool(merged_output) == bool(merged_table) or (merged_table and merged_input):
+        raise ValueError("name either a merged table, or a merged output with or without an input")
     payloads = M.read_payloads(spark, source_dir, FILE_NAMES[kind], kind_schema(kind))
     carry = ["generated_at_utc"]
     runs = M.flatten_runs(payloads, carry=carry)
     summary = M.flatten_summary(payloads, carry=carry)
+    if merged_table:
+        for left in reversed(range(tries)):
+            base = snapshots.snapshot(spark, merged_table)
+            tables = {}
+            for name, new, key in (("records", runs, M.RUN_KEY), ("summary_records", summary, M.SUMMARY_KEY)):
+                old = snapshots.read(spark, merged_table, name, base) if base.version else None
+                tables[name] = (M.upsert(old, new, key, version="generated_at_utc") if old is not None
+                                else M.latest(new, key, version="generated_at_utc"))
+            try:
+                done = snapshots.overwrite(spark, merged_table, tables, base)
+            except snapshots.CommitConflict:
+                if not left:
+                    raise
+                continue
+            counts = {t: snapshots.read(spark, merged_table, t, done).count() for t in tables}
+            return {"kind": kind, **counts, "version": done.version}
     if merged_input:
         runs = M.upsert(spark.read.parquet(f"{merged_input}/records"), runs,
                         M.RUN_KEY, version="generated_at_utc")
@@ -88,13 +111,14 @@ def main(argv=None) -> int:
     p = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     p.add_argument("--kind", choices=sorted(FILE_NAMES), required=True)
     p.add_argument("--source-dir", required=True)
-    p.add_argument("--merged-output", required=True)
+    p.add_argument("--merged-output", default=None)
+    p.add_argument("--merged-table", default=None, help="folder of snapshots, merged in place")
     p.add_argument("--merged-input", default=None)
     p.add_argument("--master", default=None)
     a = p.parse_args(argv)
     spark = build(app_name="weblog-merge-results", master=a.master)
     try:
-        print(json.dumps(merge(spark, a.kind, a.source_dir, a.merged_output, a.merged_input)))
+        print(json.dumps(merge(spark, a.kind, a.source_dir, a.merged_output, a.merged_input, a.merged_table)))
     finally:
         clean_scratch(spark)
         spark.stop()

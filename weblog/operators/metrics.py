@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weblog.session import scratch_dir
+from weblog.sources import snapshots
+
 RUN_KEY = ["benchmark_id", "scale_pct", "query", "api", "run"]
 SUMMARY_KEY = ["benchmark_id", "scale_pct", "query", "api"]
 
@@ -85,6 +88,38 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str] = RUN_KE
     return out.select(*[c for c in both.columns if c != rank])
 
 
+def merge_buckets(spark: SparkSession, root: str, table: str, incoming: DataFrame, key: Sequence[str] = RUN_KEY,
+                  version: str | None = None, buckets: int = 64, base: snapshots.Snapshot | None = None) -> snapshots.Snapshot:
+    """``upsert`` into a stored table that reads and rewrites only what an incoming key can touch.
+
+    The table (a snapshot table, see ``weblog.sources.snapshots``) is kept in ``buckets`` parts by a hash
+    of the key. Only the buckets that hold an incoming key are read, merged and written to new
+    files; the new snapshot names them beside the old files of all other buckets. ``buckets`` is fixed by
+    the first merge. The bucket column stays in the files' folder names only.
+    """
+    base = snapshots.snapshot(spark, root) if base is None else base
+    notes = {**base.notes, f"{table}.buckets": buckets}
+    if base.notes.get(f"{table}.buckets", buckets) != buckets:
+        raise ValueError(f"{table} is kept in {base.notes[f'{table}.buckets']} buckets, not {buckets}")
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    staged = f"{scratch_dir(spark, 'merge')}/incoming"
+    incoming = latest(incoming, key, version) if version else incoming
+    incoming = incoming.withColumn("_bucket", bucket)
+    incoming.write.parquet(staged)
+    incoming = spark.read.schema(incoming.schema).parquet(staged)
+    touched = {f"bucket={r._bucket}": r._bucket for r in incoming.select("_bucket").distinct().collect()}  # at most ``buckets``
+    merged = incoming
+    if have := sorted(touched.keys() & base.tables.get(table, {}).keys()):
+        merged = upsert(snapshots.read(spark, root, table, base, have).withColumn("_bucket", bucket), incoming, key, version)
+    elif not version:
+        merged = upsert(incoming.limit(0), incoming, key)
+    written = f"{scratch_dir(spark, 'merge')}/merged"
+    merged.write.partitionBy("_bucket").parquet(written)  # one pass over all touched buckets
+    schema = merged.drop("_bucket").schema
+    changes = {part: spark.read.schema(schema).parquet(f"{written}/_bucket={b}") for part, b in touched.items()}
+    return snapshots.commit(spark, root, {table: changes}, base, notes=notes)
+
+
 def payload_schema(run_fields: StructType, stats_fields: StructType,
                    queries: Sequence[str] = QUERY_FAMILIES) -> StructType:
     """Schema of a payload document: ``benchmark_id, scale_pct``, one array of
