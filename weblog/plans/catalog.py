@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from weblog import fixtures as fx
-from weblog.operators import checks, errors, hosts, metrics, ranking, temporal, traffic
+from weblog.operators import checks, errors, hosts, matching, metrics, ranking, temporal, traffic
 from weblog.operators import sessions as sess
 from weblog.operators.clean import clean_logs
 from weblog.operators.parse import parse_lines
 from weblog.operators.quality import parse_quality
 from weblog.plans import sql as sqlapi
 from weblog.session import default_parallelism, scratch_dir
+from weblog.sources import snapshots
 from weblog.sources.logs import read_logs, register_logs, verify_written, write_logs
 from weblog.sources.text import read_lines, sample_lines_by_content
 
@@ -329,6 +330,30 @@ def api_parity(spark, sf):
     return out
 
 
+def frame_equality_rtol(spark, sf):
+    """Per-host averages against a copy that is off by less or more than the tolerance, lacks hosts or has others."""
+    per = (_logs(spark, sf).groupBy("client_ip")
+           .agg(F.count(F.lit(1)).alias("total_requests"), F.avg("response_bytes").alias("average_bytes")))
+    user = F.col("client_ip").cast("long")
+    off = F.when(user % 4 == 0, 4e-6).when(user % 4 == 1, 3e-5).otherwise(0.0)
+    other = per.where(user % 7 != 0).withColumn("average_bytes", F.col("average_bytes") * (1 + off))
+    found = matching.mismatches(per, other)
+    return rounded(found.select("client_ip", "total_requests", F.col("left.average_bytes").alias("left_value"),
+                                F.col("right.average_bytes").alias("right_value"), "copies"))
+
+
+def frame_equality_ranked(spark, sf):
+    """Frames of one double column: all rows are one group, matched by rank."""
+    logs = fx.access_logs(spark, sf, with_event_id=True)
+    left = logs.select((F.col("response_bytes") / 3.0).alias("x"))
+    right = logs.where(F.col("event_id") % 50 != 0).select(
+        (F.col("response_bytes") / 3.0 * (1 + (F.col("event_id") % 3) * 6e-6)).alias("x"))
+    found = matching.mismatches(left, right, stretch=1000)
+    return rounded(found.select(F.col("left.x").alias("left_value"), F.col("right.x").alias("right_value"),
+                                F.isnull("left").alias("left_short"), "copies")
+                   .groupBy("left_value", "right_value", "left_short").agg(F.sum("copies").alias("copies")))
+
+
 # The SQL surface on its own (each checked against the same oracle as its
 # DataFrame twin).
 
@@ -438,6 +463,30 @@ def metric_payload_roundtrip(spark, sf):
     return spark.read.parquet(f"{root}/merged")
 
 
+def metric_snapshot_commit(spark, sf):
+    """A merged table over three commits: the base, one that fails midway, and the merge onto what readers still see."""
+    root = scratch_dir(spark, "merged-table")
+    old, new = _upsert_batches(spark, sf)
+    snapshots.overwrite(spark, root, {"records": old}, snapshots.snapshot(spark, root))
+    broken = new.withColumn("elapsed_sec", F.when(F.col("query") == "P", F.raise_error(F.lit("broken")).cast("double")))
+    try:
+        snapshots.overwrite(spark, root, {"records": broken}, snapshots.snapshot(spark, root))
+    except Exception as e:  # noqa: BLE001
+        if "broken" not in str(e):
+            raise
+    base = snapshots.snapshot(spark, root)
+    snapshots.overwrite(spark, root, {"records": metrics.upsert(snapshots.read(spark, root, "records", base), new)}, base)
+    return rounded(snapshots.read(spark, root, "records"))
+
+
+def metric_merge_buckets(spark, sf):
+    """The same merge bucket by bucket: the second batch rewrites only the buckets of its keys."""
+    root = scratch_dir(spark, "bucketed-table")
+    for batch in _upsert_batches(spark, sf):
+        metrics.merge_buckets(spark, root, "records", batch, buckets=16)
+    return rounded(snapshots.read(spark, root, "records"))
+
+
 def metric_delta_totals(spark, sf):
     stages = fx.stage_records(spark, sf)
     cutoff = F.lit("1998-01-01 00:00:00").cast(stages.schema["submitted"].dataType)
@@ -514,6 +563,8 @@ QUERIES: dict[str, Query] = {
     "top_sessions": top_sessions,
     # SQL surface
     "api_parity": api_parity,
+    "frame_equality_rtol": frame_equality_rtol,
+    "frame_equality_ranked": frame_equality_ranked,
     "sql_error_top_paths": _sql_key(sqlapi.error_top_paths),
     "sql_error_status_rates": _sql_key(sqlapi.error_status_rates),
     "sql_host_profile": _sql_key(sqlapi.host_profile),
@@ -534,6 +585,8 @@ QUERIES: dict[str, Query] = {
     "metric_union": metric_union,
     "metric_upsert": metric_upsert,
     "metric_upsert_version": metric_upsert_version,
+    "metric_snapshot_commit": metric_snapshot_commit,
+    "metric_merge_buckets": metric_merge_buckets,
     "metric_flatten": metric_flatten,
     "metric_flatten_summary": metric_flatten_summary,
     "metric_payload_roundtrip": metric_payload_roundtrip,

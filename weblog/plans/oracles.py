@@ -307,6 +307,22 @@ FROM sess"""),
     "api_parity": """SELECT * FROM (VALUES ('error_top_paths', true), ('error_status_rates', true),
   ('host_profile', true), ('hourly_profile', true), ('daily_counts', true),
   ('sessions', true), ('sessions_per_host', true)) AS t(family, equal)""",
+    "frame_equality_rtol": f"""WITH {LOGS},
+per AS (SELECT client_ip, count(*) AS total_requests, avg(response_bytes) AS x FROM logs GROUP BY client_ip),
+other AS (SELECT client_ip, total_requests, x * (1 + CASE CAST(client_ip AS BIGINT) % 4 WHEN 0 THEN 4e-6::DOUBLE
+                 WHEN 1 THEN 3e-5::DOUBLE ELSE 0 END) AS x FROM per WHERE CAST(client_ip AS BIGINT) % 7 <> 0)
+SELECT a.client_ip, a.total_requests, round(a.x, 6) AS left_value, round(b.x, 6) AS right_value, 1::BIGINT AS copies
+FROM per a LEFT JOIN other b USING (client_ip)
+WHERE b.client_ip IS NULL OR abs(a.x - b.x) > 1e-8::DOUBLE + 1e-5::DOUBLE * abs(b.x)""",
+    "frame_equality_ranked": f"""WITH {LOGS_ID},
+a AS (SELECT row_number() OVER (ORDER BY x NULLS FIRST) AS r, x FROM (
+  SELECT response_bytes / 3.0::DOUBLE AS x FROM logs)),
+b AS (SELECT row_number() OVER (ORDER BY x NULLS FIRST) AS r, x FROM (
+  SELECT response_bytes / 3.0::DOUBLE * (1 + (event_id % 3) * 6e-6::DOUBLE) AS x FROM logs WHERE event_id % 50 <> 0)),
+m AS (SELECT a.x AS l, b.x AS x, b.r IS NULL AS short FROM a LEFT JOIN b USING (r))
+SELECT round(l, 6) AS left_value, round(x, 6) AS right_value, false AS left_short, count(*) AS copies FROM m
+WHERE short OR (l IS NULL) <> (x IS NULL) OR abs(l - x) > 1e-8::DOUBLE + 1e-5::DOUBLE * abs(x)
+GROUP BY ALL""",
     # measurement tables
     "metric_summary": _summary(False),
     "metric_summary_sample": _summary(True),
@@ -360,6 +376,10 @@ SELECT query, api, count(*) AS num_stages,
 FROM new GROUP BY query, api""",
 }
 
+# Other ways to the same merged table.
+for _k in ("metric_snapshot_commit", "metric_merge_buckets"):
+    ORACLES[_k] = ORACLES["metric_upsert"]
+
 # The SQL surface's keys share the oracles of their DataFrame twins.
 for _k in ("error_top_paths", "error_status_rates", "host_profile", "hourly_profile",
            "daily_counts", "sessions", "sessions_per_host", "host_requests", "host_bytes",
