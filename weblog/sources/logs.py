@@ -54,10 +54,15 @@ def write_logs(df: DataFrame, path: str, partitions: int | None = None,
     split holds one or two dates and yields one or two split-sized files.
     For unordered input pass ``rebalance=True``: rows are then rebalanced on
     ``log_date`` by AQE, which splits a hot date over several tasks instead of
-    sending it to one. ``mode="ignore"`` makes the write idempotent (skip when
-    the path exists); ``"overwrite"`` forces it.
+    sending it to one. ``mode="ignore"`` makes the write idempotent: a table that
+    was written whole is left alone, what a broken write left is replaced.
+    ``"overwrite"`` forces it.
     """
     out = conform(df)
+    if mode == "ignore":
+        if committed(df.sparkSession, path):
+            return
+        mode = "overwrite"
     if partitions:
         out = out.repartition(partitions)
     elif by_date and rebalance:
