@@ -25,11 +25,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,23 +166,22 @@ def joint_values(source: np.ndarray, count: np.ndarray, word: np.ndarray, bits:
     return out
 
 
-def _pairs(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
+def _pairs(key: tuple, rows: pa.Table) -> pa.Table:
     """lang, source, item, value of one block. Rows with count 0 name the groups of the language."""
-    groups = frame[frame["count"] == 0]
-    names = groups["source"].to_numpy()
-    if len(names) < 2:
-        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
-    number = pd.Series(np.arange(len(names)), index=names)
-    cells = frame[frame["count"] > 0]
-    kept = int(groups["kept"].iloc[0])
-    if kept:
-        value = joint_values(number.loc[cells["source"]].to_numpy(), cells["count"].to_numpy(), cells["word"].to_numpy(),
-                             cells["bits"].to_numpy().view(np.uint64), groups["total"].to_numpy(),
-                             int(groups["terms"].iloc[0]), kept)
+    named = pa.compute.equal(rows["count"], 0)
+    groups, cells = rows.filter(named), rows.filter(pa.compute.invert(named))
+    names = groups["source"].to_pylist()
+    totals, terms, kept = (groups[c].to_numpy() for c in ("total", "terms", "kept"))
+    if len(names) > 1 and kept[0]:
+        number = pa.compute.index_in(cells["source"], value_set=pa.array(names, pa.string())).to_numpy().astype(np.int64)
+        value = joint_values(number, cells["count"].to_numpy(), cells["word"].to_numpy(),
+                             cells["bits"].to_numpy().view(np.uint64), totals, int(terms[0]), int(kept[0]))
     else:
         value = np.zeros((len(names), len(names)), dtype=np.int64)
     a, b = np.nonzero(~np.eye(len(names), dtype=bool))
-    return pd.DataFrame({"lang": key[0], "source": names[a], "item": names[b], "value": value[a, b]})
+    own = pa.array(names, pa.string())
+    return pa.table({"lang": pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(a)), "source": own.take(pa.array(a)),
+                     "item": own.take(pa.array(b)), "value": pa.array(value[a, b], pa.int64())})
 
 
 def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -200,7 +198,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
         "block_terms", F.greatest(F.lit(64), F.call_function("div", F.lit(BLOCK_ROWS), F.col("sources"))))
     langs = langs.withColumn("blocks", F.call_function("div", F.col("kept"), F.col("block_terms")) + 1).drop("block_terms")
 
-    blocks = terms.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
+    # Without this exchange the join's layout by language would serve the windows, too: a language in one task.
+    blocks = terms.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks"))).repartition("lang", "block")
     place = Window.partitionBy("lang", "block").orderBy(F.desc("lang_n"), "term")
     blocks = blocks.withColumn("id", F.row_number().over(place) - 1)
     cells = written(counts.where("n > 0").select("lang", "source", "term", "n").join(
@@ -214,12 +213,11 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     sizes = blocks.groupBy("lang", "block").agg(F.count(F.lit(1)).alias("terms"))
     per_block = langs.select("lang", "kept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     per_block = per_block.join(sizes, ["lang", "block"], "left").fillna(0, ["terms"])
-    # No nulls in the union: pandas would turn 64-bit words into doubles.
     none = F.lit(0).cast("long")
     named = per_block.join(totals, "lang").select(
         "lang", "block", "source", *[none.alias(c) for c in ("count", "word", "bits")], "total", "terms", "kept")
     bitmaps = bitmaps.select("*", *[none.alias(c) for c in ("total", "terms", "kept")])
-    pairs = bitmaps.unionByName(named).groupBy("lang", "block").applyInPandas(
+    pairs = bitmaps.unionByName(named).groupBy("lang", "block").applyInArrow(
         _pairs, "lang string, source string, item string, value long")
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
