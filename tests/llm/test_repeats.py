@@ -53,14 +53,14 @@ def test_contexts_cover_every_window_once(seed):
     texts = [bytes(rng.choice(b"abc" if seed % 2 else b"a") for _ in range(rng.randrange(0, 200))) for _ in range(30)]
     ends = np.cumsum([len(t) for t in texts])
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    text, start, count, anchor, content, inner = repeats.contexts(raw, ends, 20, 4)
+    text, start, count, anchor, content, check, inner = repeats.contexts(raw, ends, 20, 4)
     seen = sorted((int(t), int(s) + i) for t, s, c in zip(text, start, count) for i in range(c))
     first = np.concatenate([[0], ends[:-1]])
     assert seen == [(t, int(f) + i) for t, (f, x) in enumerate(zip(first, texts)) for i in range(max(0, len(x) - 19))]
     of, of_content = {}, {}
-    for s, c, a, k, own in zip(start, count, anchor, content, inner):
+    for s, c, a, k, x, own in zip(start, count, anchor, content, check, inner):
         b = raw[s:s + c + 19].tobytes()
-        assert of_content.setdefault(b, int(k)) == k
+        assert of_content.setdefault(b, (int(k), int(x))) == (k, x)
         windows = [b[i:i + 20] for i in range(c)]
         assert own or len(set(windows)) == len(windows)
         for w in windows:
@@ -83,7 +83,9 @@ def test_odd_rows_both_ways(spark):
     want = expected(rows, 40)
     assert sum(w[2] for w in want) > 1000
     assert rows_of(repeats.cut(docs, 40, 8)) == want
-    assert rows_of(repeats.cut(docs, 40, 8, hot_bytes=0)) == want
+    assert rows_of(repeats.cut(docs, 40, 8, hot_bytes=0)) == want  # every window counted
+    assert rows_of(repeats.cut(docs, 40, 4, hot_bytes=0)) == want  # longer anchors first
+    assert rows_of(repeats.cut(docs, 40, 4, hot_bytes=3000)) == want  # some of each
     assert repeats.cut(docs.limit(0)).count() == 0
 
 
@@ -92,5 +94,13 @@ def test_whole_table(spark):
     rows = [tuple(r) for r in docs.collect()]
     import hashlib
     want = sorted((w[0], w[1], w[2], w[3], hashlib.sha256(w[4]).hexdigest()) for w in expected(rows, repeats.LENGTH))
-    got = sorted(tuple(r) for r in repeats.op3_repeats(spark, SF).collect())
-    assert got == want and sum(w[2] for w in want) > 0
+    rows = repeats.op3_repeats(spark, SF).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want and sum(w[2] for w in want) > 0
+    assert {r.doc_id: r.text for r in rows} == {w[0]: w[4].decode("utf-8", "replace") for w in expected(
+        [tuple(r) for r in docs.collect()], repeats.LENGTH)}
+
+
+def test_two_thousand_rows_without_id(spark):
+    rows = [(None, f"row {i} " + ("shared words " * 8 if i % 2 else "") + f"end {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(repeats.cut(docs, 40, 8)) == expected(rows, 40)

@@ -5,34 +5,33 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else,
 1. Windows of LENGTH bytes are dealt by content: a window's anchor is the least hash among the ``GRAM``-byte
    strings in it. Neighbouring windows with the same anchor make a context; every window lies in
    exactly one context, and equal windows have equal anchors, wherever they are.
-2. A context that occurs twice is repeated as a whole; copies collapse map-side. Only contexts whose anchor has
+2. A context that occurs twice (192 bits: its anchor and two content hashes) is repeated as a whole; copies collapse map-side. Only contexts whose anchor has
    other contexts, or that may repeat inside themselves, go on, one of each content.
 3. These are shuffled by anchor. A task joins the contexts of whole anchors up to ``INDEX_BYTES``, sorts the suffixes and keeps
    the run-compressed Burrows-Wheeler transform: for each run its symbol and length, the text
    positions of its two ends, and there the common prefix with the neighbouring suffix. Matching
    statistics of the text against all other positions stream from these samples: behind a
    sampled position they fall by one per byte. Windows whose statistic reaches LENGTH are repeated.
-4. An anchor that has more than ``HOT_BYTES`` of different contexts would not fit a task. Its windows are counted one by
-   one instead, by a 128-bit hash, pre-aggregated map-side. Both ways find the same windows.
+4. An anchor that has more than ``HOT_BYTES`` of different contexts would not fit a task. Its contexts go through steps 1 to 3 again
+   with anchors ``LONGER`` times as long, which deal their windows out further. Where such an anchor is as hot again, its windows are counted one by
+   one by a 128-bit hash, pre-aggregated map-side. All ways find the same windows.
 5. Repeated windows become byte ranges of the documents, which are cut out in one last pass.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes keep everything; a text that occurs twice, or a
-repeated row, loses everything if it has LENGTH bytes; a null doc_id is like any other.
+repeated row, loses everything if it has LENGTH bytes; a null or repeated doc_id is like any other (rows are told apart by their place).
 """
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import pick, portions, table, written
+from weblog.llm.common import placed, portions, table, written
 from weblog.llm.wordhash import mix64, powers
 
-LENGTH, GRAM = 400, 32
-INDEX_BYTES, HOT_BYTES, PORTION = 1 << 20, 8 << 20, 1 << 21
+LENGTH, GRAM, LONGER = 400, 32, 4
+INDEX_BYTES, HOT_BYTES, PORTION = 1 << 20, 8 << 20, 1 << 18
 
 _RNG = np.random.Generator(np.random.Philox(key=[3, 400]))
 _TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,14 +62,14 @@ def substring_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray, k: i
 
 
 def contexts(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Contexts of the texts that end at ``ends``: text, start (in raw), windows, anchor, content, inner.
+    """Contexts of the texts that end at ``ends``: text, start (in raw), windows, anchor, content, check, inner.
 
     ``inner`` tells that the anchor occurs twice in the context, so a window may repeat inside it.
     """
     starts = np.concatenate([[0], ends[:-1]])
     windows = np.maximum(ends - starts - length + 1, 0)
     if not windows.any():
-        return [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool)]
+        return [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, bool)]
     total = _rolled(raw, 0)
     at = np.arange(len(raw) - gram + 1)
     h = substring_hashes(total, at, at + gram, 0)
@@ -95,9 +94,9 @@ def contexts(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     each = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     owner = np.repeat(np.arange(len(start)), n)
     hits = np.bincount(owner, weights=h[place[each]] == anchor[owner], minlength=len(start))
-    content = substring_hashes(total, start, start + count + length - 1, 0) ^ substring_hashes(
-        _rolled(raw, 1), start, start + count + length - 1, 1)
-    return text[first], start, count, anchor, content, hits > 1
+    end = start + count + length - 1
+    return (text[first], start, count, anchor, substring_hashes(total, start, end, 0),
+            substring_hashes(_rolled(raw, 1), start, end, 1), hits > 1)
 
 
 class RunIndex:
@@ -185,152 +184,148 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def _text_key(b: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
+KEY = ["k1", "k2", "k3"]
+CONTENT = ["anchor", "content", "check"]
 
 
-def located(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc_id, text_key, start, windows, anchor, content, inner of every context."""
+def located(given: DataFrame, length: int, gram: int) -> DataFrame:
+    """The key, start, windows, anchor, content, check, inner of every context of k1, k2, k3, raw (bytes)."""
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in portions(texts, PORTION):
-                part = texts[a:b]
+            raws = [r or b"" for r in batch.column(3).to_pylist()]
+            for a, b in portions(raws, PORTION):
+                part = raws[a:b]
                 ends = np.cumsum([len(t) for t in part])
-                text, start, count, anchor, content, inner = contexts(
-                    np.frombuffer(b"".join(part), dtype=np.uint8), ends, length, gram)
-                keys = np.array([_text_key(t) for t in part], dtype=np.int64)
+                text, start, count, *found = contexts(np.frombuffer(b"".join(part), dtype=np.uint8), ends, length, gram)
                 first = np.concatenate([[0], ends[:-1]])
+                at = pa.array(text)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a).cast(pa.int64()).take(pa.array(text)), pa.array(keys[text], pa.int64()),
+                    *[batch.column(k).slice(a, b - a).take(at) for k in range(3)],
                     pa.array(start - first[text], pa.int64()), pa.array(count, pa.int64()),
-                    pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(inner)], names)
+                    *[pa.array(h.view(np.int64)) for h in found[:3]], pa.array(found[3])], names)
 
-    names = ["doc_id", "text_key", "start", "windows", "anchor", "content", "inner"]
-    return docs.mapInArrow(run, "doc_id long, text_key long, start long, windows long, anchor long, content long, inner boolean")
+    names = [*KEY, "start", "windows", *CONTENT, "inner"]
+    return given.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", inner boolean")
 
 
-def _pieces(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """anchor, content, copies, piece (the bytes) of the contexts wanted, from one text that has each."""
-    found = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select(
-        "d.text", "w.text_key", "w.start", "w.windows", "w.anchor", "w.content", "w.copies")
+def _pieces(given: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """anchor, content, check, copies, piece (the bytes) of the contexts wanted, from one text that has each."""
+    per_text = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("start", "windows", *CONTENT, "copies")).alias("wanted"))
+    found = given.join(per_text, KEY).select("raw", "wanted")
 
     def run(batches):
         for batch in batches:
-            rows, last, raw, key = [], None, b"", 0
-            for text, text_key, start, windows, *rest in zip(*[batch.column(i).to_pylist() for i in range(7)]):
-                if text is not last:
-                    raw, last = (text or "").encode(), text
-                    key = _text_key(raw)
-                if key == text_key:  # another text may carry the same doc_id
-                    rows.append((*rest, raw[start:start + windows + length - 1]))
+            rows = []
+            for raw, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(c["anchor"], c["content"], c["check"], c["copies"], raw[c["start"]:c["start"] + c["windows"] + length - 1])
+                         for c in cuts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                ["anchor", "content", "copies", "piece"])
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 4 + [pa.binary()])],
+                [*CONTENT, "copies", "piece"])
 
-    return found.mapInArrow(run, "anchor long, content long, copies long, piece binary")
+    return found.mapInArrow(run, "anchor long, content long, check long, copies long, piece binary")
 
 
 def _indexed(pieces: DataFrame, length: int) -> DataFrame:
-    """anchor, content, first, last: runs of repeated windows, by an index over the contexts of whole anchors."""
+    """anchor, content, check, first, last: runs of repeated windows, by an index over the contexts of whole anchors."""
     def run(batches):
-        held, size, seen = [], 0, None
+        held, size = [], 0
 
         def out():
             rows = []
-            for (anchor, content, copies, _), flags in zip(held, repeated_windows([h[3] for h in held], length)):
+            for (*content, copies, _), flags in zip(held, repeated_windows([h[4] for h in held], length)):
                 if copies == 1:  # of others every window is known to repeat
-                    rows += [(anchor, content, a, b) for a, b in _runs(flags)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names)
+                    rows += [(*content, a, b) for a, b in _runs(flags)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names)
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 if held and row[0] != held[-1][0] and size > INDEX_BYTES:
                     yield out()
                     held, size = [], 0
-                if row[:2] != seen:  # repeated rows bring the same context
-                    held.append(row)
-                    size += len(row[3])
-                    seen = row[:2]
+                held.append(row)
+                size += len(row[4])
         if held:
             yield out()
 
-    names = ["anchor", "content", "first", "last"]
-    return pieces.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(
-        run, "anchor long, content long, first long, last long")
+    names = [*CONTENT, "first", "last"]
+    return pieces.repartition("anchor").sortWithinPartitions(*CONTENT).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _counted(pieces: DataFrame, length: int) -> DataFrame:
-    """The same runs for anchors that are too hot for one task: windows counted by their hash."""
+    """The same runs for anchors that are still too hot for one task: windows counted by a 128-bit hash."""
     def run(batches):
         for batch in batches:
-            for anchor, content, copies, piece in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for *content, copies, piece in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 raw = np.frombuffer(piece, dtype=np.uint8)
                 at = np.arange(len(raw) - length + 1)
                 h = [substring_hashes(_rolled(raw, k), at, at + length, k).view(np.int64) for k in (0, 1)]
-                n = len(at)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, anchor)), pa.array(np.full(n, content)),
-                    pa.array(np.full(n, copies)), pa.array(at)], ["h", "g", "anchor", "content", "copies", "at"])
+                    *map(pa.array, h), *[pa.array(np.full(len(at), c)) for c in (*content, copies)], pa.array(at)], names)
 
-    windows = written(pieces.dropDuplicates(["anchor", "content"]).mapInArrow(
-        run, "h long, g long, anchor long, content long, copies long, at long"), "repeat-windows")
+    names = ["h", "g", *CONTENT, "copies", "at"]
+    windows = written(pieces.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "repeat-windows")
     often = windows.groupBy("h", "g").agg(F.sum("copies").alias("n")).where("n > 1").select("h", "g")
     return windows.where("copies = 1").join(often, ["h", "g"]).select(
-        "anchor", "content", F.col("at").alias("first"), F.col("at").alias("last"))
+        *CONTENT, F.col("at").alias("first"), F.col("at").alias("last"))
 
 
-def marked(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """text_key, doc_id, spans: the byte ranges (first, end) that repeated windows cover, not yet merged."""
-    given = pick(docs, doc_id="doc_id", text="text")
+def marked(given: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """k1, k2, k3, first, last: runs of windows (by their first bytes) of k1, k2, k3, raw that occur anywhere else.
+
+    The contexts of an anchor with over ``hot_bytes`` of different contexts are texts of their own,
+    which anchors of ``LONGER`` times the length deal out again, up to half a window.
+    """
     rows = written(located(given, length, gram), "repeat-contexts")
-    each = written(rows.groupBy("anchor", "content").agg(
+    each = written(rows.groupBy(*CONTENT).agg(
         F.count(F.lit(1)).alias("copies"), F.max("inner").alias("inner"),
-        F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("one")), "repeat-contents")
+        F.min(F.struct(*KEY, "start", "windows")).alias("one")), "repeat-contents")
     anchors = each.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("contents"), F.max("inner").alias("any_inner"),
         F.sum(F.col("one.windows") + (length - 1)).alias("bytes")).where("contents > 1 OR any_inner")
-    wanted = each.join(anchors, "anchor").select(
-        "anchor", "content", "copies", "one.doc_id", "one.text_key", "one.start", "one.windows",
-        (F.col("bytes") > hot_bytes).alias("hot"))
-    wanted = written(wanted, "repeat-wanted")
+    wanted = written(each.join(anchors, "anchor").select(
+        *CONTENT, "copies", *[f"one.{k}" for k in KEY], "one.start", "one.windows",
+        (F.col("bytes") > hot_bytes).alias("hot")), "repeat-wanted")
     marks = _indexed(_pieces(given, wanted.where("NOT hot"), length), length)
     if not wanted.where("hot").isEmpty():
-        marks = marks.unionByName(_counted(_pieces(given, wanted.where("hot"), length), length))
-    whole = each.where("copies > 1").select(
-        "anchor", "content", F.lit(0).cast("long").alias("first"), (F.col("one.windows") - 1).alias("last"))
+        pieces = written(_pieces(given, wanted.where("hot"), length), "repeat-pieces")
+        if LONGER * gram <= length // 2:
+            finer = pieces.select(*[F.col(c).alias(k) for c, k in zip(CONTENT, KEY)], F.col("piece").alias("raw"))
+            marks = marks.unionByName(marked(finer, length, LONGER * gram, hot_bytes).toDF(*CONTENT, "first", "last"))
+        else:
+            marks = marks.unionByName(_counted(pieces, length))
+    whole = each.where("copies > 1").select(*CONTENT, F.lit(0).cast("long").alias("first"), (F.col("one.windows") - 1).alias("last"))
     marks = written(marks.unionByName(whole), "repeat-marks")
-    spans = rows.join(marks, ["anchor", "content"]).select(
-        "doc_id", "text_key", (F.col("start") + F.col("first")).alias("first"),
-        (F.col("start") + F.col("last") + length).alias("end")).distinct()
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    return rows.join(marks, CONTENT).select(
+        *KEY, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
 
 def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed byte ranges), kept (the bytes left)."""
-    given = pick(docs, doc_id="doc_id", text="text")
-    spans = written(marked(docs, length, gram, hot_bytes), "repeat-spans")
-    # A doc_id may carry several texts; each row picks the spans of its own.
-    per_id = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "spans")).alias("texts"))
-    both = given.alias("d").join(per_id.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left").select(
-        "d.doc_id", "d.text", "s.texts")
+    """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed byte ranges), kept (the bytes left), text
+    (what is left as a string; a character that was cut in half shows as U+FFFD)."""
+    at = {name: f"c{docs.columns.index(name)}" for name in ("doc_id", "text")}
+    # A row's own place is its key (files by 128 bits of hash), so null and repeated ids don't matter.
+    given = placed(docs).select(
+        F.xxhash64("file").alias("k1"), F.col("row").alias("k2"), F.xxhash64(F.lit("file"), "file").alias("k3"),
+        F.col(at["doc_id"]).cast("long").alias("doc_id"), F.coalesce(F.col(at["text"]), F.lit("")).cast("binary").alias("raw"))
+    spans = written(marked(given.select(*KEY, "raw"), length, gram, hot_bytes).groupBy(*KEY).agg(
+        F.collect_list(F.struct("first", (F.col("last") + length).alias("end"))).alias("spans")), "repeat-spans")
+    both = given.join(spans, KEY, "left").select("doc_id", "raw", "spans")
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, texts in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                raw, merged = (text or "").encode(), []
-                if texts:
-                    key = _text_key(raw)
-                    for a, b in sorted((s["first"], s["end"]) for t in texts if t["text_key"] == key for s in t["spans"]):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
+            for doc_id, raw, spans in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                merged = []
+                for a, b in sorted((s["first"], s["end"]) for s in spans or ()):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
                 edges = [0, *[x for m in merged for x in m], len(raw)]
                 left = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2]))
                 rows.append({"doc_id": doc_id, "n_bytes": len(raw), "n_removed": len(raw) - len(left),
-                             "spans": [{"first": a, "end": b} for a, b in merged], "kept": left})
+                             "spans": [{"first": a, "end": b} for a, b in merged], "kept": left, "text": left.decode("utf-8", "replace")})
                 if len(rows) == 256:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
                     rows = []
@@ -338,12 +333,13 @@ def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                       ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+                       ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("text", pa.string())])
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, "
-                                "spans array<struct<first:bigint,end:bigint>>, kept binary")
+                                "spans array<struct<first:bigint,end:bigint>>, kept binary, text string")
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: the removed spans, and the text that is left."""
     return cut(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"))
+        F.sha2("kept", 256).alias("kept_sha256"), "spans", "text")
