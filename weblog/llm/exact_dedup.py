@@ -19,17 +19,20 @@ null doc_id loses to any other id; among repeated rows the one that lies first
 """
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import WHITE, table, written
+from weblog.llm.common import WHITE, placed, table, written
 from weblog.session import scratch_dir
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: State on disk; many small stores must not each reserve megabytes for their manifests.
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": PROVIDER,
-            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+            # All stores of an executor share one bound, and are closed once they have committed.
+            "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+            "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -41,18 +44,9 @@ def sha256(norm: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """doc_id, text, file and row of ``docs``, and all its columns by position as c0, c1, ...
-
-    Rows of a table on files have a file and a place in it; other frames are written first.
-    """
-    plain = [f"c{i}" for i in range(len(docs.columns))]
-    place = ["_metadata.file_path", "_metadata.row_index"]
-    try:
-        found = docs.select("*", *place)
-    except AnalysisException:
-        found = written(docs.toDF(*plain), "dedup-docs").select("*", *place)
-    at = {name: plain[docs.columns.index(name)] for name in ("doc_id", "text")}
-    return found.toDF(*plain, "file", "row").select(
+    """doc_id, text, file and row of ``docs``, and all its columns by position as c0, c1, ..."""
+    at = {name: f"c{docs.columns.index(name)}" for name in ("doc_id", "text")}
+    return placed(docs).select(
         "*", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).alias("text"))
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import pick, portions, table, written
+from weblog.llm.common import portions, table, written
 from weblog.llm.components import components
 from weblog.llm.exact_dedup import located
 from weblog.llm.wordhash import mix64, shingle_sets
@@ -45,7 +45,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 PERCENT, MARGIN = 80, 0.2
 #: Star rounds; members that a task holds, and streams past them, in the last comparison.
 ROUNDS, HELD, STREAMED = 2, 1024, 65536
-PORTION = 1 << 21
+PORTION = 1 << 19
 
 _M = ROWS * BANDS
 _RNG = np.random.Generator(np.random.Philox(key=[20, 21]))
@@ -122,7 +122,7 @@ def _digests(sets: np.ndarray, ends: np.ndarray) -> list[bytes]:
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, id (digest of the set), n (its size), registers; and file and row, where ``docs`` has them after the text."""
+    """doc_id, id (digest of the set), n (its size), registers, file and row of doc_id, text, file and row."""
     place = docs.columns[2:]
 
     def run(batches):
@@ -135,7 +135,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                      *[batch.column(2 + i).slice(a, b - a) for i in range(len(place))]],
                     ["doc_id", "id", "n", "registers", *place])
 
-    return docs.mapInArrow(run, "doc_id long, id binary, n long, registers binary" + (", file string, row long" if place else ""))
+    return docs.mapInArrow(run, "doc_id long, id binary, n long, registers binary, file string, row long")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -170,21 +170,18 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id, s: the whole shingle set of every class wanted (id, doc_id of one of its documents)."""
-    found = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.id", "d.text")
+    """id, s: the whole shingle set of every class wanted (id, and the place of one of its documents)."""
+    found = docs.select("text", "file", "row").join(wanted, ["file", "row"]).select("id", "text")
 
     def run(batches):
         for batch in batches:
             for a, b, sets, ends in _sets(batch.column(1).to_pylist(), n):
-                own = _digests(sets, ends)
                 starts = np.concatenate([[0], ends[:-1]])
-                rows = [(i, sets[s:e].tobytes()) for i, d, s, e in
-                        zip(batch.column(0).slice(a, b - a).to_pylist(), own, starts, ends) if i == d]
-                if rows:  # another text may carry the same doc_id
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()),
-                                                      pa.array([r[1] for r in rows], pa.binary())], ["id", "s"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a),
+                     pa.array([sets[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], ["id", "s"])
 
-    return found.mapInArrow(run, "id binary, s binary").dropDuplicates(["id"])
+    return found.mapInArrow(run, "id binary, s binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,10 +199,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _across(member: DataFrame, sets: DataFrame, percent: int, doubted: frozenset = frozenset()) -> DataFrame:
+def _across(member: DataFrame, sets: DataFrame, percent: int, doubted: DataFrame | None = None) -> DataFrame:
     """Links a, b between members of different components (``root``) under one key, one for each member and other component.
 
-    Of members in ``doubted`` all such links.
+    Of members in ``doubted`` (a table of ids) all such links.
 
     Under each key, the members outside its largest component meet all others. They are dealt into
     parts of about ``HELD``, and all members into slices of about ``STREAMED``; a task holds a part, streams a slice
@@ -221,12 +218,12 @@ def _across(member: DataFrame, sets: DataFrame, percent: int, doubted: frozenset
         group, held, known = None, [], None
         for batch in batches:
             links = []
-            for key, part, side, i, root, t in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+            for key, part, side, i, root, t, all_of_it in zip(*[batch.column(k).to_pylist() for k in range(7)]):
                 if group != (key, part):
                     group, held, known = (key, part), [], None
                 x = np.frombuffer(t, dtype=np.uint32)
                 if side == 0:
-                    held.append((i, root, x))
+                    held.append((i, root, x, all_of_it))
                     continue
                 if known is None:  # all that is held, as one sorted list of shingles with their owners
                     sizes = np.array([len(h[2]) for h in held])
@@ -239,8 +236,8 @@ def _across(member: DataFrame, sets: DataFrame, percent: int, doubted: frozenset
                 at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 common = np.bincount(owner[at], minlength=len(held))
                 for k in np.flatnonzero(100 * common >= percent * (sizes + len(x) - common)):
-                    j, other, _ = held[k]
-                    if other != root and (j in doubted or (k, root) not in done):
+                    j, other, _, again = held[k]
+                    if other != root and (again or (k, root) not in done):
                         done.add((k, root))
                         links.append((min(i, j), max(i, j)))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.binary()) for c in (0, 1)], ["a", "b"])
@@ -252,16 +249,20 @@ def _across(member: DataFrame, sets: DataFrame, percent: int, doubted: frozenset
                          F.ceil((F.col("c") - F.col("most.c")) / HELD).cast("int").alias("parts"),
                          F.ceil(F.col("c") / STREAMED).cast("int").alias("slices"))
     left = member.join(mixed, "key").join(sets.mapInArrow(compact, "id binary, t binary"), "id")
-    left = written(left.select("key", "id", "root", "t", "major", "parts", "slices"), "near-mixed")
+    if doubted is None:
+        left = left.withColumn("doubted", F.lit(False))
+    else:
+        left = left.join(doubted.withColumn("doubted", F.lit(True)), "id", "left").fillna(False, ["doubted"])
+    left = written(left.select("key", "id", "root", "t", "doubted", "major", "parts", "slices"), "near-mixed")
     # A part meets every slice of its key: held rows go to all slices, streamed rows to all parts.
     deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
     first = left.where("root <> major").withColumn("part", deal(F.col("parts"), 1))
     every = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     every = every.join(first.select("key", "part").distinct(), ["key", "part"]).withColumn("slice", deal(F.col("slices"), 2))
     first = first.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)))
-    columns = ["key", F.concat_ws("/", "part", "slice").alias("part"), "id", "root", "t"]
+    columns = ["key", F.concat_ws("/", "part", "slice").alias("part"), "id", "root", "t", "doubted"]
     rows = first.select(*columns, F.lit(0).alias("side")).unionByName(every.select(*columns, F.lit(1).alias("side")))
-    rows = rows.select("key", "part", "side", "id", "root", "t").repartition("key", "part").sortWithinPartitions(
+    rows = rows.select("key", "part", "side", "id", "root", "t", "doubted").repartition("key", "part").sortWithinPartitions(
         "key", "part", "side")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -272,7 +273,7 @@ def _settled(keys: DataFrame, sets: DataFrame, links: DataFrame | None, root: Da
     It names one link of a member to another component. Where that one isn't confirmed, the member may have
     another: the comparison is repeated and names all links of such members, until none is rejected of any other member.
     """
-    doubted: frozenset = frozenset()
+    doubted: DataFrame | None = None
     while True:
         pairs = written(_across(_members(keys, root), sets, percent, doubted), "near-pairs")
         if pairs.isEmpty():
@@ -281,11 +282,12 @@ def _settled(keys: DataFrame, sets: DataFrame, links: DataFrame | None, root: Da
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             root = written(components(links), "near-roots")
-        rejected = pairs.join(new, ["a", "b"], "left_anti").collect()  # stray matches of 32-bit hashes only
-        more = frozenset(bytes(i) for r in rejected for i in r) - doubted
-        if not more:
+        rejected = pairs.join(new, ["a", "b"], "left_anti")  # stray matches of 32-bit hashes only
+        more = rejected.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        more = written(more if doubted is None else more.join(doubted, "id", "left_anti"), "near-doubted")
+        if more.isEmpty():
             return links, root
-        doubted |= more
+        doubted = more if doubted is None else doubted.unionByName(more)
 
 
 def _members(keys: DataFrame, root: DataFrame | None) -> DataFrame:
@@ -299,14 +301,14 @@ def _grouped(given: DataFrame, n: int, percent: int, rounds: int) -> DataFrame:
     """The columns of ``sketched`` but the registers, with root (of the class's component), component_id and n_links."""
     rows = written(sketched(given, n), "near-sketches")
     classes = written(rows.where("n > 0").groupBy("id").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers")),
-        "near-classes")
+        F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers"),
+        F.min(F.struct("file", "row")).alias("one")), "near-classes")
     keys = banded(classes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     keys = written(keys.join(shared, "key").select("id", "n", "key"), "near-keys")
 
     # The whole sets of all classes that may be compared, fetched once.
-    wanted = keys.select("id").distinct().join(classes.select("id", "doc_id"), "id")
+    wanted = keys.select("id").distinct().join(classes.select("id", "one.file", "one.row"), "id")
     sets = written(_full_sets(given, wanted, n), "near-sets")
 
     links, tried, root = None, None, None
@@ -349,7 +351,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = PERCENT, rounds: int = RO
     ``class_id`` is the class of equal sets, in hexadecimal (null without words), and ``n_links`` the
     confirmed links of the class to other classes that were needed to connect its group.
     """
-    out = _grouped(pick(docs, doc_id="doc_id", text="text"), n, percent, rounds)
+    out = _grouped(located(docs).select("doc_id", "text", "file", "row"), n, percent, rounds)
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),

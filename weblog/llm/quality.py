@@ -32,7 +32,8 @@ from weblog.llm.wordhash import IS_WHITE, joined, word_hashes
 
 #: Random features, kernel width, ridge penalty, calibration bins, least score kept.
 FEATURES, WIDTH, PENALTY, BINS, KEEP = 256, 4.0, 1e-3, 200, 0.7
-PORTION = 1 << 22
+#: Code points described at once: arrays of this size stay in the processor's cache.
+PORTION = 1 << 19
 
 NAMES = ["length", "words", "word_length", "word_spread", "upper", "lower", "digit", "punctuation", "symbol", "not_ascii",
          "control", "white", "lines", "line_length", "distinct_words", "repeated_next", "repeated_pairs", "top_word",
@@ -167,6 +168,22 @@ def described(docs: DataFrame) -> DataFrame:
     return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, x array<double>")
 
 
+def described_rows(docs: DataFrame, text: str = "text", name: str = "x_") -> DataFrame:
+    """``docs`` with one more column, the statistics of its text; all rows and columns stay."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in portions(texts, PORTION):
+                rows = statistics(texts[a:b])
+                x = pa.FixedSizeListArray.from_arrays(rows.ravel(), rows.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, x], schema.names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(run, schema)
+
+
 def fit(stats: DataFrame, labels: DataFrame, seed: int = 10) -> Model | None:
     """Learn from the labelled rows that are not held out; None without such rows.
 
@@ -251,6 +268,13 @@ def score_statistics(stats: DataFrame, model: Model | None) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, x array<double>, score double").drop("x")
 
 
+def scored_rows(rows: DataFrame, model: Model | None, statistics: str = "x_", score: str = "score_") -> DataFrame:
+    """``rows`` (of ``described_rows``) with one more column, the score; the texts aren't described again."""
+    of = lambda xs: model.score(np.array(xs, dtype=float).reshape(-1, len(NAMES)))
+    schema = T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())])
+    return rows.mapInArrow(_scorer(model, of, rows.columns.index(statistics), schema.names), schema)
+
+
 def scored(docs: DataFrame, model: Model | None, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with one more column, the score of its text; all rows and columns stay."""
     def of(texts):

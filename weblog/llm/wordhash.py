@@ -27,17 +27,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+KEPT_POWERS = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept for the longest n so far."""
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept up to ``KEPT_POWERS`` numbers, beyond them made anew."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         have = np.ones(max(n, 1 << 16), dtype=np.uint64)
         have[1:] = np.uint64(base)
         have = np.multiply.accumulate(have)
-        _POWERS[base] = have
+        if n <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
