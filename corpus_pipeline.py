@@ -20,10 +20,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality score reaches ``quality.KEEP``; without labels, all."""
-    docs = _documents(docs)
-    stats = written(quality.described(docs), "quality-statistics")
-    model = quality.fit(stats, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, score="score_").where(F.col("score_") >= quality.KEEP).select(*COLUMNS)
+    rows = written(quality.described_rows(_documents(docs)), "quality-statistics")
+    model = quality.fit(rows.select("doc_id", F.col("x_").alias("x")), table(spark, sf_dir, "labels"))
+    return quality.scored_rows(rows, model).where(F.col("score_") >= quality.KEEP).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
