@@ -12,11 +12,14 @@ its own wherever it stands, so encoded stretches are kept in a bounded memory pe
 a text with unusual white space is split as a whole. Texts pass through in batches of
 bounded size and nothing is shuffled.
 
-Long words (over ``LONG`` bytes) take a second query that contracts all pairs of a word's
-least rank in one step, from the left without overlap. That equals one by one as
-long as no contraction makes a pair of smaller rank: the query watches for that, and then
-the word takes the first query. Ranks whose contracted token could take the
-next pair's first token are contracted one at a time.
+Long words (over ``LONG`` bytes) take a second query, which contracts many pairs of a word in one step and still equals
+one by one. A pair may be contracted at once if none of smaller rank starts within reach: until its turn, only tokens of no
+higher rank are made, each such token that touches the pair would have to stretch from there, and none
+is as long. So the reach is the length of the longest token of no higher rank, counted in rows (a token has a byte at least). Of pairs with equal ranks the overlapping ones
+(a run of equal tokens) are taken alternately from the left; where a contracted token would itself have a pair of smaller
+rank with what stands beside it, order matters among equal pairs: those to its right wait a step, and so
+do those to the right of one that can't be contracted yet. Only the rows that a step has changed are joined
+with the merge table again, all long words share the steps, and what no pair can reach any more is put aside.
 
 Defined cases: a null text counts as empty; an empty text has no ids and the digest of no
 bytes; repeated rows and null identifiers each give their row.
@@ -30,6 +33,7 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +41,8 @@ from weblog.llm.common import pick, portions, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
+#: Bytes of long words for one query, and memory of a worker's database.
+LONG_BYTES, MEMORY_MB = 1 << 20, 600
 #: Words for one query, bytes of text for one decoding, and stretches kept in a worker.
 WORDS, TEXT_BYTES, KEPT = 50_000, 4 << 20, 900_000
 
@@ -57,24 +63,67 @@ WITH RECURSIVE state(w, p, t, live) AS (
 SELECT w, t FROM state WHERE NOT live ORDER BY w, p
 """
 
-#: All pairs of the least rank per step; of overlapping ones (a run of equal tokens) every other.
+#: Many contractions per word and step: every pair that no contraction elsewhere can come to before its turn.
+#: A row is a token (bytes p to e), the rank r of its pair with the next token, and the reach l of that rank.
 #: It stops after some steps, so that the rows of all steps stay few; the caller goes on.
 CONTRACT_LONG = """
-WITH RECURSIVE state(step, p, t, best, rising) AS (
-  SELECT 0, p, t, $least::INT, true FROM chars
+WITH RECURSIVE state(step, w, p, e, t, r, l, k) AS (
+  SELECT 0, w, p, e, t, r, l, k FROM tokens
   UNION ALL
-  SELECT step + 1, p, CASE WHEN hit THEN r ELSE t END, best, rising AND coalesce(best >= before, true)
-  FROM (SELECT *, lag(hit, 1, false) OVER (ORDER BY p) AS eaten
-        FROM (SELECT *, coalesce(r = best, false) AND CASE
-                        WHEN alone THEN row_number() OVER (PARTITION BY r = best ORDER BY p) = 1
-                        ELSE row_number() OVER (PARTITION BY run, r = best ORDER BY p) % 2 = 1 END AS hit
-              FROM (SELECT *, sum(CASE WHEN coalesce(r = best, false) THEN 0 ELSE 1 END) OVER (ORDER BY p) AS run
-                    FROM (SELECT s.step, s.p, s.t, s.best AS before, s.rising, m.r, m.alone, min(m.r) OVER () AS best
-                          FROM (SELECT *, lead(t) OVER (ORDER BY p) AS nt FROM state
-                                WHERE best IS NOT NULL AND step < 24) s
-                          LEFT JOIN merges m ON m.a = s.t AND m.b = s.nt))))
-  WHERE NOT eaten)
-SELECT p, t, best, rising FROM state WHERE step = (SELECT max(step) FROM state) ORDER BY p
+  (WITH near AS MATERIALIZED (
+     SELECT w, p, e, t, r, l, k, lag(r) OVER o AS pr, lag(t) OVER o AS pt, lead(t, 2) OVER o AS nnt,
+            row_number() OVER o AS i, min(r) OVER (PARTITION BY w ORDER BY p
+                         ROWS BETWEEN coalesce(l, 0) PRECEDING AND coalesce(l, 0) + 1 FOLLOWING) AS least_
+     FROM state WINDOW o AS (PARTITION BY w ORDER BY p)),
+   turn AS MATERIALIZED (
+     SELECT w, p, k
+     FROM (SELECT *, row_number() OVER q AS place, first_value(head) OVER q AS whole
+           FROM (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING) AS run
+                 FROM (SELECT *, coalesce(pr <> r, true) AS head,
+                              coalesce(pr = r AND lag(e) OVER (PARTITION BY w ORDER BY p) = p, false) AS joined
+                       FROM near WHERE r = least_))
+           WINDOW q AS (PARTITION BY w, run ORDER BY p))
+     WHERE whole AND place % 2 = 1),
+   risky AS (
+     SELECT s.w, s.p, s.r, s.l, s.i, t.p IS NOT NULL AS turn,
+            s.r <> s.least_ OR coalesce(least(x.r, y.r, z.r) < s.r, false) AS source
+     FROM (SELECT * FROM near WHERE k) s
+     LEFT JOIN turn t ON t.w = s.w AND t.p = s.p
+     LEFT JOIN merges x ON x.a = CASE WHEN t.p IS NOT NULL THEN s.pt END AND x.b = s.r
+     LEFT JOIN merges y ON y.a = CASE WHEN t.p IS NOT NULL THEN s.r END AND y.b = s.nnt
+     LEFT JOIN merges z ON z.a = CASE WHEN t.p IS NOT NULL THEN s.r END AND z.b = s.r),
+   hits AS MATERIALIZED (
+     SELECT w, p FROM turn WHERE NOT k
+     UNION ALL
+     SELECT w, p
+     FROM (SELECT *, bool_or(source) OVER (PARTITION BY w, r, chain ORDER BY i
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS waits
+           FROM (SELECT *, sum(far) OVER (PARTITION BY w, r ORDER BY i ROWS UNBOUNDED PRECEDING) AS chain
+                 FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY w, r ORDER BY i) <= l + 1 THEN 0 ELSE 1 END AS far
+                       FROM risky)))
+     WHERE turn AND waits IS NOT TRUE)
+   SELECT step, c.w, c.p, c.e, c.t, CASE WHEN changed THEN m.r ELSE c.r END, CASE WHEN changed THEN m.l ELSE c.l END,
+          CASE WHEN changed THEN m.k ELSE c.k END
+   FROM (SELECT step, w, p, CASE WHEN hit THEN lead(e) OVER o ELSE e END AS e, CASE WHEN hit THEN r ELSE t END AS t, r, l, k,
+                lag(hit) OVER o AS eaten, hit OR coalesce(lead(hit) OVER o, false) AS changed,
+                CASE WHEN NOT hit THEN lead(r) OVER o
+                     WHEN lead(p, 2) OVER o = lead(e) OVER o
+                     THEN CASE WHEN lead(hit, 2) OVER o THEN lead(r, 2) OVER o ELSE lead(t, 2) OVER o END END AS nt
+         FROM (SELECT s.*, h.p IS NOT NULL AS hit, (SELECT max(step) + 1 FROM state) AS step
+               FROM (SELECT w, p, e, t, r, l, k FROM near WHERE (SELECT count(*) FROM hits) > 0 AND (SELECT max(step) FROM state) < $steps) s
+               LEFT JOIN hits h ON h.w = s.w AND h.p = s.p)
+         WINDOW o AS (PARTITION BY w ORDER BY p)) c
+   LEFT JOIN merges m ON m.a = CASE WHEN changed THEN c.t END AND m.b = c.nt
+   WHERE c.eaten IS NOT TRUE))
+SELECT w, p, e, t, r, l, k,
+       min(r) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN $far PRECEDING AND $far FOLLOWING) IS NOT NULL AS live
+FROM state WHERE step = (SELECT max(step) FROM state) ORDER BY w, p
+"""
+
+#: The first rows of long words: one token per byte.
+FIRST = """
+SELECT w, p, p + 1 AS e, t, m.r, m.l, m.k
+FROM (SELECT *, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM chars) c LEFT JOIN merges m ON m.a = c.t AND m.b = c.nt
 """
 
 DECODE = """
@@ -89,60 +138,78 @@ class Coder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.split = regex.compile(pattern).findall
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         m = np.array(pairs, dtype=np.int32).reshape(-1, 3)
-        rank = {(a, b): r for a, b, r in pairs}
-        # Contracting the first of two such pairs in a row may let it take from the second.
-        alone = {r for a, _, r in pairs if rank.get((r, a), r + 1) <= r}
-        self._load("merges", {"a": m[:, 0], "b": m[:, 1], "r": m[:, 2], "alone": [r in alone for r in m[:, 2].tolist()]})
+        # The longest token of no higher rank, and whether the contracted token is part of a pair of smaller rank.
+        longest = np.zeros(max(self.ranks.values(), default=0) + 1, dtype=np.int32)
+        for t, r in self.ranks.items():
+            longest[r] = len(t)
+        longest = np.maximum.accumulate(longest)
+        self.far = 2 * int(longest[-1])
+        part = {x for a, b, r in pairs for x in (a, b) if r < x}
+        self._load("merges", {"a": m[:, 0], "b": m[:, 1], "r": m[:, 2], "l": longest[m[:, 2]],
+                              "k": [r in part for r in m[:, 2].tolist()]})
         self._load("vocab", {"id": pa.array(list(self.ranks.values()), pa.int32()),
                              "b": pa.array(list(self.ranks), pa.binary())})
         self.spaced: dict[str, bytes] = {}  # stretches that follow a space, with it
         self.plain: dict[str, bytes] = {}  # anything split as it stands
 
-    def _load(self, name: str, columns: dict) -> None:
-        self.db.register("given", pa.table(columns))
+    def _load(self, name: str, columns: dict | pa.Table) -> None:
+        self.db.register("given", pa.table(columns) if isinstance(columns, dict) else columns)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words as little-endian 32-bit integers."""
-        coded, rest = {}, []
+        coded, rest, long = {}, [], []
         for w in words:
             b = w.encode()
             if (i := self.ranks.get(b)) is not None:
                 coded[w] = i.to_bytes(4, "little")
-            elif len(b) > LONG and (ids := self._long(b)) is not None:
-                coded[w] = ids
             else:
-                rest.append((w, b))
+                (long if len(b) > LONG else rest).append((w, b))
+        for x, y in portions([b for _, b in long], LONG_BYTES):
+            coded.update(zip([w for w, _ in long[x:y]], self._long([b for _, b in long[x:y]])))
         for k in range(0, len(rest), WORDS):
             part = rest[k:k + WORDS]
-            n = np.array([len(b) for _, b in part])
-            raw = np.frombuffer(b"".join(b for _, b in part), dtype=np.uint8)
-            at = np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)
-            self._load("chars", {"w": np.repeat(np.arange(len(part), dtype=np.int32), n),
-                                 "p": at.astype(np.int32), "t": self.byte_id[raw]})
+            self._chars([b for _, b in part])
             got = self.db.execute(CONTRACT).fetchnumpy()
             ids, ends = got["t"].astype("<u4"), np.searchsorted(got["w"], np.arange(len(part) + 1))
             for j, (w, _) in enumerate(part):
                 coded[w] = ids[ends[j]:ends[j + 1]].tobytes()
         return coded
 
-    def _long(self, raw: bytes) -> bytes | None:
-        """Ids of one long word, or None if its ranks don't rise."""
-        t, least = self.byte_id[np.frombuffer(raw, dtype=np.uint8)], -1
-        while True:
-            self._load("chars", {"p": np.arange(len(t), dtype=np.int32), "t": np.asarray(t, dtype=np.int32)})
-            got = self.db.execute(CONTRACT_LONG, {"least": least}).fetchnumpy()
-            t, best = got["t"], got["best"]
-            if not got["rising"].all():
-                return None
-            if np.ma.getmaskarray(best).all():
-                return np.asarray(t).astype("<u4").tobytes()
-            least = int(best[0])
+    def _chars(self, words: list[bytes]) -> None:
+        n = np.array([len(b) for b in words])
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        at = np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)
+        self._load("chars", {"w": np.repeat(np.arange(len(words), dtype=np.int32), n),
+                             "p": at.astype(np.int32), "t": self.byte_id[raw]})
+
+    def _long(self, words: list[bytes]) -> list[bytes]:
+        """Ids of long words, which share their steps. Rows that nothing can reach any more are put aside between queries."""
+        size = sum(map(len, words))
+        if size > LONG_BYTES:  # a single longer word: memory in proportion to it
+            self.db.execute(f"SET memory_limit='{MEMORY_MB + size * MEMORY_MB // LONG_BYTES}MB'")
+        self._chars(words)
+        tokens, done = self.db.sql(FIRST).to_arrow_table(), []
+        while len(tokens):
+            self._load("tokens", tokens)
+            steps = max(1, min(16, 4 * LONG_BYTES // len(tokens)))
+            got = self.db.sql(CONTRACT_LONG, params={"steps": steps, "far": self.far}).to_arrow_table()
+            live = got["live"].combine_chunks()
+            done.append(got.filter(pa.compute.invert(live)).select(["w", "p", "t"]))
+            tokens = got.filter(live).drop_columns(["live"])
+        if size > LONG_BYTES:
+            self.db.execute(f"SET memory_limit='{MEMORY_MB}MB'")
+        rows = pa.concat_tables(done)
+        w, p, t = (rows[c].to_numpy() for c in ("w", "p", "t"))
+        by = np.lexsort((p, w))
+        ends = np.searchsorted(w[by], np.arange(len(words) + 1))
+        ids = t[by].astype("<u4")
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced) + len(self.plain) > KEPT:
