@@ -37,6 +37,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from weblog.llm import common
 from weblog.llm.common import pick, portions, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -44,7 +45,7 @@ LONG = 256
 #: Bytes of long words for one query, and memory of a worker's database.
 LONG_BYTES, MEMORY_MB = 1 << 20, 600
 #: Words for one query, bytes of text for one decoding, and stretches kept in a worker.
-WORDS, TEXT_BYTES, KEPT = 50_000, 4 << 20, 900_000
+WORDS, TEXT_BYTES, KEPT = 20_000, 1 << 20, 900_000
 
 #: One contraction per word and step. Rows whose word has no pair left come out as not live.
 CONTRACT = """
@@ -138,7 +139,8 @@ class Coder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.split = regex.compile(pattern).findall
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "",
+                                          "allocator_flush_threshold": "8MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items()
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         m = np.array(pairs, dtype=np.int32).reshape(-1, 3)
@@ -260,6 +262,9 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+common.KEPT["bpe"] = coder.cache_clear
+
+
 def public_vocabulary() -> tuple[str, str]:
     """Place of the public rank file and its pattern."""
     import public_tokenizers
@@ -281,7 +286,9 @@ def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = Non
         own = coder(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in portions(texts, TEXT_BYTES):
+            for i, (a, b) in enumerate(portions(texts, TEXT_BYTES)):
+                if i % 4 == 3:
+                    common.release()
                 coded = own.encode(texts[a:b])
                 columns = [batch.column(0).slice(a, b - a).cast(pa.int64()),
                            pa.array([len(c) // 4 for c in coded], pa.int64())]
@@ -291,6 +298,7 @@ def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                 columns += [pa.array([hashlib.sha256(c).hexdigest() for c in coded]),
                             pa.array([hashlib.sha256(d).hexdigest() for d in own.decode(coded)])]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        common.release()
 
     names = ["doc_id", "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"]
     schema = "doc_id long, n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string"

@@ -1,6 +1,11 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +71,27 @@ def portions(texts: list, limit: int):
         yield start, len(texts)
 
 
+#: What operators keep in a worker between tasks: name -> function that lets it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def make_room(keep: str = "") -> None:
+    """Let go of what other operators keep in this worker; a worker serves one stage after another."""
+    for name, let_go in KEPT.items():
+        if name != keep:
+            let_go()
+    release()
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system: Arrow's pool and, where there is one, the C allocator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 

@@ -31,7 +31,7 @@ SETTINGS = {"spark.sql.streaming.stateStore.providerClass": PROVIDER,
             "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
             # All stores of an executor share one bound, and are closed once they have committed.
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+            "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
             "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 

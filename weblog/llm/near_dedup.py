@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import portions, table, written
+from weblog.llm.common import make_room, portions, table, written
 from weblog.llm.components import components
 from weblog.llm.exact_dedup import located
 from weblog.llm.wordhash import mix64, shingle_sets
@@ -126,6 +126,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
     place = docs.columns[2:]
 
     def run(batches):
+        make_room()
         for batch in batches:
             for a, b, sets, ends in _sets(batch.column(1).to_pylist(), n):
                 rows = sketch(sets, ends)

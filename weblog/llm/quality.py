@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weblog.llm.common import pick, portions, table, written
+from weblog.llm.common import make_room, pick, portions, table, written
 from weblog.llm.wordhash import IS_WHITE, joined, word_hashes
 
 #: Random features, kernel width, ridge penalty, calibration bins, least score kept.
@@ -156,6 +156,7 @@ def pool(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def described(docs: DataFrame) -> DataFrame:
     """doc_id and the statistics of each document."""
     def run(batches):
+        make_room()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in portions(texts, PORTION):
@@ -173,6 +174,7 @@ def described_rows(docs: DataFrame, text: str = "text", name: str = "x_") -> Dat
     at = docs.columns.index(text)
 
     def run(batches):
+        make_room()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in portions(texts, PORTION):
