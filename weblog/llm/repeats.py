@@ -31,7 +31,8 @@ from weblog.llm.common import placed, portions, table, written
 from weblog.llm.wordhash import mix64, powers
 
 LENGTH, GRAM, LONGER = 400, 32, 4
-INDEX_BYTES, HOT_BYTES, PORTION = 1 << 20, 8 << 20, 1 << 18
+#: Small batches of anchors, whose suffixes are sorted in the processor's cache.
+INDEX_BYTES, HOT_BYTES, PORTION = 1 << 16, 8 << 20, 1 << 18
 
 _RNG = np.random.Generator(np.random.Philox(key=[3, 400]))
 _TABLES = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
