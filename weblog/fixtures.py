@@ -7,7 +7,7 @@ checked against the projection itself.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblog.session import ensure_utc
@@ -76,6 +76,18 @@ def access_logs(spark: SparkSession, sf_dir: str, strict_methods: bool = False,
         projection_sql("spark", "{events}", strict_methods, with_event_id, hot_client, null_clients), events=ev)
 
 
+def line_of(name: str = "value") -> Column:
+    """A row of ``access_logs`` as a Combined Log line."""
+    return F.concat(
+        F.col("client_ip"), F.lit(" - - ["),
+        F.date_format("log_ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000] \""),
+        F.col("http_method"), F.lit(" "), F.col("request_path"), F.lit(" "),
+        F.col("http_version"), F.lit("\" "),
+        F.col("status_code").cast("string"), F.lit(" "),
+        F.coalesce(F.col("response_bytes").cast("string"), F.lit("-")),
+    ).alias(name)
+
+
 def raw_lines(spark: SparkSession, sf_dir: str, malformed: bool = False,
               strict_methods: bool = False) -> DataFrame:
     """``events`` rendered as Combined Log lines in a single ``value`` column.
@@ -84,14 +96,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, malformed: bool = False,
     so that it no longer matches the line pattern.
     """
     logs = access_logs(spark, sf_dir, strict_methods=strict_methods, with_event_id=True)
-    line = F.concat(
-        F.col("client_ip"), F.lit(" - - ["),
-        F.date_format("log_ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000] \""),
-        F.col("http_method"), F.lit(" "), F.col("request_path"), F.lit(" "),
-        F.col("http_version"), F.lit("\" "),
-        F.col("status_code").cast("string"), F.lit(" "),
-        F.coalesce(F.col("response_bytes").cast("string"), F.lit("-")),
-    )
+    line = line_of()
     if malformed:
         line = F.when(F.col("event_id") % 100 == 0, F.substring(line, 1, 20)).otherwise(line)
     return logs.select(line.alias("value"))

@@ -19,6 +19,9 @@ COMBINED_LINE = (
 REQUEST_METHOD = r"^(\S+)"
 REQUEST_VERSION = r"(\S+)$"
 REQUEST_PATH = r"^\S+\s+(.+)\s+\S+$"
+# All three in one match: the path pattern with its outer parts captured too. Whenever it matches, its
+# first and last groups are exactly what the patterns above extract on their own.
+REQUEST_ALL = r"^(\S+)\s+(.+)\s+(\S+)$"
 # Timestamp with zone offset, e.g. 22/Jan/2019:03:56:14 +0330
 LOG_TS_FORMAT = "dd/MMM/yyyy:HH:mm:ss Z"
 # Verbs accepted by the strict method check.
@@ -69,15 +72,9 @@ def field_from(value: Column, parts: Column, plain: Column, i: int) -> Column:
             .otherwise(F.regexp_extract(value, COMBINED_LINE, i + 1)))
 
 
-# Method, path and version in one match: the path pattern with its outer parts
-# captured too. Whenever it matches, its first and last groups are exactly what
-# REQUEST_METHOD and REQUEST_VERSION extract on their own.
-_REQUEST_3 = "^" + r"\s+".join([REQUEST_METHOD.lstrip("^"), "(.+)", REQUEST_VERSION.rstrip("$")]) + "$"
-
-
 def split_request(request: Column) -> Column:
     """The three-token split of a request (an array of 3 when it matches)."""
-    return F.split(F.regexp_replace(request, _REQUEST_3, "$1\n$2\n$3"), _SEP)
+    return F.split(F.regexp_replace(request, REQUEST_ALL, "$1\n$2\n$3"), _SEP)
 
 
 def request_parts(request: Column, parts: Column | None = None,

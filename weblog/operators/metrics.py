@@ -7,11 +7,12 @@ tables drop ``run`` and carry ``num_runs`` plus per-metric mean and std.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weblog.session import scratch_dir
 from weblog.sources import snapshots
@@ -103,21 +104,21 @@ def merge_buckets(spark: SparkSession, root: str, table: str, incoming: DataFram
         raise ValueError(f"{table} is kept in {base.notes[f'{table}.buckets']} buckets, not {buckets}")
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
     staged = f"{scratch_dir(spark, 'merge')}/incoming"
+    names = list(incoming.columns)
+    if table in base.schemas:  # stored columns keep their order
+        stored = [f["name"] for f in json.loads(base.schemas[table])["fields"]]
+        names = stored + [c for c in names if c not in stored]
     incoming = latest(incoming, key, version) if version else incoming
     incoming = incoming.withColumn("_bucket", bucket)
     incoming.write.parquet(staged)
     incoming = spark.read.schema(incoming.schema).parquet(staged)
-    touched = {f"bucket={r._bucket}": r._bucket for r in incoming.select("_bucket").distinct().collect()}  # at most ``buckets``
+    touched = {f"_bucket={r._bucket}" for r in incoming.select("_bucket").distinct().collect()}  # at most ``buckets``
     merged = incoming
-    if have := sorted(touched.keys() & base.tables.get(table, {}).keys()):
+    if have := sorted(touched & base.tables.get(table, {}).keys()):
         merged = upsert(snapshots.read(spark, root, table, base, have).withColumn("_bucket", bucket), incoming, key, version)
     elif not version:
         merged = upsert(incoming.limit(0), incoming, key)
-    written = f"{scratch_dir(spark, 'merge')}/merged"
-    merged.write.partitionBy("_bucket").parquet(written)  # one pass over all touched buckets
-    schema = merged.drop("_bucket").schema
-    changes = {part: spark.read.schema(schema).parquet(f"{written}/_bucket={b}") for part, b in touched.items()}
-    return snapshots.commit(spark, root, {table: changes}, base, notes=notes)
+    return snapshots.commit(spark, root, {}, base, notes=notes, dealt={table: (merged.select(*names, "_bucket"), "_bucket")})
 
 
 def payload_schema(run_fields: StructType, stats_fields: StructType,
@@ -188,6 +189,67 @@ def to_payloads(runs: DataFrame, summary: DataFrame, run_fields: Sequence[str],
     return arrays.join(summ, gk, "full")
 
 
+PART_FIELDS = ["part", "parts", "run_count"]
+
+
+def to_payload_parts(runs: DataFrame, summary: DataFrame, run_fields: Sequence[str], stats_fields: Sequence[str],
+                     queries: Sequence[str] = QUERY_FAMILIES, part_runs: int = 10_000) -> DataFrame:
+    """Payload documents of bounded size: ``to_payloads`` for benchmarks of any number of runs.
+
+    A (benchmark_id, scale_pct) has ``parts`` documents of about ``part_runs`` runs each, numbered by ``part``; ``run_count``
+    says how many runs a part holds, and the summary is in part 0. Runs are dealt to parts by a hash, so no
+    task holds a whole benchmark; equal runs are counted first and dealt in blocks. ``whole_parts`` checks on
+    reading that nothing is lost. A run of a query outside ``queries`` is an error.
+    """
+    gk, block = ["benchmark_id", "scale_pct"], min(1000, part_runs)
+    known = F.coalesce(F.col("query").isin(list(queries)), F.lit(False))
+    fits = F.when(~known, F.raise_error(F.lit("a run's query has no place in the payload")).cast("boolean")).otherwise(F.lit(True))
+    fields = list(dict.fromkeys(run_fields))
+    same = runs.where(fits).groupBy(*gk, "query", *fields).agg(F.count(F.lit(1)).alias("_n"))
+    at = F.struct(*gk)
+    spine = (same.select(at.alias("_of"), "_n").unionByName(summary.select(at.alias("_of"), F.lit(0).cast("long").alias("_n")))
+             .groupBy("_of").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("_n") / F.lit(part_runs))).alias("parts")))
+    blocks = same.select(at.alias("_of"), "query", F.struct(*fields).alias("_run"), "_n",
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("_n") - 1, F.lit(block)))).alias("_b"))
+    held = F.least(F.lit(block), F.col("_n") - F.col("_b") * block).cast("int")
+    blocks = blocks.join(spine, "_of").select(
+        "_of", "query", F.pmod(F.xxhash64("query", "_run", "_b"), F.col("parts")).alias("part"), held.alias("_held"),
+        F.array_repeat("_run", held).alias("_runs"))
+    docs = blocks.groupBy("_of", "part").agg(F.sum("_held").alias("run_count"), *[
+        F.flatten(F.collect_list(F.when(F.col("query") == q, F.col("_runs")))).alias(q) for q in queries])
+    by_api = summary.groupBy(at.alias("_of"), "query").agg(F.map_from_entries(F.collect_list(
+        F.struct("api", F.struct(*[F.col(c) for c in stats_fields])))).alias("by_api"))
+    summ = by_api.groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct("query", "by_api"))).alias("summary"))
+    numbered = spine.select("_of", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    out = numbered.join(docs, ["_of", "part"], "left").join(summ.withColumn("part", F.lit(0).cast("long")), ["_of", "part"], "left")
+    return out.select("_of.*", "part", "parts", F.coalesce("run_count", F.lit(0)).alias("run_count"), *queries, "summary")
+
+
+def payload_part_schema(run_fields: StructType, stats_fields: StructType, queries: Sequence[str] = QUERY_FAMILIES) -> StructType:
+    """Schema of a document of ``to_payload_parts``."""
+    whole = payload_schema(run_fields, stats_fields, queries)
+    return StructType([*whole.fields[:2], *[StructField(c, LongType()) for c in PART_FIELDS], *whole.fields[2:]])
+
+
+def whole_parts(payloads: DataFrame, queries: Sequence[str] = QUERY_FAMILIES) -> DataFrame:
+    """The documents of ``to_payload_parts``; reading them fails if a part is missing, comes twice or lacks runs.
+
+    Only a benchmark all of whose parts are gone can't be noticed.
+    """
+    n = sum((F.greatest(F.size(F.coalesce(F.col(q), F.array())), F.lit(0)) for q in queries if q in payloads.columns),
+            F.lit(0).cast("long"))
+    seen = payloads.select(F.struct("benchmark_id", "scale_pct").alias("_of"), "part", "parts",
+                           (n == F.col("run_count")).alias("_full"))
+    state = seen.groupBy("_of").agg(F.count(F.lit(1)).alias("_docs"), F.count_distinct("part").alias("_parts"),
+                                    F.min("parts").alias("_low"), F.max("parts").alias("_high"), F.min("_full").alias("_full"))
+    good = ((F.col("_docs") == F.col("_parts")) & (F.col("_parts") == F.col("_low")) & (F.col("_low") == F.col("_high"))
+            & F.col("_full"))
+    what = F.concat(F.lit("payload parts are lost, repeated or cut: "), F.to_json("_of"))
+    state = state.where(F.when(F.coalesce(good, F.lit(False)), F.lit(True)).otherwise(F.raise_error(what).cast("boolean")))
+    given = payloads.withColumn("_of", F.struct("benchmark_id", "scale_pct"))
+    return given.join(state.select("_of"), "_of").select(*payloads.columns)
+
+
 def read_payloads(spark: SparkSession, root: str, file_name: str, schema: StructType,
                   multi_line: bool = True) -> DataFrame:
     """Every payload file named ``file_name`` under ``root`` (recursively).

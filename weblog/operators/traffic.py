@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weblog.functions.exprs import is_error, percent
 from weblog.operators.ranking import rank_by, top_n
+from weblog.session import scratch_dir
 
 
 def _bytes(col: str, null_as_zero: bool) -> Column:
@@ -88,6 +89,42 @@ def top_hosts(logs: DataFrame, metric: str, n: int = 10, key: str = "client_ip",
     return rank_by(both, metric, key)
 
 
+def top_hosts_by_paths(logs: DataFrame, n: int = 10, key: str = "client_ip", bytes_col: str = "response_bytes",
+                       status: str = "status_code", path: str = "request_path", grow: int = 8) -> DataFrame:
+    """``top_hosts`` by distinct endpoints without counting every host's paths (a threshold algorithm).
+
+    A host has at most as many distinct paths as requests with a path. Hosts are taken in falling order of that
+    bound, ``grow`` times as many in each round; their paths are counted, and the search ends when the n-th best count
+    reaches the least bound taken: no other host can come before it. Per round the logs are read once and only the new hosts'
+    (host, path) pairs are shuffled. Runs jobs while it is built: a round tells the driver two numbers, and n
+    hosts in the end. If the bounds don't help (equal for all hosts), the rounds grow to all hosts.
+    """
+    spark = logs.sparkSession
+    rows = logs.withColumn("_host", F.struct(F.col(key).alias("k")))
+    staged = f"{scratch_dir(spark, 'top-hosts')}/bounds"
+    rows.groupBy("_host").agg(F.count(path).alias("_bound")).write.parquet(staged)
+    bounds = spark.read.parquet(staged)
+    best, above, take = None, None, grow * n
+    while True:
+        cut = bounds.orderBy(F.desc("_bound")).limit(take).agg(F.min("_bound").alias("low"), F.count(F.lit(1)).alias("n")).first()
+        low = cut.low if cut.n == take else -1  # all hosts are taken
+        new = bounds.where((F.col("_bound") >= low) & (F.lit(True) if above is None else F.col("_bound") < above))
+        found = (rows.select("_host", path).join(new.select("_host"), "_host", "left_semi")
+                 .groupBy("_host").agg(F.count_distinct(path).alias("distinct_endpoints")))
+        found = found.withColumn(key, F.col("_host.k"))
+        kept = top_n(found if best is None else found.unionByName(best), "distinct_endpoints", key, n).collect()  # n rows
+        best = spark.createDataFrame(kept, found.schema)
+        if low < 0 or (len(kept) == n and min(r.distinct_endpoints for r in kept) >= low):
+            break
+        above, take = low, take * grow
+    light = rows.join(best.select("_host"), "_host", "left_semi").groupBy("_host").agg(
+        F.count(F.lit(1)).alias("total_requests"), F.sum(bytes_col).alias("total_bytes"),
+        F.avg(bytes_col).alias("average_bytes"), _error_rate(status).alias("error_rate"))
+    both = best.join(light, "_host").select(
+        key, "total_requests", "total_bytes", "average_bytes", "error_rate", "distinct_endpoints")
+    return rank_by(both, "distinct_endpoints", key)
+
+
 def distinct_pairs(logs: DataFrame, key: str = "client_ip",
                    path: str = "request_path") -> DataFrame:
     """Distinct paths per host as an explicit two-step plan: distinct pairs, then count.

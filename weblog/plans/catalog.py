@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from weblog import fixtures as fx
-from weblog.operators import checks, errors, hosts, matching, metrics, ranking, temporal, traffic
+from weblog.operators import checks, errors, hosts, matching, metrics, states, ranking, temporal, traffic
 from weblog.operators import sessions as sess
 from weblog.operators.clean import clean_logs
 from weblog.operators.parse import parse_lines
 from weblog.operators.quality import parse_quality
 from weblog.plans import sql as sqlapi
 from weblog.session import default_parallelism, scratch_dir
-from weblog.sources import snapshots
+from weblog.sources import ledger, snapshots
 from weblog.sources.logs import read_logs, register_logs, verify_written, write_logs
+from weblog.sources.ranges import read_line_ranges, sample_lines_by_place
 from weblog.sources.text import read_lines, sample_lines_by_content
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,6 +311,52 @@ def top_sessions(spark, sf):
 
 # --- SQL surface parity -------------------------------------------------------
 
+# --- states that are kept and merged ------------------------------------------------
+
+def host_profile_from_states(spark, sf):
+    """The profile out of stored day states; the second batch holds late rows of days that are stored already."""
+    root = scratch_dir(spark, "host-states")
+    logs = fx.access_logs(spark, sf, with_event_id=True)
+    for batch in (logs.where("event_id % 3 <> 0"), logs.where("event_id % 3 = 0")):
+        states.add_logs(spark, root, batch)
+    return rounded(states.profile(spark, root))
+
+
+def top_hosts_paths_threshold(spark, sf):
+    return rounded(traffic.top_hosts_by_paths(_logs(spark, sf), 10))
+
+
+def ingest_incremental(spark, sf):
+    """Raw lines by user group in folders that arrive one after the other; each run parses what is new."""
+    root, table = scratch_dir(spark, "raw-batches"), scratch_dir(spark, "ingested")
+    lines = fx.raw_lines(spark, sf).withColumn("batch", F.pmod(F.crc32("value"), F.lit(2)))
+    parse = lambda paths: clean_logs(parse_lines(read_lines(spark, paths)))
+    for turn in range(2):
+        lines.where(F.col("batch") == turn).drop("batch").write.text(f"{root}/arrived/batch={turn}")
+        ledger.ingest_new(spark, f"{root}/arrived", table, parse)
+    ledger.ingest_new(spark, f"{root}/arrived", table, parse)  # nothing is new
+    return snapshots.read(spark, table, "logs")
+
+
+def sample_lines_placed(spark, sf):
+    """Lines drawn by seed, day and byte place, from files that are read in ranges of 20 kB."""
+    root = scratch_dir(spark, "raw-days")
+    logs = fx.access_logs(spark, sf, with_event_id=True).select("event_id", F.col("log_date").cast("string").alias("day"), fx.line_of())
+    # Each day is one file, in the order of its events.
+    (logs.repartition("day").sortWithinPartitions("day", "event_id").drop("event_id")
+     .write.option("maxRecordsPerFile", 0).partitionBy("day").text(f"{root}/days"))
+    lines = read_line_ranges(spark, f"{root}/days", range_bytes=20_000)
+    day = F.regexp_extract("file", "day=([^/]+)", 1)
+    return sample_lines_by_place(lines, 10.0, seed=42, file=day).select(day.alias("day"), "place", "value")
+
+
+def log_parse_ranges(spark, sf):
+    """Gzip files read by the range source."""
+    path = scratch_dir(spark, "raw-gzip-ranges")
+    fx.raw_lines(spark, sf).write.mode("overwrite").option("compression", "gzip").text(path)
+    return clean_logs(parse_lines(read_line_ranges(spark, path, range_bytes=50_000).select("value")))
+
+
 def api_parity(spark, sf):
     logs = _logs(spark, sf)
     s_df = sess.sessions(logs)
@@ -487,6 +534,17 @@ def metric_merge_buckets(spark, sf):
     return rounded(snapshots.read(spark, root, "records"))
 
 
+def metric_payload_parts(spark, sf):
+    """Benchmarks of thousands of runs as documents of 500 each, written, read back, checked and flattened."""
+    runs = fx.measurements(spark, sf)
+    summary = metrics.summarize(runs, metrics.SUMMARY_KEY, ["elapsed_sec"])
+    parts = metrics.to_payload_parts(runs, summary, RUN_FIELDS, STATS_FIELDS, PAYLOAD_QUERIES, part_runs=500)
+    root = scratch_dir(spark, "payload-parts")
+    parts.write.mode("overwrite").json(f"{root}/tree")
+    back = metrics.read_payloads(spark, f"{root}/tree", "*.json", parts.schema, multi_line=False)
+    return metrics.flatten_runs(metrics.whole_parts(back, PAYLOAD_QUERIES), PAYLOAD_QUERIES)
+
+
 def metric_delta_totals(spark, sf):
     stages = fx.stage_records(spark, sf)
     cutoff = F.lit("1998-01-01 00:00:00").cast(stages.schema["submitted"].dataType)
@@ -503,6 +561,11 @@ QUERIES: dict[str, Query] = {
     "parse_quality": parse_quality_key,
     "parse_quality_strict": parse_quality_strict,
     "sample_lines": sample_lines_key,
+    "sample_lines_placed": sample_lines_placed,
+    "log_parse_ranges": log_parse_ranges,
+    "ingest_incremental": ingest_incremental,
+    "host_profile_from_states": host_profile_from_states,
+    "top_hosts_paths_threshold": top_hosts_paths_threshold,
     "log_parse_variants": log_parse_variants,
     "log_clean_variants": log_clean_variants,
     "parse_quality_variants": parse_quality_variants,
@@ -587,6 +650,7 @@ QUERIES: dict[str, Query] = {
     "metric_upsert_version": metric_upsert_version,
     "metric_snapshot_commit": metric_snapshot_commit,
     "metric_merge_buckets": metric_merge_buckets,
+    "metric_payload_parts": metric_payload_parts,
     "metric_flatten": metric_flatten,
     "metric_flatten_summary": metric_flatten_summary,
     "metric_payload_roundtrip": metric_payload_roundtrip,

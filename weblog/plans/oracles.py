@@ -173,6 +173,12 @@ ORACLES: dict[str, str] = {
     "sample_lines": f"""WITH {LOGS}
 SELECT {ALL_COLS} FROM logs
 WHERE CAST('0x' || substr(md5('42:' || {LINE}), 1, 8) AS BIGINT) < {int(0.1 * 2**32)}""",
+    "sample_lines_placed": f"""WITH {LOGS_ID},
+lines AS (SELECT event_id, CAST(log_date AS VARCHAR) AS day, {LINE} AS value FROM logs),
+placed AS (SELECT day, value, CAST(coalesce(sum(octet_length(encode(value)) + 1) OVER (
+             PARTITION BY day ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM lines)
+SELECT day, place, value FROM placed
+WHERE CAST('0x' || substr(md5('42:' || day || ':0:' || place), 1, 8) AS BIGINT) < {int(0.1 * 2**32)}""",
     "registered_view": f"WITH {LOGS} SELECT client_ip, status_code, response_bytes FROM logs",
     "host_avg_bytes_join_nulls": f"""WITH {LOGS_NULL}
 SELECT client_ip, count(*) AS total_requests, CAST(sum(response_bytes) AS BIGINT) AS total_bytes,
@@ -351,6 +357,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY benchmark_id, scale_pct, qu
                                        ORDER BY v DESC, elapsed_sec DESC) AS rn FROM allv)
 SELECT benchmark_id, scale_pct, query, api, run, round(elapsed_sec, 6) AS elapsed_sec
 FROM ranked WHERE rn = 1""",
+    "metric_payload_parts": f"""WITH {MEASUREMENTS}
+SELECT benchmark_id, scale_pct, query, api, run, elapsed_sec FROM measurements""",
     "metric_flatten": f"WITH {PAYLOAD_RUNS} SELECT * FROM pruns",
     "metric_flatten_summary": f"""WITH {PAYLOAD_RUNS}
 SELECT benchmark_id, scale_pct, query, api, count(*) AS num_runs,
@@ -376,7 +384,10 @@ SELECT query, api, count(*) AS num_stages,
 FROM new GROUP BY query, api""",
 }
 
-# Other ways to the same merged table.
+# Other ways to the same results.
+for _k, _of in (("log_parse_ranges", "log_parse_gzip"), ("ingest_incremental", "log_clean"), ("host_profile_from_states", "host_profile"),
+                ("top_hosts_paths_threshold", "top_hosts_distinct_paths")):
+    ORACLES[_k] = ORACLES[_of]
 for _k in ("metric_snapshot_commit", "metric_merge_buckets"):
     ORACLES[_k] = ORACLES["metric_upsert"]
 
