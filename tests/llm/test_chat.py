@@ -59,3 +59,25 @@ def test_query_has_the_planted_conversation(spark):
     assert (row.n_turns, row.loss_chars) == (2, len(said))
     assert row.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_long_streams_fold_in_linear_time(spark):
+    import time
+    n = 20000
+    log = spark.range(n).selectExpr("1L AS conv_id", "id AS seq", "5L AS msg_id", "if(id = 0, 'message', 'delta') AS kind",
+                                    "'assistant' AS role", "concat('w', id, ' ') AS text")
+    began = time.time()
+    row = chat.fold(log).first()
+    assert row.text == "".join(f"w{i} " for i in range(n)) and time.time() - began < 60
+    edits = spark.range(n).selectExpr("1L AS conv_id", "id AS seq", "5L AS msg_id", "if(id % 2 = 0, 'edit', 'delta') AS kind",
+                                      "'user' AS role", "concat('w', id) AS text")
+    assert chat.fold(edits).first().text == f"w{n - 2}w{n - 1}"
+
+
+def test_rows_are_replayed_as_deltas(spark):
+    conv = spark.createDataFrame([(1, 4, "user", "abcdefgh"), (1, 4, "user", "abcdefgh"), (1, -2, "system", None), (1, 9, "user", "é")],
+                                 "conv_id long, turn int, role string, text string")
+    log = chat.events_of(conv)
+    assert log.where("kind = 'delta'").count() == 12 and log.select("msg_id").distinct().count() == 4
+    got = sorted((r.place, r.role, r.text) for r in chat.fold(log).collect())
+    assert got == [(-8, "system", ""), (16, "user", "abcdefgh"), (16, "user", "abcdefgh"), (36, "user", "é")]

@@ -26,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblog.llm.common import pick, table
+from weblog.llm.common import pick, placed, table
 
 #: The template's control strings (fixed values).
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]"]
 OPEN, CLOSE, INST, END_INST = "<s>", "</s>", "[INST] ", " [/INST]"
 ASSISTANT = "assistant"
+#: Deltas that carry the text of a finished row when it is replayed as a stream.
+DELTAS = 3
 
 
 def escape(text: Column) -> Column:
@@ -50,35 +52,45 @@ def escape_role(role: Column) -> Column:
     return F.replace(escape(role), F.lit("\n"), F.lit("\\\n"))
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """Finished conversation rows as a log: each row opens one message."""
-    c = pick(conversations, conv_id="conv_id", seq="turn", role="role", text="text")
-    return c.select("conv_id", "seq", F.col("seq").alias("msg_id"), F.lit("message").alias("kind"), "role", "text")
+def events_of(conversations: DataFrame, deltas: int = DELTAS) -> DataFrame:
+    """Finished conversation rows as the log of a stream: each row opens an empty message, and ``deltas`` pieces of its text follow.
+
+    A row is a message of its own (``msg_id`` is its place in the table), also where turns repeat.
+    """
+    rows = placed(pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text"))
+    c = rows.toDF("conv_id", "turn", "role", "text", "file", "row").withColumn("msg_id", F.xxhash64("file", "row"))
+    size = F.ceil(F.length("text") / F.lit(deltas)).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), F.lit(deltas)), lambda k: F.struct(
+        (F.col("turn").cast("long") * (deltas + 1) + k).alias("seq"), F.when(k == 0, "message").otherwise("delta").alias("kind"),
+        F.when(k == 0, "").otherwise(F.substring(F.col("text"), (k - 1) * size + 1, size)).alias("text")))
+    return c.select("conv_id", "msg_id", "role", F.inline(piece)).select("conv_id", "seq", "msg_id", "kind", "role", "text")
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages of a log: conv_id, place, role, text, one row per message."""
+    """Final messages of a log: conv_id, place, role, text, one row per message.
+
+    The events of a msg_id are put in order once. A ``message`` (or the first event) opens a message that reaches to the next
+    opening; its text is that of the last event in there that sets it, with the deltas behind it. Each
+    event is looked at a fixed number of times, and each text is copied once.
+    """
     e = pick(events, conv_id="conv_id", seq="seq", msg_id="msg_id", kind="kind", role="role", text="text")
     e = e.select("conv_id", "msg_id", F.struct(
         F.col("seq").cast("long").alias("seq"), (F.col("kind") != "message").alias("later"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         "kind").alias("e")).repartition("conv_id")
     grouped = e.groupBy("conv_id", "msg_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    kind = "array<struct<seq:bigint,role:string,text:string>>"
-
-    def step(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        opened = F.struct(x["seq"].alias("seq"), x["role"].alias("role"), x["text"].alias("text"))
-        text = F.when(x["kind"] == "delta", F.concat(last["text"], x["text"])).otherwise(x["text"])
-        changed = F.struct(last["seq"].alias("seq"), last["role"].alias("role"), text.alias("text"))
-        return F.when((x["kind"] == "message") | (F.size(done) == 0), F.concat(done, F.array(opened))).otherwise(
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(changed)))
-
-    # Logs that only open messages (the usual table) need no fold.
-    simple = F.transform("es", lambda x: F.struct(x["seq"], x["role"], x["text"])).cast(kind)
-    folded = F.aggregate("es", F.array().cast(kind), step)
-    final = F.when(F.forall("es", lambda x: x["kind"] == "message"), simple).otherwise(folded)
-    return grouped.select("conv_id", F.explode(final).alias("m")).select(
+    at = lambda i: F.element_at("es", i)
+    places = F.sequence(F.lit(1), F.size("es"))
+    grouped = grouped.withColumn("opened", F.filter(places, lambda i: (i == 1) | (at(i)["kind"] == "message")))
+    grouped = grouped.withColumn("reach", F.transform("opened", lambda i, n: F.struct(
+        i.alias("first"), (F.coalesce(F.try_element_at("opened", n + 2), F.size("es") + 1) - 1).alias("last"))))
+
+    def message(m):
+        sets = F.array_max(F.filter(F.sequence(m["first"], m["last"]), lambda i: (i == m["first"]) | (at(i)["kind"] != "delta")))
+        text = F.array_join(F.transform(F.slice("es", sets, m["last"] - sets + 1), lambda x: x["text"]), "")
+        return F.struct(at(m["first"])["seq"].alias("seq"), at(m["first"])["role"].alias("role"), text.alias("text"))
+
+    return grouped.select("conv_id", F.explode(F.transform("reach", message)).alias("m")).select(
         "conv_id", F.col("m.seq").alias("place"), "m.role", "m.text")
 
 
