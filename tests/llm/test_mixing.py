@@ -58,6 +58,7 @@ def test_whole_table(spark):
     got = mx.op4_mixing(spark, SF).collect()
     check(rows, got, longest)
     assert sorted(map(tuple, got)) == sorted(map(tuple, mx.op4_mixing(spark, SF).collect()))
+    assert all(len(r.shards) * r.size == r.taken and set(r.shards) <= set(range(mx.SHARDS)) for r in got)
 
 
 def test_odd_sources(spark):
@@ -81,6 +82,8 @@ def test_mix_is_what_was_drawn(spark):
     rows = mix.collect()
     assert Counter(r.doc_id for r in rows) == Counter({k: v for k, v in drawn.items() if v})
     assert {r.shard_ for r in rows} <= set(range(mx.SHARDS)) and set(docs.columns) <= set(mix.columns)
+    told = Counter((r.doc_id, s) for r in mx.shards_of(mx.drawn(docs)).collect() for s in r.shards_)
+    assert told == Counter((r.doc_id, r.shard_) for r in rows)
 
 
 def test_tree_splits_all_quotas_evenly():

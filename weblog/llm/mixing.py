@@ -161,12 +161,23 @@ def drawn(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int
     return d.withColumn("times_", (F.col("whole_") + more.cast("int")).cast("int"))
 
 
+def _shard(turn: Column, blocks: int, seed: int) -> Column:
+    """The output shard whose stretch of the source's draws, as the tree split them, holds a block's draw in a pass."""
+    index = turn * blocks + _rank(F.col("block_"), F.col("source_"), turn, blocks, seed)
+    return F.size(F.filter("ends_", lambda e: e <= index))
+
+
+def shards_of(drawn_rows: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """``drawn`` with shards_, the output shard of each of a row's takings."""
+    passes = F.filter(F.sequence(F.lit(0).cast("long"), F.col("times_").cast("long")), lambda k: k < F.col("times_"))
+    return drawn_rows.withColumn("shards_", F.transform(passes, lambda k: _shard(k, blocks, seed)))
+
+
 def mixed(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: a row for each taking, with its shard_, sorted within shards in the mix's order."""
     d = drawn(docs, blocks, shards, seed).where("times_ > 0")
     d = d.withColumn("pass_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times_").cast("long") - 1)))
-    index = F.col("pass_") * blocks + _rank(F.col("block_"), F.col("source_"), F.col("pass_"), blocks, seed)
-    d = d.withColumn("shard_", F.size(F.filter("ends_", lambda e: e <= index)))
+    d = d.withColumn("shard_", _shard(F.col("pass_"), blocks, seed))
     d = d.withColumn("order_", F.xxhash64(F.lit(seed + 3), "key_", "pass_"))
     own = ["source_", "size_", "block_", "key_", "source_size_", "target_", "whole_", "stop_rank_", "stop_key_", "ends_", "times_"]
     return d.drop(*own)
@@ -179,5 +190,7 @@ def shuffled(mix: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", source="source")
-    return drawn(docs).select("doc_id", F.col("size_").alias("size"), F.col("source_size_").alias("source_size"),
-                              F.col("target_").alias("target"), (F.col("size_") * F.col("times_")).alias("taken"))
+    # Besides the contract's columns: the shards that the tree gave the document's takings to.
+    return shards_of(drawn(docs)).select("doc_id", F.col("size_").alias("size"), F.col("source_size_").alias("source_size"),
+                              F.col("target_").alias("target"), (F.col("size_") * F.col("times_")).alias("taken"),
+                              F.col("shards_").alias("shards"))
