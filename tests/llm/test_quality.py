@@ -51,3 +51,32 @@ def test_without_labels_and_odd_rows(spark):
     model = q.fit(stats, some)
     assert model is None or all(0 <= r.score_ <= 1 for r in q.scored(docs, model, score="score_").collect())
     assert q.score_statistics(q.described(docs.limit(0)), model).count() == 0
+
+
+def test_against_a_central_solution(spark):
+    """The same statistics, solved in one place with numpy: ridge on all rows at once, isotonic by brute force."""
+    stats = q.described(spark.read.parquet(f"{SF}/documents.parquet"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = q.fit(stats, labels)
+    x = {r.doc_id: np.array(r.x) for r in stats.collect()}
+    import zlib
+    rows = [(r.doc_id, r.quality, zlib.crc32(str(r.doc_id).encode()) % 4) for r in labels.collect() if r.quality in (0, 1) and r.doc_id in x]
+    learn = np.array([x[i] for i, _, f in rows if f in (0, 1)])
+    y = np.array([v for _, v, f in rows if f in (0, 1)], dtype=float)
+    assert np.allclose(model.mean, learn.mean(axis=0)) and np.allclose(model.scale, np.where(learn.std(axis=0) > 1e-9, learn.std(axis=0), 1))
+    z = model.features(learn)
+    penalty = np.diag([q.PENALTY * len(y) / q.FEATURES] * q.FEATURES + [1e-9 * len(y)])
+    weights = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert np.abs(z @ weights - z @ model.weights).max() < 1e-6
+    # Calibration: the best rising step function over the bins of the adjusting fold, as min-max of averages.
+    held = [(model.raw(x[i][None])[0], v) for i, v, f in rows if f == 3]
+    at = np.clip(((np.array([h[0] for h in held]) + 0.5) / 2 * q.BINS).astype(int), 0, q.BINS - 1)
+    bins = sorted(set(at))
+    n = np.array([(at == b).sum() for b in bins], dtype=float)
+    ones = np.array([sum(v for a, (_, v) in zip(at, held) if a == b) for b in bins], dtype=float)
+    k = len(bins)
+    best = [max(min(ones[i:j + 1].sum() / n[i:j + 1].sum() for j in range(m, k)) for i in range(m + 1)) for m in range(k)]
+    assert np.allclose(model.steps, (np.array(bins) + 0.5) * 2 / q.BINS - 0.5) and np.allclose(model.levels, best)
+    scores = {r.doc_id: r.score for r in q.op10_quality(spark, SF).collect()}
+    want = {i: float(np.interp(model.raw(v[None])[0], model.steps, model.levels)) for i, v in x.items()}
+    assert max(abs(scores[i] - want[i]) for i in want) < 1e-6
