@@ -21,9 +21,8 @@ sends, so the window groups are bounded by time, not by data volume.
 Row-level columns (previous timestamp, gap, flag, session id) need the rows in order. Their buckets are
 ``ROW_BUCKET`` seconds wide at most, whatever the timeout: a window over the rows of one
 ``(client, bucket)`` gives all previous timestamps but the first, and that is the last timestamp of the client's
-previous bucket that isn't empty, carried over the empty ones by the summary. The carry itself
-runs in two levels (inside chunks of buckets, then over one row per chunk), so neither a client with most
-rows nor one with a long history meets in one task.
+previous bucket that isn't empty, carried over the empty ones by the summary. So a client with most rows doesn't meet in one
+task: its rows are dealt by minutes, and the carry sees one row per minute at most (half a million a year).
 """
 from __future__ import annotations
 
@@ -55,7 +54,7 @@ WINDOW_SECONDS = 1 << 16
 def _flag_buckets(summary: DataFrame, key: str, timeout: int, width: int) -> DataFrame:
     """Add ``_prev_last_ts``, ``_is_start`` and ``session_id`` to a bucket summary
     ``(key, _bucket, _first, _last, _last_ts, _n)``; one window spec, one sort."""
-    if width <= SHORT_TIMEOUT:
+    if width < SHORT_TIMEOUT:
         return _flag_buckets_in_chunks(summary, key, timeout)
     w = Window.partitionBy(key).orderBy("_bucket")
     prev_last = F.col("_prev_last")
@@ -161,7 +160,7 @@ def session_rows(logs: DataFrame, key: str = "client_ip", ts: str = "log_ts",
     Plan: ``lag`` over the rows of one (key, bucket), at most ``ROW_BUCKET``
     seconds of a client; a bucket's first row takes the last timestamp of the
     client's bucket before from the bucket summary. Rows cross the network once, on (key, bucket);
-    the summary (at most a row per bucket) by chunk, and back. Rows without a timestamp keep null
+    the summary (at most a row per bucket) by key for its window, and back. Rows without a timestamp keep null
     session columns.
     """
     width = min(_width(timeout), ROW_BUCKET)
