@@ -73,3 +73,22 @@ def test_write_merged_refuses_own_input(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "k string, v int").write.parquet(p)
     with pytest.raises(ValueError):
         M.write_merged(spark.read.parquet(p), p)
+
+
+def test_payloads_are_built_in_one_shuffle_besides_the_summary(spark):
+    runs = spark.createDataFrame([("b1", 5, "q", "A", 1, 2.0), ("b1", 5, "q", "A", 2, 4.0), ("b1", 5, "p", "B", 1, 5.0),
+                                  ("b1", 10, "q", "A", 1, 7.0), ("b2", 5, "p", "A", 1, 8.0)], COLS)
+    summary = M.summarize(runs.where("benchmark_id = 'b1'"), M.SUMMARY_KEY, ["elapsed_sec"]).unionByName(
+        M.summarize(spark.createDataFrame([("b3", 5, "r", "A", 1, 9.0)], COLS), M.SUMMARY_KEY, ["elapsed_sec"]))
+    docs = M.to_payloads(runs, summary, ["api", "run", "elapsed_sec"], ["num_runs", "avg_elapsed_sec"], ["q", "p"])
+    got = {(d.benchmark_id, d.scale_pct): d for d in docs.collect()}
+    assert len(got) == docs.count() == 4
+    assert sorted(tuple(r) for r in got["b1", 5].q) == [("A", 1, 2.0), ("A", 2, 4.0)] and [tuple(r) for r in got["b1", 5].p] == [("B", 1, 5.0)]
+    stats = {k: {a: tuple(v) for a, v in m.items()} for k, m in got["b1", 5].summary.items()}
+    assert stats == {"q": {"A": (2, 3.0)}, "p": {"B": (1, 5.0)}}
+    assert got["b2", 5].summary is None and got["b2", 5].q == [] and len(got["b2", 5].p) == 1
+    assert got["b3", 5].q is None and got["b3", 5].p is None and got["b3", 5].summary["r"]["A"].num_runs == 1
+    # One shuffle for the summary, and one of all rows for the documents.
+    plan = M.to_payloads(runs, M.summarize(runs, M.SUMMARY_KEY, ["elapsed_sec"]), ["api", "run", "elapsed_sec"],
+                         ["num_runs"], ["q", "p"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

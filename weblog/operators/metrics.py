@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -166,27 +166,31 @@ def to_payloads(runs: DataFrame, summary: DataFrame, run_fields: Sequence[str],
     A document holds the runs of one benchmark in one row. A benchmark with
     more than ``max_runs`` runs, and a run of a query outside ``queries``
     (which the document has no place for), is an error when the result is computed.
+    Runs and summary records are shuffled once, together and as they are, and put into documents where they then lie.
     """
-    gk = ["benchmark_id", "scale_pct"]
-    known = F.col("query").isin(list(queries))
-    counts = runs.groupBy(*[F.col(c).alias(f"_{c}") for c in gk]).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(~F.coalesce(known, F.lit(False))).alias("_unknown"))
-    fits = (F.when(F.col("_unknown") > 0, F.raise_error(F.lit("a run's query has no place in the payload")).cast("boolean"))
+    of = F.struct("benchmark_id", "scale_pct").alias("_of")
+    run = F.struct(*[F.col(c) for c in run_fields])
+    entry = F.struct("api", F.struct(*[F.col(c) for c in stats_fields]).alias("stats"))
+    rows = runs.select(of, "query", run.alias("_run")).unionByName(
+        summary.select(of, "query", entry.alias("_entry")), allowMissingColumns=True)
+    is_run = F.col("_run").isNotNull()
+    # Counted by a window, before arrays are made: its exchange and order serve them, too, and a group's rows may spill there.
+    n = F.count_if(is_run).over(Window.partitionBy("_of"))
+    known = F.coalesce(F.col("query").isin(list(queries)), F.lit(False))
+    fits = (F.when(is_run & ~known, F.raise_error(F.lit("a run's query has no place in the payload")).cast("boolean"))
             .when(F.col("_n") > max_runs, F.raise_error(F.lit("too many runs for one payload document")).cast("boolean"))
             .otherwise(F.lit(True)))
-    counts = counts.where(fits)
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in gk]
-    runs = runs.join(counts, same[0] & same[1]).select(*runs.columns)
-    run_struct = F.struct(*[F.col(c) for c in run_fields])
     # collect_list skips nulls, so each array keeps only its own query's runs.
-    arrays = runs.groupBy(*gk).agg(*[
-        F.collect_list(F.when(F.col("query") == q, run_struct)).alias(q) for q in queries])
-    by_api = (summary.groupBy(*gk, "query")
-              .agg(F.map_from_entries(F.collect_list(
-                  F.struct("api", F.struct(*[F.col(c) for c in stats_fields])))).alias("by_api")))
-    summ = by_api.groupBy(*gk).agg(
-        F.map_from_entries(F.collect_list(F.struct("query", "by_api"))).alias("summary"))
-    return arrays.join(summ, gk, "full")
+    docs = rows.withColumn("_n", n).where(fits).groupBy("_of").agg(
+        F.count_if(is_run).alias("_n"),
+        *[F.collect_list(F.when(is_run & (F.col("query") == q), F.col("_run"))).alias(q) for q in queries],
+        F.collect_list(F.when(~is_run, F.struct("query", "_entry"))).alias("_entries"))
+    names = F.array_distinct(F.transform("_entries", lambda e: e["query"]))
+    by_api = lambda q: F.map_from_entries(F.transform(
+        F.filter("_entries", lambda e: e["query"].eqNullSafe(q)), lambda e: e["_entry"]))
+    whole = F.map_from_entries(F.transform(names, lambda q: F.struct(q.alias("query"), by_api(q).alias("by_api"))))
+    return docs.select("_of.*", *[F.when(F.col("_n") > 0, F.col(q)).alias(q) for q in queries],
+                       F.when(F.size("_entries") > 0, whole).alias("summary"))
 
 
 PART_FIELDS = ["part", "parts", "run_count"]

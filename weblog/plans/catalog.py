@@ -499,9 +499,9 @@ def metric_flatten_summary(spark, sf):
 def metric_payload_roundtrip(spark, sf):
     root = scratch_dir(spark, "payloads")
     payloads = _payloads(spark, sf)
-    payloads.write.mode("overwrite").json(f"{root}/tree/batch=1")
+    payloads.write.mode("overwrite").option("compression", "gzip").json(f"{root}/tree/batch=1")
     schema = payloads.schema
-    back = metrics.read_payloads(spark, f"{root}/tree", "*.json", schema, multi_line=False)
+    back = metrics.read_payloads(spark, f"{root}/tree", "*.json.gz", schema, multi_line=False)
     flat = metrics.flatten_runs(back, PAYLOAD_QUERIES)
     # The merged table already holds every run with a stale value; the payload wins.
     stale = fx.payload_runs(spark, sf).withColumn("elapsed_sec", F.lit(0.0))
