@@ -125,3 +125,33 @@ def test_sample_is_drawn_by_place(spark, tmp_path):
     assert R.sample_lines_by_place(lines, 0).count() == 0 and R.sample_lines_by_place(lines, 100).count() == 4000
     with pytest.raises(ValueError):
         R.sample_lines_by_place(lines, -1)
+
+
+def test_tasks_do_not_grow_with_the_ranges(spark, tmp_path):
+    raw = "".join(f"line {i}\n" for i in range(20000)).encode()
+    (tmp_path / "a.log").write_bytes(raw)
+    lines = R.read_line_ranges(spark, str(tmp_path / "a.log"), range_bytes=100)  # over 2,000 ranges
+    assert 8 <= lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
+    got = sorted((r.place, r.value.encode()) for r in lines.collect())
+    assert got == [(at, x) for x, _, at in expected(raw)]
+    # Whole neighbouring ranges, each once; large inputs go to more tasks.
+    files = [("a", 1050), ("b", 30), ("c", 0)]
+    spans = [s for task in R.plan_tasks(files, 100, 3) for s in task]
+    assert spans == [("a", 1050, 0, 300), ("a", 1050, 300, 600), ("a", 1050, 600, 900), ("a", 1050, 900, 1050), ("b", 30, 0, 30)]
+    assert len(R.plan_tasks([("a", 100 * R.RANGE_BYTES)], 20_000, 3)) >= 100
+
+
+def test_a_small_range_reads_little(tmp_path):
+    raw = b"x" * 99 + b"\n"
+    (tmp_path / "a.log").write_bytes(raw * 50_000)
+
+    class Counted:
+        source, read = R._open(f"file://{tmp_path}/a.log"), 0
+
+        def read_at(self, size, at):
+            self.read += size
+            return self.source.read_at(size, at)
+
+    source = Counted()
+    got = [p for _, _, place in R.lines_of("", 5_000_000, 20_000, 40_000, source) for p in place.tolist()]
+    assert got == list(range(20_100, 40_001, 100)) and source.read < 60_000

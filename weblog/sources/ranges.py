@@ -1,7 +1,7 @@
 """Log lines with their places, read in byte ranges: plain files, and gzip files of several members.
 
 Spark's own text source gives a gzip file to one task, and a line doesn't know where it stood. This
-Python data source deals byte ranges of files to tasks and gives each line its file and place, which are the same
+Python data source deals byte ranges of files to tasks (neighbouring ones to the same) and gives each line its file and place, which are the same
 however the files are split.
 
 A range owns the lines that start behind its first byte and up to its end (a file's first range also the first
@@ -30,7 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weblog.session import default_parallelism
+
 RANGE_BYTES, CHUNK, BATCH_BYTES = 128 << 20, 1 << 20, 4 << 20
+#: Read behind a range's end for the rest of its last line, and lines that go to Spark at once.
+BEHIND, BATCH_LINES = 4 << 10, 10_000
 #: How a gzip member begins (magic and the deflate method), and its reserved flags.
 MAGIC, RESERVED = b"\x1f\x8b\x08", 0xE0
 SCHEMA = "value string, file string, member long, place long"
@@ -38,7 +42,7 @@ SCHEMA = "value string, file string, member long, place long"
 
 @dataclass
 class Ranges(InputPartition):
-    """(path, length, start, end) of the ranges of one task."""
+    """(path, length, start, end) of what one task reads, range by range."""
 
     ranges: list[tuple[str, int, int, int]]
 
@@ -58,6 +62,15 @@ def plan_ranges(files: list[tuple[str, int]], range_bytes: int) -> list[list[tup
     return out
 
 
+def plan_tasks(files: list[tuple[str, int]], range_bytes: int, tasks: int) -> list[list[tuple[str, int, int, int]]]:
+    """What each task reads: neighbouring whole ranges, dealt to about ``tasks`` tasks, or to more of up to RANGE_BYTES each.
+
+    So the number of tasks, each of which costs a start, doesn't grow with the number of ranges.
+    """
+    share = min(-(-sum(length for _, length in files) // max(1, tasks)), RANGE_BYTES)
+    return plan_ranges(files, max(1, share // range_bytes) * range_bytes)
+
+
 def _open(path: str):
     from pyarrow import fs
     system, at = fs.FileSystem.from_uri(path)
@@ -99,7 +112,7 @@ def first_member(source, start: int, end: int, length: int) -> int | None:
         return 0
     at = start
     while at < end:
-        chunk = source.read_at(min(CHUNK + len(MAGIC), length - at), at)
+        chunk = source.read_at(min(min(CHUNK, end - at) + len(MAGIC), length - at), at)
         found = chunk.find(MAGIC)
         while found >= 0 and at + found < end:
             c = at + found
@@ -133,9 +146,15 @@ def _members(source, start: int, length: int) -> Iterator[tuple[int, bytes]]:
         at = _after_padding(source, at - len(inflater.unused_data), length)
 
 
-def _plain(source, start: int, length: int) -> Iterator[tuple[int, bytes]]:
+def _plain(source, start: int, end: int, length: int) -> Iterator[tuple[int, bytes]]:
+    """The range and what follows, of which little is read at first."""
+    behind = BEHIND
     while start < length:
-        chunk = source.read_at(min(CHUNK, length - start), start)
+        if start <= end:
+            size = min(CHUNK, end + BEHIND - start)
+        else:
+            size = behind = min(CHUNK, 2 * behind)
+        chunk = source.read_at(min(size, length - start), start)
         yield 0, chunk
         start += len(chunk)
 
@@ -146,9 +165,9 @@ def _line_end(held: bytes | bytearray, whole: bool) -> int:
     return max(body.rfind(b"\n"), body.rfind(b"\r")) + 1
 
 
-def lines_of(path: str, length: int, start: int, end: int):
-    """Lists of lines (bytes) with their members and places, of one range of one file."""
-    source = _open(path)
+def lines_of(path: str, length: int, start: int, end: int, source=None):
+    """Lists of lines (bytes) with their members and places, of one range of one file (``source``, if it is open)."""
+    source = source or _open(path)
     zipped = source.read_at(2, 0) == MAGIC[:2]
     if zipped:
         begin = first_member(source, start, end, length)
@@ -157,7 +176,7 @@ def lines_of(path: str, length: int, start: int, end: int):
         chunks, origin, last = _members(source, begin, length), 0, None
     else:
         begin = start
-        chunks, origin, last = _plain(source, start, length), start, end
+        chunks, origin, last = _plain(source, start, end, length), start, end
     seen_at, seen_member = ([], []) if zipped else ([0], [0])
     skipping, held, base, ended = begin > 0, bytearray(), origin, False
     while not ended:
@@ -201,18 +220,30 @@ class LineRangeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = [(p, int(n)) for p, n in json.loads(options["files"])]
         self.range_bytes = int(options.get("rangebytes") or options.get("rangeBytes") or RANGE_BYTES)
+        self.tasks = int(options.get("tasks") or 64)
         self.encoding = options.get("encoding", "UTF-8")
 
     def partitions(self):
-        return [Ranges(r) for r in plan_ranges(self.files, self.range_bytes)] or [Ranges([])]
+        return [Ranges(r) for r in plan_tasks(self.files, self.range_bytes, self.tasks)] or [Ranges([])]
 
     def read(self, partition: Ranges):
-        for path, length, start, end in partition.ranges:
-            for lines, member, place in lines_of(path, length, start, end):
-                values = [x.rstrip(b"\r\n").decode(self.encoding, "replace") for x in lines]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, pa.string()), pa.array([path] * len(values), pa.string()), pa.array(member), pa.array(place)],
-                    ["value", "file", "member", "place"])
+        for path, length, first, stop in partition.ranges:
+            source, held, rows, size = _open(path), [], 0, 0
+            for start in range(first, stop, self.range_bytes):
+                for got in lines_of(path, length, start, min(start + self.range_bytes, stop), source):
+                    held.append(got)
+                    rows, size = rows + len(got[0]), size + sum(map(len, got[0]))
+                    if rows >= BATCH_LINES or size >= BATCH_BYTES:
+                        yield self._batch(path, held)
+                        held, rows, size = [], 0, 0
+            if held:
+                yield self._batch(path, held)
+
+    def _batch(self, path: str, held: list) -> pa.RecordBatch:
+        values = [x.rstrip(b"\r\n").decode(self.encoding, "replace") for lines, _, _ in held for x in lines]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(values, pa.string()), pa.repeat(pa.scalar(path, pa.string()), len(values)),
+             *[pa.array(np.concatenate([h[i] for h in held])) for i in (1, 2)]], ["value", "file", "member", "place"])
 
 
 class LineRanges(DataSource):
@@ -235,10 +266,14 @@ def list_files(spark: SparkSession, path: str | list[str]) -> list[tuple[str, in
 
 def read_line_ranges(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES,
                      encoding: str = "UTF-8") -> DataFrame:
-    """``value, file, member, place`` of every line below ``path``; see the module's docstring."""
+    """``value, file, member, place`` of every line below ``path``; see the module's docstring.
+
+    Ranges are dealt to at least four tasks per core, if there are as many.
+    """
     spark.dataSource.register(LineRanges)
     return (spark.read.format("weblog_line_ranges").option("files", json.dumps(list_files(spark, path)))
-            .option("rangeBytes", str(int(range_bytes))).option("encoding", encoding).load())
+            .option("rangeBytes", str(int(range_bytes))).option("tasks", str(4 * default_parallelism(spark)))
+            .option("encoding", encoding).load())
 
 
 def sample_lines_by_place(lines: DataFrame, percent: float, seed: int = 42, file="file") -> DataFrame:
