@@ -111,3 +111,15 @@ def test_op2_over_the_table_agrees_with_the_library(spark):
                      hashlib.sha256((r.text or "").encode()).hexdigest()))
     got = bpe.op2_bpe(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_batch_does_not_walk_through_what_is_kept():
+    import time
+
+    own = bpe.Coder(*bpe.public_vocabulary())
+    text = "some words that are kept, and some more"
+    want = own.encode([text])
+    own.spaced.update((f"{i} kept", b"") for i in range(800_000))
+    start = time.process_time()
+    assert all(own.encode([text]) == want for _ in range(200))
+    assert time.process_time() - start < 1

@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -178,9 +179,9 @@ class Coder:
             part = rest[k:k + WORDS]
             self._chars([b for _, b in part])
             got = self.db.execute(CONTRACT).fetchnumpy()
-            ids, ends = got["t"].astype("<u4"), np.searchsorted(got["w"], np.arange(len(part) + 1))
-            for j, (w, _) in enumerate(part):
-                coded[w] = ids[ends[j]:ends[j + 1]].tobytes()
+            ids = got["t"].astype("<u4").tobytes()
+            ends = (4 * np.searchsorted(got["w"], np.arange(len(part) + 1))).tolist()
+            coded.update((w, ids[a:b]) for (w, _), a, b in zip(part, ends, ends[1:]))
         return coded
 
     def _chars(self, words: list[bytes]) -> None:
@@ -217,13 +218,16 @@ class Coder:
         if len(self.spaced) + len(self.plain) > KEPT:
             self.spaced, self.plain = {}, {}
         parts = [t.split(" ") for t in texts]
-        new = {s for p in parts for s in p[1:]} - self.spaced.keys()
+        seen: set[str] = set()
+        for p in parts:
+            seen.update(islice(p, 1, None))
+        new = seen.difference(self.spaced)  # looks up each that was seen; "- keys()" would walk through all that are kept
         odd = {s for s in new if not s or s[0].isspace() or s[-1].isspace()}
         whole = []  # texts that can't be cut at their spaces
         first = set()
         for t, p in zip(texts, parts):
             edge = not p[0] or p[0][0].isspace() or p[0][-1].isspace()
-            if len(p) > 1 and (edge or not odd.isdisjoint(p[1:])):
+            if len(p) > 1 and (edge or odd and not odd.isdisjoint(p[1:])):
                 whole.append(t)
             else:
                 first.add(p[0])
@@ -236,7 +240,7 @@ class Coder:
             (self.spaced if lead else self.plain)[s] = b"".join([coded[w] for w in ws])
         spaced = self.spaced
         return [b"".join([coded[w] for w in long[t]]) if t in cut
-                else self.plain[p[0]] + b"".join([spaced[s] for s in p[1:]]) for t, p in zip(texts, parts)]
+                else self.plain[p[0]] + b"".join(map(spaced.__getitem__, islice(p, 1, None))) for t, p in zip(texts, parts)]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         n = np.array([len(c) // 4 for c in coded])
